@@ -74,31 +74,37 @@ def average_rank(prefix: str = "r") -> Column:
     return F.col(f"{prefix}_below") + (F.col(f"{prefix}_ties") + 1) / 2
 
 
-def pct_ranks(
-    df: DataFrame,
-    by: Sequence[str],
-    outs: Mapping[str, str],
-    descending: Sequence[str] = (),
-    fill: float | None = None,
-) -> DataFrame:
-    """Average-tie percentile ranks in (0, 1] of several columns; nulls stay null or take ``fill``.
-
-    All statistics are taken from ``df`` itself, so passes grow with the number of columns
-    and not exponentially with chained ranks."""
-    by = list(by)
-    out = df
-    for value, name in outs.items():
-        up = average_rank()
-        rank = F.col("r_total") + 1 - up if value in descending else up
-        stats = rank_stats(df, by, value).select(*by, value, (rank / F.col("r_total")).alias(name))
-        out = out.join(stats, [*by, value], "left")
-        if fill is not None:
-            out = out.withColumn(name, F.coalesce(name, F.lit(fill)))
-    return out.select(*df.columns, *outs.values())
-
-
 def pct_rank(df: DataFrame, by: Sequence[str], value: str, out: str, ascending: bool = True, fill: float | None = None) -> DataFrame:
-    return pct_ranks(df, by, {value: out}, () if ascending else (value,), fill)
+    """Average-tie percentile rank in (0, 1]; nulls stay null or take ``fill``."""
+    by = list(by)
+    up = average_rank()
+    rank = up if ascending else F.col("r_total") + 1 - up
+    stats = rank_stats(df, by, value).select(*by, value, (rank / F.col("r_total")).alias(out))
+    ranked = df.join(stats, [*by, value], "left").select(*df.columns, out)
+    return ranked if fill is None else ranked.withColumn(out, F.coalesce(out, F.lit(fill)))
+
+
+def long_ranks(df: DataFrame, key: Sequence[str], by: Sequence[str], values: Sequence[str], descending: Sequence[str] = ()) -> DataFrame:
+    """(key, metric, pct, have) of every non-null value: narrow rows, one ranking for all metrics.
+
+    ``have`` is the number of non-null values of the metric in its group."""
+    cols = [*key, *[b for b in by if b not in key]]
+    metric = F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("v")) for v in values]))
+    long = df.select(*cols, metric.alias("_x")).select(*cols, "_x.metric", "_x.v").where(F.col("v").isNotNull())
+    up = average_rank()
+    rank = F.when(F.col("metric").isin(*descending), F.col("r_total") + 1 - up).otherwise(up) if descending else up
+    stats = rank_stats(long, [*by, "metric"], "v").select(*by, "metric", "v", (rank / F.col("r_total")).alias("pct"), F.col("r_total").alias("have"))
+    return long.join(stats, [*by, "metric", "v"]).select(*cols, "metric", "pct", "have")
+
+
+def pct_ranks(df: DataFrame, key: Sequence[str], by: Sequence[str], outs: Mapping[str, str],
+              descending: Sequence[str] = (), fill: float | None = None) -> DataFrame:
+    """Average-tie percentile ranks of several columns at once; ``key`` identifies a row."""
+    ranks = long_ranks(df, key, by, list(outs), descending)
+    cols = [*key, *[b for b in by if b not in key]]
+    wide = ranks.groupBy(*cols).agg(*[F.max(F.when(F.col("metric") == v, F.col("pct"))).alias(name) for v, name in outs.items()])
+    out = df.join(wide, cols, "left")
+    return out if fill is None else out.fillna(fill, list(outs.values()))
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:

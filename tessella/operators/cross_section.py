@@ -67,7 +67,7 @@ STOCK_TYPES = {"Core": 0, "High volatility": 1, "Liquid leader": 2, "Trend leade
 
 def type_features(df: DataFrame, families: DataFrame | None = None) -> DataFrame:
     """Rank-based features, the stock type by ordered rules, and variant-family facts."""
-    df = pct_ranks(df, ["date"], {
+    df = pct_ranks(df, ["date", "ticker"], ["date"], {
         "dollar_vol_20d": "liquidity_rank_pct", "vol_60d": "volatility_rank_pct",
         "trend_slope_60d": "trend_rank_pct", "ret_60d": "return_rank_pct"}, fill=0.5)
     c = F.col
@@ -162,6 +162,6 @@ def robust_z(df: DataFrame, value: str, out: str, by: Sequence[str] = ("date",),
 def blend_ranks(df: DataFrame, weights: dict[str, float], out: str = "blended_score", by: Sequence[str] = ("date",)) -> DataFrame:
     """Weighted sum of cross-sectional percentile ranks."""
     names = {c: f"_rk{i}" for i, c in enumerate(weights)}
-    df = pct_ranks(df, by, names, fill=0.5)
+    df = pct_ranks(df, ["date", "ticker"], by, names, fill=0.5)
     total = sum((F.col(n) * w for n, w in zip(names.values(), weights.values())), F.lit(0.0))
     return df.withColumn(out, total).drop(*names.values())

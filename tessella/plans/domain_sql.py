@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessella.plans.ctes import cte, roll
+from tessella.operators.screens import LAST_VALID, WATCH_WEIGHTS
 from tessella.sources.domain import HOLDOUT
 
 W = "OVER (PARTITION BY ticker ORDER BY date)"
@@ -121,3 +122,33 @@ SELECT split, p.date, ticker, evaluation_date, ret_5d, ret_20d, vol_20d, drawdow
        1 / (1 + exp(-4 * greatest(-7.5, least(7.5, CASE m.model WHEN 'slow' THEN ret_20d ELSE ret_5d END)))) AS probability,
        CASE WHEN future_return > 0 THEN 1 ELSE 0 END AS label
 FROM panel p JOIN wf_splits USING (date), (SELECT unnest(['slow', 'fast']) AS model) m WHERE role = 'test'""")
+cte("preds", """
+SELECT *, row_number() OVER (PARTITION BY as_of_date, horizon_days, model_name ORDER BY probability_up DESC, ticker) AS model_rank
+FROM (SELECT split AS run_id, date AS as_of_date, ticker, model AS model_name, h.horizon_days, future_return, label,
+        1 / (1 + exp(-4 * greatest(-7.5, least(7.5, CASE model WHEN 'slow' THEN ret_20d ELSE ret_5d END)) / h.k)) AS probability_up
+      FROM scored, (SELECT 5 AS horizon_days, 1.0 AS k UNION ALL SELECT 20, 2.0 UNION ALL SELECT 60, 3.0) h)""")
+_LAST = ", ".join(f"arg_max({c}, date) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in LAST_VALID)
+cte("summary", f"""
+SELECT *, trend_slope_60d / nullif(vol_60d, 0) AS trend_score, riskadj_mom_60d AS leader_score
+FROM (SELECT ticker, min(date) AS "start", max(date) AS "end", count(*) AS n_rows, arg_max(close_price, date) / arg_min(close_price, date) - 1 AS total_return, {_LAST}
+      FROM feats GROUP BY ticker) WHERE riskadj_mom_60d IS NOT NULL AND trend_slope_60d IS NOT NULL""")
+
+
+def bottom_rank(c: str, desc: bool = False) -> str:
+    """Percentile rank over all rows, ties averaged, nulls after every value."""
+    return (f"((rank() OVER (ORDER BY {c} {'DESC' if desc else 'ASC'} NULLS LAST) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0) / count(*) OVER ())")
+
+
+_RAW = " + ".join(f"{w} * {bottom_rank(c, c == 'vol_60d')}" for c, w in WATCH_WEIGHTS.items())
+cte("watch", f"""
+SELECT *, CASE WHEN confidence >= 80 AND trend_r2_60d >= 0.35 AND vol_60d <= 0.05 THEN '20d' WHEN confidence >= 65 THEN '5d' ELSE 'watch' END AS suggested_horizon,
+       CASE WHEN rank <= 10 AND confidence >= 75 THEN 'consider entry' WHEN rank <= 25 THEN 'research' ELSE 'watch' END AS recommendation
+FROM (SELECT *, 100 * raw_score AS confidence, row_number() OVER (ORDER BY raw_score DESC, leader_score DESC, dollar_vol_20d DESC, ticker) AS rank
+      FROM (SELECT *, {_RAW} AS raw_score FROM summary WHERE trend_score IS NOT NULL AND vol_60d IS NOT NULL AND dollar_vol_20d IS NOT NULL))
+WHERE rank <= 50""")
+cte("decisions", """
+SELECT *, substr(sha256(CAST(source_date AS VARCHAR) || '|' || ticker || '|' || action || '|' || CAST(horizon_days AS VARCHAR)), 1, 24) AS decision_id
+FROM (SELECT *, CASE WHEN probability_up >= 0.6 THEN 'consider entry' WHEN probability_up >= 0.5 THEN 'hold' ELSE 'avoid' END AS action
+      FROM (SELECT ticker, date AS source_date, close_price AS reference_price, close_price * 0.92 AS stop_loss, close_price * 1.16 AS target_price,
+              CASE day(date) % 3 WHEN 0 THEN 5 WHEN 1 THEN 20 ELSE 60 END AS horizon_days, 1 / (1 + exp(-4 * greatest(-7.5, least(7.5, ret_20d)))) AS probability_up
+            FROM panel WHERE EXISTS (SELECT 1 FROM raw_bars r WHERE r.returnflag = 'R' AND r.ticker = panel.ticker AND r.date = panel.date)))""")

@@ -5,13 +5,12 @@ Each method is a lazy DataFrame; ``plans/domain_sql.py`` states the same tables
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.frames import clip, flag
-from tessella.operators import features, targets
+from tessella.functions.scalars import hash_id
+from tessella.operators import features, screens, targets
 from tessella.operators.splits import walk_forward
 from tessella.session import stage
 
@@ -127,3 +126,34 @@ class Domain:
                     F.col("_m.probability").alias("probability"),
                     flag(F.col("future_return") > 0).alias("label"))
         )
+
+    def preds(self) -> DataFrame:
+        """Predictions of both models for three horizons on every test date, ranked per date."""
+        k = F.create_map(*[F.lit(x) for x in (5, 1.0, 20, 2.0, 60, 3.0)])
+        p = self.staged("scored").withColumn("horizon_days", F.explode(F.array(F.lit(5), F.lit(20), F.lit(60))))
+        signal = F.when(F.col("model") == "slow", F.col("ret_20d")).otherwise(F.col("ret_5d"))
+        p = p.select(
+            F.col("split").cast("long").alias("run_id"), F.col("date").alias("as_of_date"), "ticker", F.col("model").alias("model_name"),
+            F.col("horizon_days").cast("long").alias("horizon_days"),
+            (1 / (1 + F.exp(-4 * clip(signal, -7.5, 7.5) / k[F.col("horizon_days")]))).alias("probability_up"),
+            "future_return", "label")
+        w = Window.partitionBy("as_of_date", "horizon_days", "model_name").orderBy(F.desc("probability_up"), "ticker")
+        return p.withColumn("model_rank", F.row_number().over(w).cast("long"))
+
+    def summary(self) -> DataFrame:
+        return screens.feature_summary(self.staged("feats"))
+
+    def watch(self) -> DataFrame:
+        return screens.watchlist(self.staged("summary"), None, 50)
+
+    def decisions(self) -> DataFrame:
+        """One decision for every panel row on whose day the entity had returns."""
+        returned = self.raw_bars().where(F.col("returnflag") == "R").select("ticker", "date").distinct()
+        p = self.staged("panel").join(returned, ["ticker", "date"])
+        h = F.element_at(F.array(F.lit(5), F.lit(20), F.lit(60)), F.dayofmonth("date") % 3 + 1)
+        prob = 1 / (1 + F.exp(-4 * clip("ret_20d", -7.5, 7.5)))
+        d = p.select("ticker", F.col("date").alias("source_date"), F.col("close_price").alias("reference_price"),
+                     (F.col("close_price") * 0.92).alias("stop_loss"), (F.col("close_price") * 1.16).alias("target_price"),
+                     h.cast("long").alias("horizon_days"), prob.alias("probability_up"))
+        d = d.withColumn("action", F.when(F.col("probability_up") >= 0.6, "consider entry").when(F.col("probability_up") >= 0.5, "hold").otherwise("avoid"))
+        return d.withColumn("decision_id", hash_id(["source_date", "ticker", "action", "horizon_days"], 24))
