@@ -64,25 +64,27 @@ def strict_merge(prices: DataFrame, membership: DataFrame) -> DataFrame:
     return j.withColumn("_ok", F.coalesce(check, F.lit(0))).where(F.col("_ok") == 0).drop("_np", "_nm", "_ok")
 
 
-def nth_row_after(decisions: DataFrame, prices: DataFrame, h: int, inclusive: bool = False) -> DataFrame:
-    """The ``h``-th price row of the ticker after (or on, when ``inclusive``) the decision date.
-
-    Each decision first learns its position in the ticker's history; the target is then an
-    equi-join on (ticker, position)."""
-    pos = with_position(decisions, prices, inclusive)
-    numbered = prices.select(
-        "ticker", F.col("date").alias("target_date"), F.col("close_price").alias("target_close"),
-        F.row_number().over(history()).alias("_at"))
-    return pos.withColumn("_at", F.col("position") + h).join(numbered, ["ticker", "_at"], "left").drop("_at", "position")
+def future_path(decisions: DataFrame, prices: DataFrame, n: int, inclusive: bool = False) -> DataFrame:
+    """``path`` = the ticker's next ``n`` (date, close) rows after the decision date, or from it
+    on when ``inclusive``.
+
+    Decisions are merged into each ticker's history at their position, and a range frame over
+    positions gathers the following price rows: one shuffle on the ticker, no fan-out join."""
+    first = F.lit(1 if inclusive else 0)
+    px = prices.select("ticker", "date", F.struct("date", F.col("close_price").alias("close")).alias("_px"), first.alias("_o"))
+    mine = decisions.withColumns({"_px": F.lit(None).cast(px.schema["_px"].dataType), "_o": 1 - first, "_d": F.lit(1)})
+    both = mine.unionByName(px, allowMissingColumns=True)
+    hist = Window.partitionBy("ticker").orderBy("date", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_pos", F.count("_px").over(hist).cast("int"))
+    ahead = Window.partitionBy("ticker").orderBy("_pos").rangeBetween(1, n)
+    return both.withColumn("path", F.collect_list("_px").over(ahead)).where(F.col("_d") == 1).drop("_px", "_o", "_d", "_pos")
 
 
-def with_position(decisions: DataFrame, prices: DataFrame, inclusive: bool = False) -> DataFrame:
-    """``position`` = price rows of the ticker up to the decision date (before it when ``inclusive``)."""
-    tick = prices.select("ticker", "date", F.lit(1).alias("_n"), F.lit(0 if not inclusive else 1).alias("_o"))
-    mine = decisions.withColumns({"_n": F.lit(0), "_o": F.lit(1 if not inclusive else 0)})
-    w = Window.partitionBy("ticker").orderBy("date", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    both = mine.withColumn("_d", F.lit(1)).unionByName(tick, allowMissingColumns=True)
-    return both.withColumn("position", F.sum("_n").over(w)).where(F.col("_d") == 1).drop("_n", "_o", "_d")
+def nth_row_after(decisions: DataFrame, prices: DataFrame, h: int, inclusive: bool = False) -> DataFrame:
+    """The ``h``-th price row of the ticker after the decision date (counted from it when ``inclusive``)."""
+    hit = F.try_element_at("path", F.lit(h))
+    return future_path(decisions, prices, h, inclusive).withColumns({
+        "target_date": hit["date"], "target_close": hit["close"]}).drop("path")
 
 
 def latest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -103,7 +105,8 @@ def enrich(left: DataFrame, *sides: tuple[DataFrame, Sequence[str]]) -> DataFram
 def research_queue(watch: DataFrame, preds: DataFrame, horizon: int, n: int, threshold: float = 0.55) -> DataFrame:
     """Watch-list rows whose prediction reaches the threshold, in queue order."""
     p = preds.where((F.col("horizon_days") == horizon) & (F.col("probability_up") >= threshold))
-    return watch.join(p, "ticker").orderBy(F.desc("probability_up"), F.asc("rank"), F.asc("ticker")).limit(n)
+    order = [F.desc("probability_up"), F.desc("confidence"), F.asc("rank"), F.asc("ticker")]
+    return watch.join(p, "ticker").orderBy(*order).limit(n)
 
 
 def flag_in(df: DataFrame, keys: DataFrame, on: str = "ticker", out: str = "is_member") -> DataFrame:
@@ -120,18 +123,16 @@ def anti(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(keys, list(on), "left_anti")
 
 
-def snapshot_motion(snaps: DataFrame, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
-    """Speed and acceleration of each point over the last three snapshot dates."""
-    recent = snaps.select("date").distinct().orderBy(F.desc("date")).limit(3)
-    recent = recent.withColumn("_k", F.row_number().over(Window.orderBy(F.desc("date"))))
-    p = snaps.join(recent, "date")
-    dist = lambda a, b: F.sqrt(sum(
-        ((F.col(f"{c}{a}") - F.col(f"{c}{b}")) * (F.col(f"{c}{a}") - F.col(f"{c}{b}")) for c in axes), F.lit(0.0)))
-    wide = p.groupBy("ticker").agg(*[
+def snapshot_motion(snaps: DataFrame, as_of: str, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """Speed and acceleration of every point of the snapshot ``as_of`` against the two before it."""
+    days = snaps.where(F.col("date") <= F.lit(as_of).cast("date")).select("date").distinct().orderBy(F.desc("date")).limit(3)
+    days = days.withColumn("_k", F.row_number().over(Window.orderBy(F.desc("date"))))
+    wide = snaps.join(days, "date").groupBy("ticker").agg(*[
         F.max(F.when(F.col("_k") == k, F.col(c))).alias(f"{c}{k}") for k in (1, 2, 3) for c in axes])
-    speed, before = dist(1, 2), dist(2, 3)
-    return wide.where(F.col(f"{axes[0]}1").isNotNull()).select(
-        "ticker", speed.alias("speed"), before.alias("previous_speed"), (speed - before).alias("acceleration"))
+    gap = lambda c, a, b: (F.col(f"{c}{a}") - F.col(f"{c}{b}")) * (F.col(f"{c}{a}") - F.col(f"{c}{b}"))
+    dist = lambda a, b: F.sqrt(sum((gap(c, a, b) for c in axes[1:]), gap(axes[0], a, b)))
+    here = wide.where(F.col(f"{axes[0]}1").isNotNull())
+    return here.select("ticker", dist(1, 2).alias("movement_speed"), (dist(1, 2) - dist(2, 3)).alias("movement_acceleration"))
 
 
 def paired(df: DataFrame, side: str, a: str, b: str, keys: Sequence[str], metric: str) -> DataFrame:

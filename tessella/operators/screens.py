@@ -110,13 +110,13 @@ def watchlist(summary: DataFrame, prior: DataFrame | None, n: int, bonus: float
     only the final ``n`` rows are numbered in one task."""
     s = stage(summary.dropna(subset=["leader_score", "trend_score", "trend_slope_60d", "vol_60d", "dollar_vol_20d"]))
     # a missing metric ranks at the bottom, which for an average rank means after all values
-    n = s.select(F.count(F.lit(1))).scalar()
+    every = s.select(F.count(F.lit(1))).scalar()
     weight = F.create_map(*[F.lit(x) for kv in WATCH_WEIGHTS.items() for x in kv])
     ranks = long_ranks(s, ["ticker"], [], list(WATCH_WEIGHTS), descending=("vol_60d",))
     ranked = ranks.groupBy("ticker").agg(F.sum(weight[F.col("metric")] * F.col("pct") * F.col("have")).alias("_w"))
     counts = s.select(F.struct(*[F.count(c).alias(c) for c in WATCH_WEIGHTS])).scalar()
-    bottom = sum((F.when(F.col(c).isNull(), (counts[c] + (n - counts[c] + 1) / 2) * w).otherwise(0.0) for c, w in WATCH_WEIGHTS.items()), F.lit(0.0))
-    s = s.join(ranked, "ticker").withColumn("raw_score", (F.col("_w") + bottom) / n).drop("_w")
+    bottom = sum((F.when(F.col(c).isNull(), (counts[c] + (every - counts[c] + 1) / 2) * w).otherwise(0.0) for c, w in WATCH_WEIGHTS.items()), F.lit(0.0))
+    s = s.join(ranked, "ticker").withColumn("raw_score", (F.col("_w") + bottom) / every).drop("_w")
     if prior is None:
         s = s.withColumn("is_persistent", F.lit(0))
     else:

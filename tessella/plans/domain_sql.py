@@ -140,15 +140,61 @@ def bottom_rank(c: str, desc: bool = False) -> str:
 
 
 _RAW = " + ".join(f"{w} * {bottom_rank(c, c == 'vol_60d')}" for c, w in WATCH_WEIGHTS.items())
-cte("watch", f"""
+cte("watch_all", f"SELECT *, {_RAW} AS raw_score FROM summary WHERE trend_score IS NOT NULL AND vol_60d IS NOT NULL AND dollar_vol_20d IS NOT NULL")
+cte("watch", """
 SELECT *, CASE WHEN confidence >= 80 AND trend_r2_60d >= 0.35 AND vol_60d <= 0.05 THEN '20d' WHEN confidence >= 65 THEN '5d' ELSE 'watch' END AS suggested_horizon,
        CASE WHEN rank <= 10 AND confidence >= 75 THEN 'consider entry' WHEN rank <= 25 THEN 'research' ELSE 'watch' END AS recommendation
-FROM (SELECT *, 100 * raw_score AS confidence, row_number() OVER (ORDER BY raw_score DESC, leader_score DESC, dollar_vol_20d DESC, ticker) AS rank
-      FROM (SELECT *, {_RAW} AS raw_score FROM summary WHERE trend_score IS NOT NULL AND vol_60d IS NOT NULL AND dollar_vol_20d IS NOT NULL))
+FROM (SELECT *, 100 * raw_score AS confidence, row_number() OVER (ORDER BY raw_score DESC, leader_score DESC, dollar_vol_20d DESC, ticker) AS rank FROM watch_all)
 WHERE rank <= 50""")
 cte("decisions", """
 SELECT *, substr(sha256(CAST(source_date AS VARCHAR) || '|' || ticker || '|' || action || '|' || CAST(horizon_days AS VARCHAR)), 1, 24) AS decision_id
-FROM (SELECT *, CASE WHEN probability_up >= 0.6 THEN 'consider entry' WHEN probability_up >= 0.5 THEN 'hold' ELSE 'avoid' END AS action
+FROM (SELECT *, CASE WHEN probability_up >= 0.6 THEN 'paper buy candidate' WHEN probability_up >= 0.5 THEN 'watch' ELSE 'avoid for now' END AS action
       FROM (SELECT ticker, date AS source_date, close_price AS reference_price, close_price * 0.92 AS stop_loss, close_price * 1.16 AS target_price,
               CASE day(date) % 3 WHEN 0 THEN 5 WHEN 1 THEN 20 ELSE 60 END AS horizon_days, 1 / (1 + exp(-4 * greatest(-7.5, least(7.5, ret_20d)))) AS probability_up
             FROM panel WHERE EXISTS (SELECT 1 FROM raw_bars r WHERE r.returnflag = 'R' AND r.ticker = panel.ticker AND r.date = panel.date)))""")
+cte("price_pos", "SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS pos FROM prices")
+cte("market_days", "SELECT date, row_number() OVER (ORDER BY date) AS m, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM prices)")
+cte("decision_paths", """
+SELECT d.decision_id, h.h, min(f.date) FILTER (WHERE f.close_price <= d.stop_loss) AS stop_date, min(f.date) FILTER (WHERE f.close_price >= d.target_price) AS target_date,
+       max(f.date) FILTER (WHERE f.pos = p.pos + h.h) AS eval_date, max(f.close_price) FILTER (WHERE f.pos = p.pos + h.h) AS eval_price
+FROM decisions d JOIN price_pos p ON p.ticker = d.ticker AND p.date = d.source_date, (SELECT unnest([5, 20, 60]) AS h) h
+LEFT JOIN price_pos f ON f.ticker = d.ticker AND f.pos > p.pos AND f.pos <= p.pos + h.h
+GROUP BY 1, 2""")
+cte("outcomes", """
+SELECT *, substr(sha256(decision_id || '|' || CAST(evaluation_horizon_days AS VARCHAR) || '|' || status || '|' || CAST(evaluation_date AS VARCHAR)), 1, 24) AS outcome_id FROM (
+SELECT d.decision_id, d.ticker, d.source_date, d.action, d.horizon_days AS decision_horizon_days, x.h AS evaluation_horizon_days,
+       CASE WHEN eval_date IS NULL THEN md2.date ELSE eval_date END AS evaluation_date, eval_price AS evaluation_price, eval_price / d.reference_price - 1 AS return_pct,
+       CASE WHEN eval_date IS NULL THEN 'unavailable' WHEN stop_date IS NOT NULL AND (target_date IS NULL OR stop_date <= target_date) THEN 'stopped'
+            WHEN target_date IS NOT NULL THEN 'targeted' ELSE 'none' END AS barrier_result,
+       CASE WHEN eval_date IS NULL THEN NULL ELSE least(stop_date, target_date) END AS barrier_date,
+       CASE WHEN eval_date IS NULL THEN 'unavailable' WHEN stop_date IS NOT NULL AND (target_date IS NULL OR stop_date <= target_date) THEN 'stopped'
+            WHEN target_date IS NOT NULL THEN 'targeted' ELSE 'matured' END AS status
+FROM decisions d JOIN decision_paths x USING (decision_id) JOIN market_days md ON md.date = d.source_date JOIN market_days md2 ON md2.m = md.m + x.h)""")
+_K = "PARTITION BY run_id, horizon_days, model_name"
+cte("split_facts", """
+SELECT split AS run_id, min(CASE WHEN role = 'train' THEN date END) AS training_start, max(CASE WHEN role = 'train' THEN date END) AS training_end,
+       min(CASE WHEN role = 'test' THEN date END) AS test_start, max(CASE WHEN role = 'test' THEN date END) AS test_end,
+       avg(CASE WHEN role = 'train' THEN CASE WHEN future_return > 0 THEN 1.0 ELSE 0.0 END END) AS train_positive_rate, count(*) FILTER (WHERE role = 'train') AS training_rows
+FROM wf_splits JOIN panel USING (date) GROUP BY split""")
+cte("eval_base", f"""
+SELECT run_id, horizon_days, model_name, count(*) AS test_rows, avg(label) AS positive_rate, stddev_pop(p) AS probability_std, avg(CASE WHEN (p >= 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END) AS accuracy,
+       avg((p - label) * (p - label)) AS brier, avg(-(label * ln(q) + (1 - label) * ln(1 - q))) AS log_loss, max(train_positive_rate) AS base_rate,
+       avg((train_positive_rate - label) * (train_positive_rate - label)) AS baseline_brier, avg(-(label * ln(train_positive_rate) + (1 - label) * ln(1 - train_positive_rate))) AS baseline_log_loss,
+       (sum(CASE WHEN label = 1 THEN rk END) - sum(label) * (sum(label) + 1) / 2.0) / nullif(CAST(sum(label) AS DOUBLE) * (count(*) - sum(label)), 0) AS roc_auc,
+       avg(future_return) AS benchmark_average_return, count(*) FILTER (WHERE p >= 0.6) AS selected_rows, avg(future_return) FILTER (WHERE p >= 0.6) AS selected_average_return,
+       avg(CASE WHEN future_return > 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE p >= 0.6) AS selected_win_rate
+FROM (SELECT *, probability_up AS p, greatest(1e-6, least(1 - 1e-6, probability_up)) AS q, rank() OVER ({_K} ORDER BY probability_up) + (count(*) OVER ({_K}, probability_up) - 1) / 2.0 AS rk
+      FROM preds JOIN split_facts USING (run_id)) GROUP BY 1, 2, 3""")
+cte("eval_scored", """
+SELECT *, coalesce(roc_auc - 0.5, 0) + coalesce(greatest(-0.05, least(0.05, accuracy_lift)) * 0.75, 0) + coalesce(CASE WHEN selected_return_edge IS NOT NULL THEN greatest(-0.05, least(0.05, selected_return_edge)) END * 1.5, 0)
+        + coalesce(CASE WHEN selected_win_lift IS NOT NULL THEN greatest(-0.2, least(0.2, selected_win_lift)) END * 0.25, 0) + coalesce(greatest(-0.2, least(0.2, brier_skill)) * 0.25, 0) AS holdout_score
+FROM (SELECT *, greatest(positive_rate, 1 - positive_rate) AS majority_accuracy, accuracy - greatest(positive_rate, 1 - positive_rate) AS accuracy_lift, 1 - brier / nullif(baseline_brier, 0) AS brier_skill,
+        1 - log_loss / nullif(baseline_log_loss, 0) AS log_loss_skill, selected_average_return - benchmark_average_return AS selected_return_edge, selected_win_rate - positive_rate AS selected_win_lift FROM eval_base)""")
+cte("evals", """
+SELECT e.*, f.* EXCLUDE (run_id), w.* EXCLUDE (horizon_days, model_name), 'ok' AS fit_status, 5 AS embargo_dates, b.champion_score,
+       CASE WHEN row_number() OVER (PARTITION BY e.run_id, e.horizon_days ORDER BY b.champion_score DESC, e.model_name) = 1 THEN '1' ELSE '0' END AS is_champion
+FROM eval_scored e JOIN split_facts f USING (run_id) JOIN (
+  SELECT horizon_days, model_name, count(*) AS walk_forward_splits, count(*) FILTER (WHERE holdout_score > 0) AS walk_forward_positive_splits, avg(holdout_score) AS walk_forward_avg_score,
+         stddev_pop(holdout_score) AS walk_forward_score_std, avg(selected_return_edge) AS walk_forward_avg_return_edge, avg(brier_skill) AS walk_forward_avg_brier_skill, avg(roc_auc) AS walk_forward_avg_auc
+  FROM eval_scored GROUP BY 1, 2) w ON w.horizon_days = e.horizon_days AND w.model_name = e.model_name,
+  LATERAL (SELECT 0.55 * holdout_score + 0.45 * walk_forward_avg_score + 0.02 * (CAST(walk_forward_positive_splits AS DOUBLE) / walk_forward_splits - 0.5) - 0.10 * walk_forward_score_std AS champion_score) b""")

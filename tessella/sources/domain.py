@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.frames import clip, flag
 from tessella.functions.scalars import hash_id
-from tessella.operators import features, screens, targets
+from tessella.operators import features, metrics, screens, targets, tracking
 from tessella.operators.splits import walk_forward
 from tessella.session import stage
 
@@ -155,5 +155,24 @@ class Domain:
         d = p.select("ticker", F.col("date").alias("source_date"), F.col("close_price").alias("reference_price"),
                      (F.col("close_price") * 0.92).alias("stop_loss"), (F.col("close_price") * 1.16).alias("target_price"),
                      h.cast("long").alias("horizon_days"), prob.alias("probability_up"))
-        d = d.withColumn("action", F.when(F.col("probability_up") >= 0.6, "consider entry").when(F.col("probability_up") >= 0.5, "hold").otherwise("avoid"))
+        d = d.withColumn("action", F.when(F.col("probability_up") >= 0.6, "paper buy candidate").when(F.col("probability_up") >= 0.5, "watch").otherwise("avoid for now"))
         return d.withColumn("decision_id", hash_id(["source_date", "ticker", "action", "horizon_days"], 24))
+
+    def outcomes(self) -> DataFrame:
+        return tracking.evaluate_outcomes(self.staged("decisions"), self.prices())
+
+    def evals(self) -> DataFrame:
+        """Evaluation row of every run, horizon and model on the predictions."""
+        by = ["run_id", "horizon_days", "model_name"]
+        days = self.staged("panel").groupBy("date").agg(F.sum(flag(F.col("future_return") > 0)).alias("up"), F.count(F.lit(1)).alias("n"))
+        s = self.splits().join(days, "date")
+        d = s.groupBy(F.col("split").cast("long").alias("run_id")).agg(
+            *[f(F.when(F.col("role") == r, F.col("date"))).alias(f"{o}_{e}") for r, o in (("train", "training"), ("test", "test")) for f, e in ((F.min, "start"), (F.max, "end"))],
+            (F.sum(F.when(F.col("role") == "train", F.col("up"))) / F.sum(F.when(F.col("role") == "train", F.col("n")))).alias("train_positive_rate"),
+            F.sum(F.when(F.col("role") == "train", F.col("n"))).alias("training_rows"))
+        p = stage(self.staged("preds").join(d.select("run_id", "train_positive_rate"), "run_id"))
+        e = metrics.evaluate(p, by, "probability_up", "future_return", "label", "train_positive_rate").join(d, "run_id")
+        e = metrics.champion_score(e.withColumns({"fit_status": F.lit("ok"), "embargo_dates": F.lit(5)}))
+        e = metrics.wf_blend(e, metrics.walk_forward_summary(e))
+        best = Window.partitionBy("run_id", "horizon_days").orderBy(F.desc("champion_score"), "model_name")
+        return e.withColumn("is_champion", flag(F.row_number().over(best) == 1).cast("string"))
