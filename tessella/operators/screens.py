@@ -116,7 +116,7 @@ def watchlist(summary: DataFrame, prior: DataFrame | None, n: int, bonus: float
     ranked = ranks.groupBy("ticker").agg(F.sum(weight[F.col("metric")] * F.col("pct") * F.col("have")).alias("_w"))
     counts = s.select(F.struct(*[F.count(c).alias(c) for c in WATCH_WEIGHTS])).scalar()
     bottom = sum((F.when(F.col(c).isNull(), (counts[c] + (every - counts[c] + 1) / 2) * w).otherwise(0.0) for c, w in WATCH_WEIGHTS.items()), F.lit(0.0))
-    s = s.join(ranked, "ticker").withColumn("raw_score", (F.col("_w") + bottom) / every).drop("_w")
+    s = s.join(ranked, "ticker").withColumn("raw_score", F.round((F.col("_w") + bottom) / every, 12)).drop("_w")
     if prior is None:
         s = s.withColumn("is_persistent", F.lit(0))
     else:

@@ -12,6 +12,10 @@ from tessella.functions.scalars import hash_id
 from tessella.operators.joins import future_path
 
 HORIZONS = (5, 20, 60)
+OUTCOME_COLUMNS = (
+    "decision_id", "ticker", "source_date", "action", "decision_horizon_days", "evaluation_horizon_days", "entry_price", "stop_loss",
+    "target_price", "evaluation_date", "evaluation_price", "return_pct", "barrier_result", "barrier_date", "status",
+)
 
 
 def refresh_returns(picks: DataFrame, prices: DataFrame, horizons: Sequence[int] = (1, 5, 20, 60)) -> DataFrame:
@@ -64,7 +68,7 @@ def evaluate_outcomes(decisions: DataFrame, prices: DataFrame, existing: DataFra
         "status": F.when(F.col("_ok"), F.coalesce(hit, F.lit("matured"))).otherwise("unavailable"),
         "decision_horizon_days": F.col("horizon_days"), "entry_price": F.col("reference_price")})
     p = p.withColumn("outcome_id", hash_id(["decision_id", "evaluation_horizon_days", "status", "evaluation_date"], 24))
-    p = p.drop("path", "_market", "_ok", "_stop", "_target", "horizon_days", "reference_price")
+    p = p.select("outcome_id", *OUTCOME_COLUMNS)
     return p if existing is None else p.join(existing.select("outcome_id"), "outcome_id", "left_anti")
 
 

@@ -102,7 +102,7 @@ def pair_stability(pairs: DataFrame, n: int = 1000) -> DataFrame:
     s = p.groupBy(F.least("A", "B").alias("A"), F.greatest("A", "B").alias("B")).agg(
         F.countDistinct("run_id").alias("runs"), F.count("similarity").alias("observations"), F.avg("similarity").alias("avg_similarity"),
         F.stddev_samp("similarity").alias("std_similarity"), F.min("similarity").alias("min_similarity"), F.max("similarity").alias("max_similarity"))
-    return s.orderBy(F.desc("runs"), F.desc("avg_similarity"), "A", "B").limit(n)
+    return s.orderBy(F.desc("runs"), F.round("avg_similarity", 12).desc(), "A", "B").limit(n)
 
 
 def outcome_summary(outcomes: DataFrame) -> DataFrame:
@@ -241,14 +241,23 @@ def latest_inventory(inventory: DataFrame) -> DataFrame:
     return inventory.orderBy(*order, "run_id").limit(1)
 
 
-def findings(evals: DataFrame, gates: DataFrame, status: DataFrame) -> DataFrame:
-    """Rule-based findings with severity, one row per rule that fires."""
-    auc = evals.select(F.max("roc_auc")).scalar()
-    skill = evals.select(F.max("brier_skill")).scalar()
-    leak = gates.select(F.count_if(F.col("trust_tier") == "leakage_review")).scalar()
-    still_open = status.select(F.max("open")).scalar()
-    row = lambda sev, area, value: F.struct(F.lit(sev).alias("severity"), F.lit(area).alias("area"), value.cast("double").alias("evidence"))
+def findings(gates: DataFrame, leakage: DataFrame, outcomes: DataFrame, shape: DataFrame, buy: str = "paper buy candidate", min_rows: int = 100) -> DataFrame:
+    """(priority, area, evidence) of every rule that fires over the summaries.
+
+    Trust: no champion is ready (evidence: best champion AUC).  Leakage: rows to review, also
+    reported when clean.  Outcomes: too few evaluated buys.  Shape: largest extreme or
+    high-confidence share among slices with enough rows."""
+    champ = gates.where(F.col("is_champion_gate") == 1).select(F.struct(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("trust_tier") == "paper_review").alias("ready"), F.max("roc_auc").alias("auc"))).scalar()
+    bad = leakage.select(F.count_if(F.col("leakage_audit_status") != "ok")).scalar()
+    bought = outcomes.select(F.coalesce(F.sum(F.when(F.col("action") == buy, F.col("evaluated"))), F.lit(0))).scalar()
+    big = shape.where(F.col("n_rows") >= min_rows).select(F.struct(F.max("extreme_share").alias("x"), F.max("high_confidence_share").alias("h"))).scalar()
+    row = lambda p, area, value: F.struct(p.alias("priority"), F.lit(area).alias("area"), value.cast("double").alias("evidence"))
+    p = lambda x: F.lit(x)
+    facts = gates.sparkSession.range(1).select(champ.alias("c"), bad.alias("b"), bought.alias("o"), big.alias("s"))
+    c, b, o, s = F.col("c"), F.col("b"), F.col("o"), F.col("s")
     checks = F.array_compact(F.array(
-        F.when(auc < 0.55, row("high", "weak discrimination", auc)), F.when(skill <= 0, row("high", "no probability skill", skill)),
-        F.when(leak > 0, row("high", "metrics need leakage review", leak)), F.when(still_open > 0, row("medium", "decisions not yet resolved", still_open))))
-    return evals.sparkSession.range(1).select(F.explode(checks).alias("x")).select("x.*")
+        F.when(c["n"] == 0, row(p("P0"), "model_trust", F.lit(None))).when(c["ready"] == 0, row(p("P0"), "model_trust", c["auc"])),
+        row(F.when(b == 0, "P1").otherwise("P0"), "leakage_audit", b), F.when(o < 30, row(p("P1"), "paper_outcomes", o)),
+        F.when(s["x"] > 0.05, row(p("P2"), "probability_shape", s["x"])).when(s["h"] > 0.10, row(p("P2"), "probability_shape", s["h"]))))
+    return facts.select(F.explode(checks).alias("x")).select("x.*")

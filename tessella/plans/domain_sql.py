@@ -140,7 +140,7 @@ def bottom_rank(c: str, desc: bool = False) -> str:
 
 
 _RAW = " + ".join(f"{w} * {bottom_rank(c, c == 'vol_60d')}" for c, w in WATCH_WEIGHTS.items())
-cte("watch_all", f"SELECT *, {_RAW} AS raw_score FROM summary WHERE trend_score IS NOT NULL AND vol_60d IS NOT NULL AND dollar_vol_20d IS NOT NULL")
+cte("watch_all", f"SELECT *, round({_RAW}, 12) AS raw_score FROM summary WHERE trend_score IS NOT NULL AND vol_60d IS NOT NULL AND dollar_vol_20d IS NOT NULL")
 cte("watch", """
 SELECT *, CASE WHEN confidence >= 80 AND trend_r2_60d >= 0.35 AND vol_60d <= 0.05 THEN '20d' WHEN confidence >= 65 THEN '5d' ELSE 'watch' END AS suggested_horizon,
        CASE WHEN rank <= 10 AND confidence >= 75 THEN 'consider entry' WHEN rank <= 25 THEN 'research' ELSE 'watch' END AS recommendation

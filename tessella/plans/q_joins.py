@@ -16,11 +16,12 @@ W = "OVER (PARTITION BY ticker ORDER BY date)"
 
 
 @query("C01_research_queue", "ticker rank:i model_name probability_up:r confidence:r as_of_date:d",
-       """SELECT * FROM watch JOIN preds USING (ticker) WHERE horizon_days = 20 AND probability_up >= 0.55 AND as_of_date = (SELECT max(as_of_date) FROM preds)
+       """SELECT * FROM watch JOIN (SELECT * FROM preds WHERE model_name = 'slow' QUALIFY as_of_date = max(as_of_date) OVER (PARTITION BY ticker)) USING (ticker) WHERE horizon_days = 20 AND probability_up >= 0.55
        ORDER BY probability_up DESC, confidence DESC, rank, ticker LIMIT 25""")
 def _(t):
-    p = t.staged("preds")
-    return jn.research_queue(t.staged("watch"), p.where(F.col("as_of_date") == p.select(F.max("as_of_date")).scalar()), 20, 25)
+    p = t.staged("preds").where(F.col("model_name") == "slow")
+    last = p.groupBy("ticker").agg(F.max("as_of_date").alias("as_of_date"))
+    return jn.research_queue(t.staged("watch"), p.join(last, ["ticker", "as_of_date"], "left_semi"), 20, 25)
 
 
 @query("C02_enrich", "ticker leader_score:r ret_60d:r avg_volume:r avg_dollar_vol:r days:i",
