@@ -167,7 +167,7 @@ def variant_families(symbols: DataFrame, dirs: DataFrame, snap: DataFrame, min_c
     r = pct_ranks(s, ["ticker"], ["family"], {"dollar_vol_20d": "_d", "trend_slope_60d": "_s", "ret_60d": "_m", "vol_60d": "_v"})
     half = lambda c: F.coalesce(F.col(c), F.lit(0.5))
     score = 0.40 * half("_d") + 0.30 * half("_s") + 0.20 * half("_m") + 0.10 * F.coalesce(1 - F.col("_v"), F.lit(0.5))
-    r = stage(r.withColumn("score", score).select("family", "ticker", "members", "score"))
+    r = stage(r.withColumn("score", F.round(score, 12)).select("family", "ticker", "members", "score"))
     win = r.groupBy("family").agg(F.max("score").alias("_top"))
     win = r.join(win, "family").where(F.col("score") == F.col("_top")).groupBy("family").agg(F.min("ticker").alias("_w"))
     chosen = F.col("ticker") == F.col("_w")
@@ -190,7 +190,7 @@ def feature_knn_graph(latest: DataFrame, cols: Sequence[str], k: int) -> tuple[D
     near = stage(blocks.nearest_points(pts, pts.select(F.col("id").alias("ref"), "x", F.lit(0.0).alias("payload")), k, skip_self=True))
     scale = quantiles(near.where(F.col("distance") > 0), [], "distance", {"m": 0.5}).select(F.max("m")).scalar()
     s = F.coalesce(scale, F.lit(1.0))
-    way = near.select("id", "ref", F.exp(-F.col("distance") * F.col("distance") / (2 * s * s)).alias("w"))
+    way = near.select("id", "ref", F.exp(-F.col("distance") * F.col("distance") / (2 * s * s)).alias("w")).where(F.col("w") > 0)
     sym = way.unionByName(way.select(F.col("ref").alias("id"), F.col("id").alias("ref"), "w"))
     edges = stage(sym.groupBy(F.col("id").alias("ticker"), F.col("ref").alias("neighbor")).agg(F.max("w").alias("weight")))
     nodes = edges.groupBy("ticker").agg(F.sum("weight").alias("graph_strength"), F.count(F.lit(1)).alias("graph_degree"))
@@ -227,7 +227,7 @@ def spectral(edges: DataFrame, dims: int = 3, rounds: int = 30) -> DataFrame:
     vs = [f"v{i}" for i in range(k)]
     s = edges.groupBy("ticker").agg(F.sum("weight").alias("s"))
     a = edges.join(s, "ticker").join(s.select(F.col("ticker").alias("neighbor"), F.col("s").alias("s2")), "neighbor")
-    a = stage(a.select("ticker", "neighbor", (F.col("weight") / F.sqrt(F.col("s") * F.col("s2"))).alias("w")))
+    a = stage(a.select("ticker", "neighbor", (F.col("weight") / F.sqrt("s") / F.sqrt("s2")).alias("w")))
     # the leading eigenvector is known: the square root of the strength
     v = stage(s.select("ticker", F.sqrt("s").alias("v0"), *[hash_coord(F.concat("ticker", F.lit(f"|{i}"))).alias(f"v{i}") for i in range(1, k)]))
     gram = [F.sum(F.col(vs[i]) * F.col(vs[j])).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
@@ -273,10 +273,11 @@ def _project(points: DataFrame, fit: DataFrame, dims: int, unit: bool) -> DataFr
     pc = pc * np.where(pc[np.abs(pc).argmax(0), range(dims)] < 0, -1.0, 1.0)
     dot = lambda j: F.aggregate(F.zip_with("x", F.array(*[F.lit(float(w)) for w in pc[:, j]]), lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
     names = ["x_pc", "y_pc", "z_pc"][:dims]
-    out = stage(points.select("id", *[dot(j).alias(n) for j, n in enumerate(names)]))
+    keep = [c for c in points.columns if c != "x"]
+    out = stage(points.select(*keep, *[dot(j).alias(n) for j, n in enumerate(names)]))
     if unit:
         st = out.select(F.struct(*[F.stddev_pop(n).alias(n) for n in names])).scalar()
-        out = out.select("id", *[(F.col(n) / F.when(st[n] > 0, st[n]).otherwise(1.0)).alias(n) for n in names])
+        out = out.select(*keep, *[(F.col(n) / F.when(st[n] > 0, st[n]).otherwise(1.0)).alias(n) for n in names])
     return out
 
 

@@ -198,3 +198,11 @@ FROM eval_scored e JOIN split_facts f USING (run_id) JOIN (
          stddev_pop(holdout_score) AS walk_forward_score_std, avg(selected_return_edge) AS walk_forward_avg_return_edge, avg(brier_skill) AS walk_forward_avg_brier_skill, avg(roc_auc) AS walk_forward_avg_auc
   FROM eval_scored GROUP BY 1, 2) w ON w.horizon_days = e.horizon_days AND w.model_name = e.model_name,
   LATERAL (SELECT 0.55 * holdout_score + 0.45 * walk_forward_avg_score + 0.02 * (CAST(walk_forward_positive_splits AS DOUBLE) / walk_forward_splits - 0.5) - 0.10 * walk_forward_score_std AS champion_score) b""")
+cte("gscored", """
+SELECT split, date, s.ticker, probability, label, future_return AS forward_return, ret_20d, dollar_vol_20d_log, drawdown_60d AS graph_similarity_mean, ret_20d * ret_5d AS neighbor_confirmation, vol_20d AS graph_degree,
+       CASE WHEN nation % 5 = 0 THEN -1 ELSE nation % 5 END AS cluster FROM scored s JOIN symbols y ON y.ticker = s.ticker WHERE model = 'slow'""")
+cte("ret1d", """
+SELECT ticker, date, r - (sum(r) OVER (PARTITION BY date) - r) / nullif(count(r) OVER (PARTITION BY date) - 1, 0) AS residual_return_1d FROM (
+  SELECT p.ticker, p.date, CASE WHEN o.next_date = o.market_next THEN o.r END AS r FROM panel p LEFT JOIN (
+    SELECT q.*, m2.date AS market_next FROM (SELECT ticker, date, lead(date) OVER (PARTITION BY ticker ORDER BY date) AS next_date, lead(close_price) OVER (PARTITION BY ticker ORDER BY date) / close_price - 1 AS r FROM prices) q
+    JOIN market_days m ON m.date = q.date JOIN market_days m2 ON m2.m = m.m + 1) o ON o.ticker = p.ticker AND o.date = p.date)""")

@@ -109,7 +109,7 @@ ANCHORS = ("1997-06-01", "1998-03-15", "2000-02-15")
 
 
 def market_bars(t):
-    """Ten-day buckets, so that complete short windows exist in sparse test data."""
+    """Thirty-day bars, so that complete short windows exist in sparse test data."""
     day = F.date_sub("date", F.pmod(F.unix_date("date"), F.lit(30)))
     return t.prices().groupBy("ticker", day.alias("date")).agg(F.avg("close_price").alias("close_price"), F.sum("volume").alias("volume"))
 

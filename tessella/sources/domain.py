@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.frames import clip, flag
 from tessella.functions.scalars import hash_id
-from tessella.operators import features, metrics, screens, targets, tracking
+from tessella.operators import features, metrics, portfolio, screens, targets, tracking
 from tessella.operators.splits import walk_forward
 from tessella.session import stage
 
@@ -176,3 +176,15 @@ class Domain:
         e = metrics.wf_blend(e, metrics.walk_forward_summary(e))
         best = Window.partitionBy("run_id", "horizon_days").orderBy(F.desc("champion_score"), "model_name")
         return e.withColumn("is_champion", flag(F.row_number().over(best) == 1).cast("string"))
+
+    def gscored(self) -> DataFrame:
+        """The slow model's rows with stand-ins for graph columns and a cluster id."""
+        c = F.col
+        s = self.staged("scored").where(c("model") == "slow")
+        cluster = self.symbols().select("ticker", F.when(c("nation") % 5 == 0, -1).otherwise(c("nation") % 5).alias("cluster"))
+        return s.join(cluster, "ticker").select(
+            "split", "date", "ticker", "probability", "label", c("future_return").alias("forward_return"), "ret_20d", "dollar_vol_20d_log",
+            c("drawdown_60d").alias("graph_similarity_mean"), (c("ret_20d") * c("ret_5d")).alias("neighbor_confirmation"), c("vol_20d").alias("graph_degree"), "cluster")
+
+    def ret1d(self) -> DataFrame:
+        return portfolio.one_day_residuals(self.prices(), self.staged("panel"))
