@@ -66,3 +66,16 @@ def clip(c: str | Column, lo: float | None = None, hi: float | None = None) -> C
 def flag(cond: Column) -> Column:
     """1 when true, otherwise 0 (also for null)."""
     return F.when(cond, 1).otherwise(0)
+
+
+def correlation(x: str | Column, y: str | Column, w: WindowSpec | None = None) -> Column:
+    """Pearson correlation over complete pairs, null when a side is constant.
+
+    The built-in ``corr`` divides by the deviations and fails on a constant side in ANSI mode,
+    even under a guarding ``when``, because aggregates are evaluated first."""
+    a, b = col(x).cast("double"), col(y).cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    over = (lambda c: c) if w is None else (lambda c: c.over(w))
+    cov = over(F.covar_pop(a, b))
+    sa, sb = over(F.stddev_pop(F.when(both, a))), over(F.stddev_pop(F.when(both, b)))
+    return F.try_divide(cov, sa * sb)

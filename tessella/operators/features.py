@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.frames import clip, finite, flag, history, ratio, rolling, trailing
+from tessella.functions.frames import clip, correlation, flag, history, ratio, rolling, trailing
 
 CLOSE = "close_price"
 
@@ -71,7 +71,7 @@ def trend_ols(df: DataFrame, n: int = 60, slope: str = "trend_slope_60d", r2: st
     w = trailing(n)
     full = (F.count(CLOSE).over(w) == n) & (F.max(CLOSE).over(w) > F.min(CLOSE).over(w))
     i = F.col("_i").cast("double")
-    corr = F.corr(i, F.col(CLOSE)).over(w)
+    corr = correlation(i, CLOSE, w)
     return (
         df.withColumn("_i", F.row_number().over(history()))
         .withColumns({slope: F.when(full, F.regr_slope(F.col(CLOSE), i).over(w)), r2: F.when(full, corr * corr)})
@@ -100,7 +100,7 @@ def roll_ac1(df: DataFrame, n: int = 5, form: str = "inside", min_pairs: int | N
     x, y = F.when(both, F.col(ret)), F.when(both, F.col("_prev"))
     ready = F.count(x).over(w) >= (min_pairs or pairs)
     moving = (F.max(x).over(w) > F.min(x).over(w)) & (F.max(y).over(w) > F.min(y).over(w))
-    return df.withColumn(out, F.when(ready & moving, finite(F.corr(x, y).over(w)))).drop("_prev")
+    return df.withColumn(out, F.when(ready & moving, correlation(x, y, w))).drop("_prev")
 
 
 def roll_mdd(df: DataFrame, n: int = 60, out: str = "max_dd_60d") -> DataFrame:

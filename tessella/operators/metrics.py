@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.frames import clip, finite, flag, ratio
+from tessella.functions.frames import clip, correlation, flag, ratio
 from tessella.functions.ranking import average_rank, quantiles, rank_stats, running_below
 
 
@@ -96,7 +96,7 @@ def rank_ic(df: DataFrame, by: Sequence[str], score: str, ret: str, out: str = "
     b = rank_stats(d, by, ret, "b").select(*by, ret, average_rank("b").alias("_rb"))
     r = d.join(a, [*by, score]).join(b, [*by, ret])
     moving = (F.max("_ra") > F.min("_ra")) & (F.max("_rb") > F.min("_rb"))
-    return r.groupBy(*by).agg(F.when(moving, finite(F.corr("_ra", "_rb"))).alias(out))
+    return r.groupBy(*by).agg(F.when(moving, correlation("_ra", "_rb")).alias(out))
 
 
 def regression_metrics(df: DataFrame, by: Sequence[str], pred: str, target: str) -> DataFrame:
@@ -178,7 +178,7 @@ def feature_quality(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> D
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     one = train.agg(
         *stats(train, "m_"), *[F.avg(c).alias(f"a_{c}") for c in cols], *[F.stddev_samp(c).alias(f"s_{c}") for c in cols],
-        *[F.abs(finite(F.corr(a, b))).alias(f"c_{a}__{b}") for a, b in pairs])
+        *[F.abs(correlation(a, b)).alias(f"c_{a}__{b}") for a, b in pairs])
     two = test.agg(*stats(test, "t_")).withColumn("_k", F.lit(1))
     row = one.withColumn("_k", F.lit(1)).join(two, "_k")
     best = {c: F.greatest(*[F.col(f"c_{a}__{b}") for a, b in pairs if c in (a, b)], F.lit(None).cast("double")) for c in cols}

@@ -205,6 +205,8 @@ def sleeve_replay(preds: DataFrame, ret1d: DataFrame, by: Sequence[str], k: int,
     Turnover is half the L1 change of weights and cash; the replay ends on the first date after
     the last signal without an active sleeve.  Signals on dates without one-day rows never open."""
     by = list(by)
+    if not by:  # one group: give it a constant key
+        return sleeve_replay(preds.withColumn("_g", F.lit(1)), ret1d, ["_g"], k, sleeves, bps, score).drop("_g")
     sig = first_rows(preds.select(*by, "date", "ticker", score), [*by, "date"], [F.desc(score), F.asc("ticker")], k, "_k")
     size = sig.groupBy(*by, "date").agg(F.count(F.lit(1)).alias("_n"))
     sig = stage(sig.join(size, [*by, "date"]).select(*by, "date", "ticker", (1.0 / (sleeves * F.col("_n"))).alias("w")))

@@ -29,6 +29,16 @@ def test_flat_window_has_no_slope_and_no_z(spark):
     assert vals(features.ma_features(p), "z_ma20")[-1] is None
 
 
+def test_constant_returns_have_no_autocorrelation(spark):
+    p = features.pct_change(prices(spark, [1, 2, 4, 8, 16, 32, 64]), 1)
+    assert vals(features.roll_ac1(p, 5), "ac1_5d")[-1] is None
+
+
+def test_constant_scores_have_no_rank_ic(spark):
+    df = spark.createDataFrame([("g", 0.5, 1.0), ("g", 0.5, 2.0), ("h", 0.1, 1.0), ("h", 0.2, 2.0)], "g string, s double, r double")
+    assert {r["g"]: r["rank_ic"] for r in metrics.rank_ic(df, ["g"], "s", "r").collect()} == {"g": None, "h": pytest.approx(1.0)}
+
+
 def test_since_max_takes_the_oldest_maximum(spark):
     p = prices(spark, [1, 9, 2, 9, 3])
     assert vals(features.since_max(p, 5, "m"), "m") == [None, None, None, None, 3]

@@ -63,6 +63,6 @@ def test_bucket_keeps_order(spark, values):
 
 
 def test_first_rows_limits_before_shuffle(spark):
-    df = spark.range(1000).withColumn("g", F.lit(1))
+    df = spark.range(1000).withColumn("g", F.col("id") % 3)
     plan = rk.first_rows(df, ["g"], [F.desc("id")], 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
