@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 TILE = 256
 
 
-def _tile_count(rows: DataFrame, tile: int) -> DataFrame:
-    """Number of tiles of each group: groups are counted on the map side."""
-    return rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("_tiles"))
+def _tile_number(rows: DataFrame, tile: int) -> Column:
+    """Number of tiles of all rows, as a scalar subquery."""
+    return F.greatest(F.lit(1), rows.select(F.ceil(F.count(F.lit(1)) / tile)).scalar()).cast("int")
 
 
-def _tile_of(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.col("_tiles")).cast("int")
+def _tile_of(key: Column, tiles: Column) -> Column:
+    return F.pmod(F.xxhash64(key), tiles).cast("int")
 
 
 def profiles(df: DataFrame, value: str, group: Column | None = None) -> DataFrame:
@@ -36,9 +36,17 @@ def profiles(df: DataFrame, value: str, group: Column | None = None) -> DataFram
     return pairs.select("grp", "ticker", F.transform("p", lambda x: x["d"]).alias("pos"), F.transform("p", lambda x: x["v"]).alias("val"))
 
 
-def _paired_tiles(rows: DataFrame, tile: int) -> DataFrame:
-    """Replicate each row to every tile pair its tile belongs to."""
-    r = rows.join(_tile_count(rows, tile), "grp").withColumn("tile", _tile_of(F.col("ticker")))
+def _paired_tiles(rows: DataFrame, tile: int, grouped: bool) -> DataFrame:
+    """Replicate each row to every tile pair its tile belongs to.
+
+    With groups each group has its own number of tiles; without, the number is a scalar and no
+    join on a constant key happens."""
+    if grouped:
+        n = rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("_tiles"))
+        r = rows.join(n, "grp")
+    else:
+        r = rows.withColumn("_tiles", _tile_number(rows, tile))
+    r = r.withColumn("tile", _tile_of(F.col("ticker"), F.col("_tiles")))
     r = r.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
     return r.withColumns({"lo": F.least("tile", "_o"), "hi": F.greatest("tile", "_o")}).drop("_o", "_tiles")
 
@@ -87,7 +95,7 @@ def _best(names_a, names_b, sim, k):
 
 
 def similar_pairs(rows: DataFrame, min_overlap: int, lo: float, hi: float = 1.01, absolute: bool = False,
-                  form: str = "pearson", centre: bool = False, tile: int = TILE) -> DataFrame:
+                  form: str = "pearson", centre: bool = False, grouped: bool = False, tile: int = TILE) -> DataFrame:
     """Pairs a < b with enough common dates and similarity in [lo, hi)."""
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         t_lo, t_hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
@@ -105,11 +113,11 @@ def similar_pairs(rows: DataFrame, min_overlap: int, lo: float, hi: float = 1.01
         swap = x > y
         return pd.DataFrame({"grp": pdf["grp"].iloc[0], "a": np.where(swap, y, x), "b": np.where(swap, x, y), "n": n[i, j].astype("int64"), "similarity": s[i, j]})
 
-    return _paired_tiles(rows, tile).groupBy("grp", "lo", "hi").applyInPandas(work, "grp string, a string, b string, n long, similarity double")
+    return _paired_tiles(rows, tile, grouped).groupBy("grp", "lo", "hi").applyInPandas(work, "grp string, a string, b string, n long, similarity double")
 
 
 def nearest(rows: DataFrame, k: int, min_overlap: int, lo: float = 0.0, form: str = "pearson", centre: bool = True,
-            degree_at: float | None = None, tile: int = TILE) -> DataFrame:
+            degree_at: float | None = None, grouped: bool = False, tile: int = TILE) -> DataFrame:
     """Candidates (ticker, neighbor, similarity > lo): the best ``k`` of every tile pair, which
     contain the best ``k`` overall.  With ``degree_at`` a row without neighbor carries the number
     of others at or above that similarity in ``n``."""
@@ -131,7 +139,7 @@ def nearest(rows: DataFrame, k: int, min_overlap: int, lo: float = 0.0, form: st
         out.insert(0, "grp", pdf["grp"].iloc[0])
         return out
 
-    return _paired_tiles(rows, tile).groupBy("grp", "lo", "hi").applyInPandas(work, "grp string, ticker string, neighbor string, similarity double, n long")
+    return _paired_tiles(rows, tile, grouped).groupBy("grp", "lo", "hi").applyInPandas(work, "grp string, ticker string, neighbor string, similarity double, n long")
 
 
 def nearest_points(points: DataFrame, refs: DataFrame, k: int, tile: int = 1024, skip_self: bool = False) -> DataFrame:
@@ -141,14 +149,12 @@ def nearest_points(points: DataFrame, refs: DataFrame, k: int, tile: int = 1024,
     tiled; every tile pair keeps its best ``k`` and the caller's final ranking merges them."""
     from tessella.functions.ranking import first_rows
 
-    one = F.lit("*").alias("grp")
-    p = points.select(one, F.col("id").cast("string").alias("ticker"), "x", F.lit(None).cast("double").alias("payload"), F.lit(0).alias("side"))
-    r = refs.select(one, F.col("ref").cast("string").alias("ticker"), "x", F.col("payload").cast("double").alias("payload"), F.lit(1).alias("side"))
-    tp = p.join(_tile_count(p, tile), "grp").withColumn("pt", _tile_of(F.col("ticker"))).drop("_tiles")
-    tr = r.join(_tile_count(r, tile), "grp").withColumn("rt", _tile_of(F.col("ticker"))).drop("_tiles")
-    n_p, n_r = _tile_count(p, tile), _tile_count(r, tile)
-    tp = tp.join(n_r, "grp").withColumn("rt", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))).drop("_tiles")
-    tr = tr.join(n_p, "grp").withColumn("pt", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))).drop("_tiles")
+    p = points.select(F.col("id").cast("string").alias("ticker"), "x", F.lit(None).cast("double").alias("payload"), F.lit(0).alias("side"))
+    r = refs.select(F.col("ref").cast("string").alias("ticker"), "x", F.col("payload").cast("double").alias("payload"), F.lit(1).alias("side"))
+    n_p, n_r = _tile_number(points, tile), _tile_number(refs, tile)
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    tp = p.withColumn("pt", _tile_of(F.col("ticker"), n_p)).withColumn("_n", n_r).withColumn("rt", spread(F.col("_n"))).drop("_n")
+    tr = r.withColumn("rt", _tile_of(F.col("ticker"), n_r)).withColumn("_n", n_p).withColumn("pt", spread(F.col("_n"))).drop("_n")
     both = tp.unionByName(tr)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -152,7 +152,7 @@ def variant_families(symbols: DataFrame, dirs: DataFrame, snap: DataFrame, min_c
     keep = symbols.where(~is_warrant_or_unit(F.trim("symbol"))).withColumn("base", canonical_base("symbol"))
     m = stage(keep.join(near_bases(keep), "base").select("ticker", "family"))
     rows = blocks.profiles(dirs.join(m, "ticker"), "dir", F.col("family"))
-    links = stage(blocks.similar_pairs(rows, min_overlap, min_corr, absolute=True).select(F.col("a").alias("ticker"), "b"))
+    links = stage(blocks.similar_pairs(rows, min_overlap, min_corr, absolute=True, grouped=True).select(F.col("a").alias("ticker"), "b"))
     got = stage(m.groupBy("family").agg(F.min("ticker").alias("ticker")))
     fresh = got
     for _ in range(rounds):

@@ -50,16 +50,13 @@ def eligible(prices: DataFrame, membership: DataFrame) -> DataFrame:
 def strict_merge(prices: DataFrame, membership: DataFrame) -> DataFrame:
     """1:1 merge on (ticker, date) that fails the job on duplicates or unmatched keys.
 
-    Both sides are reduced to one row per key with a count, so the checks ride along with
-    the same shuffle as the join."""
-    p = prices.groupBy("ticker", "date").agg(
-        F.max("close_price").alias("close_price"), F.max("volume").alias("volume"), F.count(F.lit(1)).alias("_np"))
-    m = membership.groupBy("ticker", F.col("as_of_date").alias("date")).agg(
-        F.max("universe_eligible").alias("universe_eligible"), F.max("eligibility_reason").alias("eligibility_reason"),
-        F.count(F.lit(1)).alias("_nm"))
+    Counting rows per key uses the partitioning and order of the merge join itself, so the
+    checks add no shuffle and no sort."""
+    key = Window.partitionBy("ticker", "date")
+    p = prices.select("ticker", "date", "close_price", "volume", F.count(F.lit(1)).over(key).alias("_np"))
+    m = membership.select("ticker", F.col("as_of_date").alias("date"), "universe_eligible", "eligibility_reason").withColumn("_nm", F.count(F.lit(1)).over(key))
     j = p.join(m, ["ticker", "date"], "full_outer")
-    bad = F.coalesce("_np", F.lit(0)) != 1
-    bad = bad | (F.coalesce("_nm", F.lit(0)) != 1)
+    bad = (F.coalesce("_np", F.lit(0)) != 1) | (F.coalesce("_nm", F.lit(0)) != 1)
     check = F.when(bad, F.raise_error(F.lit("strict merge: duplicate or unmatched (ticker, date)")).cast("int"))
     return j.withColumn("_ok", F.coalesce(check, F.lit(0))).where(F.col("_ok") == 0).drop("_np", "_nm", "_ok")
 

@@ -55,7 +55,7 @@ def residual_panel(prices: DataFrame, sectors: DataFrame | None, holdout_start,
     from tessella.operators.joins import asof_interval_join
 
     df = forward_target(residual_features(prices), h)
-    df = seal(scrub(df, [*FEATURES, "future_return"]), holdout_start)
+    df = stage(seal(scrub(df, [*FEATURES, "future_return"]), holdout_start))
     df = xs.top_liquidity(last_n_dates(df, history_dates), top_k)
     if sectors is None:
         df = df.withColumn("sector", F.lit(None).cast("string"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -104,7 +104,7 @@ def _(t):
 
 @query("A09_write_read", "ticker date:d close_price:r volume:r", "SELECT * FROM prices", digits=5)
 def _(t):
-    path = tempfile.mkdtemp(prefix="out-", dir=checkpoint_dir(t.spark).removeprefix("file:"))
+    path = f"{checkpoint_dir(t.spark)}/out-{uuid.uuid4().hex}"
     sk.write(t.prices(), path, "csv")
     return rd.read_prices(t.spark, path, "csv")
 

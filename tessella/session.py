@@ -35,11 +35,17 @@ def local_session(cores: int | str = 8, app: str = "tessella", **extra: str) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only when none is set."""
+    """The shared checkpoint folder of the cluster (``spark.checkpoint.dir``).
+
+    Only a local session without that setting gets a temporary folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessella-ckpt-"))
+        if not shared:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+            shared = tempfile.mkdtemp(prefix="tessella-ckpt-")
+        sc.setCheckpointDir(shared)
     return sc.getCheckpointDir()
 
 
