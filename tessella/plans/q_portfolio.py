@@ -224,15 +224,15 @@ def replayed(t):
 
 
 @query("M14_rebalance_replay", "date:d strategy:r actual_hold:r strategy_return:r actual_return:r",
-       f"WITH {REPLAY_SQL} SELECT cv.date, start * coalesce(factor * level, 1) AS strategy, actual_hold, coalesce(factor * level, 1) - 1 AS strategy_return, actual_hold / start - 1 AS actual_return FROM cv JOIN hl USING (date) LEFT JOIN fc ON fc.anchor = cv.anchor AND fc.date = cv.date LEFT JOIN lv ON lv.anchor = cv.anchor, s0", digits=3)
+       f"WITH {REPLAY_SQL} SELECT cv.date, start * coalesce(factor * level, 1) / 1e6 AS strategy, actual_hold / 1e6 AS actual_hold, coalesce(factor * level, 1) - 1 AS strategy_return, actual_hold / start - 1 AS actual_return FROM cv JOIN hl USING (date) LEFT JOIN fc ON fc.anchor = cv.anchor AND fc.date = cv.date LEFT JOIN lv ON lv.anchor = cv.anchor, s0", digits=4)
 def _(t):
-    return replayed(t)[0]
+    return replayed(t)[0].withColumns({c: F.col(c) / 1e6 for c in ("strategy", "actual_hold")})  # in millions
 
 
 @query("M14_replay_trades", "date:d tickers portfolio_value:r",
-       f"WITH {REPLAY_SQL} SELECT pk.anchor AS date, string_agg(ticker, ', ' ORDER BY place) AS tickers, max(start * level) AS portfolio_value FROM pk JOIN lv USING (anchor), s0 GROUP BY 1", digits=3)
+       f"WITH {REPLAY_SQL} SELECT pk.anchor AS date, string_agg(ticker, ', ' ORDER BY place) AS tickers, max(start * level) / 1e6 AS portfolio_value FROM pk JOIN lv USING (anchor), s0 GROUP BY 1", digits=4)
 def _(t):
-    return replayed(t)[1]
+    return replayed(t)[1].withColumn("portfolio_value", F.col("portfolio_value") / 1e6)
 
 
 NEIGH_SQL = "nb AS (SELECT a.ticker, b.ticker AS neighbor FROM symbols a JOIN symbols b ON a.nation = b.nation AND a.ticker <> b.ticker QUALIFY row_number() OVER (PARTITION BY a.ticker ORDER BY b.acctbal DESC, b.ticker) <= 8)"
