@@ -11,6 +11,17 @@ from tessella.functions.frames import flag, history
 from tessella.functions.scalars import hash_id, is_iso_date
 
 
+# Eligibility reasons of point-in-time membership, first failing rule first.
+DUPLICATE, NO_CLOSE, TOO_SHORT, ELIGIBLE = "duplicate_source_rows", "missing_close", "insufficient_history", "eligible_past_only"
+# Reasons of candidate membership, first failing rule first.
+IN_SOURCE, SHORT_WINDOW, NO_RANK, ILLIQUID, MISSING_ELIGIBLE = (
+    "already_present_in_source", "insufficient_20_date_history", "missing_liquidity_rank", "outside_top_liquidity", "eligible_missing_past_only")
+# Status of sector lineage with and without a current profile.
+SNAPSHOT_ONLY, NO_SECTOR = "current_snapshot_only_not_valid_for_historical_features", "no_sector_metadata"
+# Safety of corporate events, first failing rule first.
+UNTRUSTED, UNCONFIRMED, UNDATED, SAFE = "untrusted_or_missing_authority", "match_not_confirmed", "missing_or_invalid_effective_date", "authoritative_dated_confirmed"
+
+
 def membership(bars: DataFrame, cutoff: str, min_history: int) -> DataFrame:
     """Point-in-time membership of every (date, ticker) with the reason of eligibility."""
     per = bars.where(F.col("date") < F.lit(cutoff).cast("date")).groupBy("ticker", "date").agg(
@@ -18,9 +29,9 @@ def membership(bars: DataFrame, cutoff: str, min_history: int) -> DataFrame:
         F.max(flag(F.col("volume").isNotNull())).alias("has_volume"))
     per = per.withColumn("history_observations", F.row_number().over(history()))
     reason = (
-        F.when(F.col("source_rows_on_date") != 1, "duplicate_source_rows").when(F.col("has_close") == 0, "missing_close")
-        .when(F.col("history_observations") < min_history, "insufficient_history").otherwise("eligible_past_only"))
-    return per.withColumns({"eligibility_reason": reason, "universe_eligible": flag(reason == "eligible_past_only")}).withColumnRenamed("date", "as_of_date")
+        F.when(F.col("source_rows_on_date") != 1, DUPLICATE).when(F.col("has_close") == 0, NO_CLOSE)
+        .when(F.col("history_observations") < min_history, TOO_SHORT).otherwise(ELIGIBLE))
+    return per.withColumns({"eligibility_reason": reason, "universe_eligible": flag(reason == ELIGIBLE)}).withColumnRenamed("date", "as_of_date")
 
 
 def lifecycle(bars: DataFrame, cutoff: str, absence_days: int = 30) -> DataFrame:
@@ -47,7 +58,7 @@ def sector_audit(life: DataFrame, profiles: DataFrame) -> DataFrame:
     have = F.col("_p").isNotNull()
     return life.select("ticker").join(p, "ticker", "left").withColumns({
         "current_profile_available": flag(have), "point_in_time_sector_safe": F.lit(0),
-        "lineage_status": F.when(have, "current_snapshot_only_not_valid_for_historical_features").otherwise("no_sector_metadata")}).drop("_p")
+        "lineage_status": F.when(have, SNAPSHOT_ONLY).otherwise(NO_SECTOR)}).drop("_p")
 
 
 # Authorities whose dated, confirmed events are safe.
@@ -59,9 +70,9 @@ def event_safety(events: DataFrame) -> DataFrame:
     authority, conf = F.upper(F.trim(F.coalesce("source_authority", F.lit("")))), F.lower(F.trim(F.coalesce("match_confidence", F.lit(""))))
     dated = is_iso_date(F.trim(F.coalesce("effective_date", F.lit(""))))
     reason = (
-        F.when(~authority.isin(*TRUSTED_AUTHORITIES), "untrusted_or_missing_authority").when(conf != "confirmed", "match_not_confirmed")
-        .when(~F.coalesce(dated, F.lit(False)), "missing_or_invalid_effective_date").otherwise("authoritative_dated_confirmed"))
-    return events.withColumns({"safety_reason": reason, "point_in_time_safe": flag(reason == "authoritative_dated_confirmed")})
+        F.when(~authority.isin(*TRUSTED_AUTHORITIES), UNTRUSTED).when(conf != "confirmed", UNCONFIRMED)
+        .when(~F.coalesce(dated, F.lit(False)), UNDATED).otherwise(SAFE))
+    return events.withColumns({"safety_reason": reason, "point_in_time_safe": flag(reason == SAFE)})
 
 
 def observed_securities(life: DataFrame) -> DataFrame:
@@ -200,10 +211,10 @@ def candidate_membership(source: DataFrame, candidates: DataFrame, start: str, c
     taken = both.where(F.col("cand") == 0).select("ticker", "date").distinct().withColumn("_t", F.lit(1))
     out = out.join(taken, ["ticker", "date"], "left")
     reason = (
-        F.when(F.col("_t").isNotNull(), "already_present_in_source").when(F.col("history_observations") < window, "insufficient_20_date_history")
-        .when(F.col("combined_liquidity_rank").isNull(), "missing_liquidity_rank").when(F.col("combined_liquidity_rank") > top, "outside_top_liquidity")
-        .otherwise("eligible_missing_past_only"))
-    return out.withColumns({"entity_id": F.substring("key", 5, 1000), "eligibility_reason": reason, "universe_eligible": flag(reason == "eligible_missing_past_only")}).drop("_t", "key", "dv", "cand")
+        F.when(F.col("_t").isNotNull(), IN_SOURCE).when(F.col("history_observations") < window, SHORT_WINDOW)
+        .when(F.col("combined_liquidity_rank").isNull(), NO_RANK).when(F.col("combined_liquidity_rank") > top, ILLIQUID)
+        .otherwise(MISSING_ELIGIBLE))
+    return out.withColumns({"entity_id": F.substring("key", 5, 1000), "eligibility_reason": reason, "universe_eligible": flag(reason == MISSING_ELIGIBLE)}).drop("_t", "key", "dv", "cand")
 
 
 def listing_snapshots(rows: DataFrame) -> DataFrame:

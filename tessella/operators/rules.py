@@ -32,6 +32,16 @@ def positive_share(c: str) -> Column:
     return F.avg(flag(F.col(c) > 0))
 
 
+# Decision and reason of every case of the feature registry.
+FEATURE_REASONS = {
+    "flat": ("confirmatory_drop", "near-zero variance in at least one split"),
+    "harmful": ("confirmatory_drop", "usually harms both discrimination and ranking"),
+    "drifting": ("watch", "helpful but exhibits material distribution drift"),
+    "helpful": ("keep", "helps discrimination, probability loss, and ranking consistently"),
+    "mixed": ("watch", "mixed importance across seeds, horizons, or time splits"),
+}
+
+
 def feature_registry(importance: DataFrame, quality: DataFrame) -> DataFrame:
     """keep / watch / confirmatory_drop per feature from permutation importance and data quality."""
     imp = importance.groupBy("feature").agg(
@@ -42,13 +52,10 @@ def feature_registry(importance: DataFrame, quality: DataFrame) -> DataFrame:
     c = F.col
     harms = (c("auc") < 0) & (c("excess") < 0) & (c("auc_pos") <= 0.33) & (c("excess_pos") <= 0.33)
     helps = (c("auc") > 0) & (c("brier") > 0) & (c("excess") > 0) & (c("auc_pos") >= 0.67) & (c("excess_pos") >= 0.67)
-    pick = lambda flat, harm, drift, keep, rest: (
-        F.when(c("min_std") <= 1e-8, flat).when(harms, harm).when(helps & (c("max_psi") >= 0.25), drift).when(helps, keep).otherwise(rest))
-    return imp.join(q, "feature", "left").withColumns({
-        "decision": pick("confirmatory_drop", "confirmatory_drop", "watch", "keep", "watch"),
-        "reason": pick("near-zero variance in at least one split", "usually harms both discrimination and ranking",
-                       "helpful but exhibits material distribution drift", "helps discrimination, probability loss, and ranking consistently",
-                       "mixed importance across seeds, horizons, or time splits")})
+    r = FEATURE_REASONS
+    case = F.when(c("min_std") <= 1e-8, "flat").when(harms, "harmful").when(helps & (c("max_psi") >= 0.25), "drifting").when(helps, "helpful").otherwise("mixed")
+    look = lambda i: F.create_map(*[F.lit(x) for k, v in r.items() for x in (k, v[i])])[F.col("_case")]
+    return imp.join(q, "feature", "left").withColumn("_case", case).withColumns({"decision": look(0), "reason": look(1)}).drop("_case")
 
 
 def confirmatory_registry(comparisons: DataFrame, intervals: DataFrame) -> DataFrame:

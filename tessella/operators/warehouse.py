@@ -139,23 +139,21 @@ def leakage_audit(evals: DataFrame) -> DataFrame:
                         .when(F.col("train_before_test") == 0, "train_test_overlap_review").otherwise("ok"))
 
 
-# Artifact flags and the path fragment that proves each.
+# Default artifact flags and the path fragment that proves each; callers pass their own layout.
 ARTIFACTS = {
-    "has_model_scores": "analytics/model_tournament_evaluation.csv", "has_predictions": "analytics/latest_model_predictions.csv",
-    "has_candidate_predictions": "analytics/latest_model_candidate_predictions.csv", "has_monte_carlo": "analytics/latest_monte_carlo_simulations.csv",
-    "has_paper_decisions": "analytics/automatic_paper_decisions.csv", "has_paper_outcomes": "analytics/automatic_paper_decision_outcomes.csv",
-    "has_dashboard_db": "dashboard_data.db",
+    "has_model_scores": "/evaluation.csv", "has_predictions": "/predictions.csv", "has_candidate_predictions": "/candidates.csv",
+    "has_monte_carlo": "/simulations.csv", "has_paper_decisions": "/decisions.csv", "has_paper_outcomes": "/outcomes.csv", "has_dashboard_db": "/dashboard.db",
 }
 
 
-def artifact_health(files: DataFrame) -> DataFrame:
+def artifact_health(files: DataFrame, artifacts: dict[str, str] = ARTIFACTS) -> DataFrame:
     """Per run: which artifacts exist, sizes, readiness and lag of the context date.
 
     ``files``: (run_id, path, bytes, exported_at, model_as_of_date, latest_market_date)."""
     path = F.replace("path", F.lit("\\"), F.lit("/"))
     g = files.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("files_copied"), F.sum("bytes").alias("bytes_copied"),
-        *[F.max(flag(path.contains(needle))).alias(name) for name, needle in ARTIFACTS.items()],
+        *[F.max(flag(path.contains(needle))).alias(name) for name, needle in artifacts.items()],
         *[F.max(c).alias(c) for c in ("exported_at", "model_as_of_date", "latest_market_date")])
     context = coalesce_dates(["model_as_of_date", "latest_market_date", "exported_at"])
     return g.withColumns({

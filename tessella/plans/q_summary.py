@@ -167,16 +167,16 @@ def _(t):
     return wh.leakage_audit(t.staged("evals"))
 
 
-FILES_SQL = """files AS (SELECT strftime(o_orderdate, '%Y-%m') AS run_id, CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice > 300000 THEN 'out\\analytics\\latest_model_predictions.csv' WHEN o_orderpriority = '2-HIGH' THEN 'out/analytics/model_tournament_evaluation.csv'
-       WHEN o_orderstatus = 'P' THEN 'x/dashboard_data.db' ELSE 'notes.txt' END AS path, CAST(floor(o_totalprice) AS BIGINT) AS bytes, strftime(o_orderdate, '%Y-%m-%d') AS exported_at, CASE WHEN o_orderstatus = 'O' THEN strftime(o_orderdate - INTERVAL 3 DAY, '%Y-%m-%d') END AS model_as_of_date FROM orders),
-       health AS (SELECT run_id, count(*) AS files_copied, sum(bytes) AS bytes_copied, max(CASE WHEN path LIKE '%tournament%' THEN 1 ELSE 0 END) AS has_model_scores, max(CASE WHEN path LIKE '%predictions%' THEN 1 ELSE 0 END) AS has_predictions,
-       max(CASE WHEN path LIKE '%dashboard_data.db' THEN 1 ELSE 0 END) AS has_dashboard_db, max(exported_at) AS exported_at, max(model_as_of_date) AS model_as_of_date FROM files GROUP BY 1)"""
+FILES_SQL = """files AS (SELECT strftime(o_orderdate, '%Y-%m') AS run_id, CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice > 300000 THEN 'out\\reports\\predictions.csv' WHEN o_orderpriority = '2-HIGH' THEN 'out/reports/evaluation.csv'
+       WHEN o_orderstatus = 'P' THEN 'x/dashboard.db' ELSE 'notes.txt' END AS path, CAST(floor(o_totalprice) AS BIGINT) AS bytes, strftime(o_orderdate, '%Y-%m-%d') AS exported_at, CASE WHEN o_orderstatus = 'O' THEN strftime(o_orderdate - INTERVAL 3 DAY, '%Y-%m-%d') END AS model_as_of_date FROM orders),
+       health AS (SELECT run_id, count(*) AS files_copied, sum(bytes) AS bytes_copied, max(CASE WHEN path LIKE '%evaluation%' THEN 1 ELSE 0 END) AS has_model_scores, max(CASE WHEN path LIKE '%predictions%' THEN 1 ELSE 0 END) AS has_predictions,
+       max(CASE WHEN path LIKE '%dashboard.db' THEN 1 ELSE 0 END) AS has_dashboard_db, max(exported_at) AS exported_at, max(model_as_of_date) AS model_as_of_date FROM files GROUP BY 1)"""
 
 
 def files(t):
     o = t.table("orders")
-    path = (F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 300000), "out\\analytics\\latest_model_predictions.csv").when(F.col("o_orderpriority") == "2-HIGH", "out/analytics/model_tournament_evaluation.csv")
-            .when(F.col("o_orderstatus") == "P", "x/dashboard_data.db").otherwise("notes.txt"))
+    path = (F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 300000), "out\\reports\\predictions.csv").when(F.col("o_orderpriority") == "2-HIGH", "out/reports/evaluation.csv")
+            .when(F.col("o_orderstatus") == "P", "x/dashboard.db").otherwise("notes.txt"))
     day = F.to_date("o_orderdate")
     return o.select(F.date_format("o_orderdate", "yyyy-MM").alias("run_id"), path.alias("path"), F.floor("o_totalprice").cast("long").alias("bytes"), day.cast("string").alias("exported_at"),
                     F.when(F.col("o_orderstatus") == "O", F.date_sub(day, 3).cast("string")).alias("model_as_of_date"), F.lit(None).cast("string").alias("latest_market_date"))
