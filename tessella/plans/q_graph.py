@@ -122,12 +122,10 @@ def _(t):
 
 
 @query("G06_components", "node component",
-       """WITH RECURSIVE e AS (SELECT 'C' || o_custkey AS u, 'O' || CAST(o_totalprice AS INT) // 150 AS v FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
-       r AS (SELECT u AS node, u AS root FROM b UNION SELECT b.v, r.root FROM r JOIN b ON b.u = r.node WHERE r.root < b.v) SELECT node, min(root) AS component FROM (SELECT * FROM r UNION ALL SELECT u, u FROM b) GROUP BY node""")
+       f"""WITH RECURSIVE {KNN_SQL}, l AS (SELECT ticker AS u, neighbor AS v FROM edges WHERE similarity >= 0.40), b AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+       r AS (SELECT u AS node, u AS root FROM b UNION SELECT b.v, r.root FROM r JOIN b ON b.u = r.node WHERE r.root < b.v) SELECT node, min(root) AS component FROM r GROUP BY node""")
 def _(t):
-    o = t.table("orders").where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P"))
-    e = o.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("O"), F.floor(F.round("o_totalprice") / 150).cast("string")).alias("b"))
-    return gr.components(e)
+    return gr.components(edges(t)[0].where(F.col("similarity") >= 0.40), "ticker", "neighbor")
 
 
 @query("G06_near_bases", "base family",
