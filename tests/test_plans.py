@@ -45,3 +45,11 @@ def test_no_forbidden_calls():
     text = "\n".join(f.read_text() for f in ROOT.rglob("*.py"))
     for bad in ("localCheckpoint", "crossJoin", "F.broadcast(", ".toPandas(", ".rdd"):
         assert bad not in text, bad
+
+
+def test_tile_functions_travel_with_the_task():
+    from pyspark import cloudpickle
+
+    import tessella.operators.blocks  # noqa: F401
+
+    assert "tessella.operators.blocks" in cloudpickle.list_registry_pickle_by_value()
