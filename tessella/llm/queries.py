@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import ans, bpe
+from tessella.llm import ans, bpe, chat, mixing, quality, secrets
 from tessella.llm.common import table, whole_text
 
 #: The vocabulary of the queries; operators take its path as a parameter.
@@ -39,8 +39,44 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document by patterns and by the ratio of two Markov models."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(secrets.labelled(docs)))
+    return found.select(
+        "doc_id",
+        *[secrets.count_kind(k).alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(secrets.listing("base_spans"), 256).alias("base_sha256"),
+        secrets.listing("spans").alias("spans"),
+    )
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    measured = quality.measures(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return measured.select("doc_id", *counts, quality.base_failed().alias("base_failed"), quality.verdict().alias("kept"))
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mixture takes of every document."""
+    return mixing.mix_report(table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op8_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.render(turns.unionByName(probe)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_archive": op1_token_archive,
+    "op2_secret_scan": op2_secret_scan,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_source_mix": op7_source_mix,
+    "op8_chat_round_trip": op8_chat_round_trip,
 }
 ORACLE_SQL: dict[str, str] = {}
