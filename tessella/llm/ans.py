@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,7 @@ BITS = 20  # frequencies add up to 2**BITS
 LOW = 1 << 31  # states lie in [LOW, LOW << 32)
 LANES, BLOCK_TOKENS, CHECKPOINT_STEPS = 64, 1 << 15, 128
 SEGMENT_TOKENS = 1 << 20
+SEGMENTS_PER_TASK = 4
 NO_ID = -(1 << 63)
 _KEPT_PIECES = 900_000
 _BLOCK_HEAD, _SEGMENT_HEAD = "<4I", "<2IQ"
@@ -178,8 +180,9 @@ def decode_segment(coder: Coder, data: bytes) -> Iterator[tuple[int, np.ndarray]
 
 
 class LibraryTokens:
-    """Ids by the tokenizers library.  Words never hold white space, so the ids of a text are
-    those of its pieces between ASCII white space; frequent pieces are kept by the worker."""
+    """Ids by the tokenizers library.  Words never hold white space and are put in lower case,
+    so the ids of a text are those of its lower-cased pieces between ASCII white space, unless
+    it holds a special string in capitals; frequent pieces are kept by the worker."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -190,17 +193,16 @@ class LibraryTokens:
         self.pieces: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
-        kept, split = self.pieces, [t.split() for t in texts]
-        new = list({p for pieces in split for p in pieces if p not in kept})
-        ids = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)]
-        fresh = dict(zip(new, ids, strict=True))
-        for p in new[: max(0, _KEPT_PIECES - len(kept))]:
-            if len(p) <= 64:
-                kept[p] = fresh.pop(p)
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        new = list(set().union(*split).difference(self.pieces))
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
+        fresh = {p: array("I", e.ids).tobytes() for p, e in zip(new, found, strict=True)}
+        room = max(0, _KEPT_PIECES - len(self.pieces))
+        self.pieces.update({p: fresh.pop(p) for p in new[:room] if len(p) <= 64})
         tail = end.to_bytes(4, "little")
         if not fresh:
-            return [b"".join([*map(kept.__getitem__, pieces), tail]) for pieces in split]
-        return [b"".join([*(kept[p] if p in kept else fresh[p] for p in pieces), tail]) for pieces in split]
+            return [b"".join([*map(self.pieces.__getitem__, pieces), tail]) for pieces in split]
+        return [b"".join([*(fresh[p] if i is None else i for p, i in zip(pieces, map(self.pieces.get, pieces), strict=True)), tail]) for pieces in split]
 
 
 def tokenise(docs: DataFrame, path: str, end: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -260,7 +262,7 @@ def write_archive(tokens: DataFrame, freq: np.ndarray, folder: str) -> DataFrame
         part = f"{uuid.uuid4().hex}.rans"
         name = f"{folder}/{part}"
         offset, index, docs, held, n, shard, first = 0, [], [], [], 0, None, (None, None)
-        with store.open_output_stream(f"{root}/{part}") as out:
+        with store.open_output_stream(f"{root}/{part}", compression=None) as out:
             def flush():
                 nonlocal offset, docs, held, n
                 if docs:
@@ -303,7 +305,8 @@ def with_starts(index: DataFrame) -> DataFrame:
 def read_documents(index: DataFrame, freq: np.ndarray) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files of an index, a segment at a time."""
     table = freq.tobytes()
-    segments = with_starts(index).select("file", "offset", "bytes", "start").repartition("file", "offset")
+    tasks = max(1, -(-index.count() // SEGMENTS_PER_TASK))
+    segments = with_starts(index).select("file", "offset", "bytes", "start").repartition(tasks, "file", "offset")
 
     def run(batches):
         from pyarrow import fs

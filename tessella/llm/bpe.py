@@ -80,6 +80,7 @@ class PrefixEncoder:
         self.strings = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
         # characters whose case, class and normal form are the same in every Unicode version
         self.simple = regex.compile(r"[\x21-\x7e\xa1-ſ]+").fullmatch
+        self.lower = {"type": "Lowercase"} in spec["normalizer"]["normalizers"]
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.find_words = regex.compile(split).findall
 
@@ -214,7 +215,7 @@ class PrefixEncoder:
             for k, part in enumerate(self.special_split(text.decode())):
                 out.append(self.special[part].to_bytes(4, "little") if k % 2 else self._plain(part.encode()))
             return b"".join(out)
-        return self._plain(text)
+        return self._plain(text.lower() if self.lower else text)
 
     def _plain(self, text: bytes) -> bytes:
         pieces = text.split()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import ans, bpe, chat, mixing, quality, secrets
+from tessella.llm import ans, bpe, chat, exact, mixing, quality, secrets, warc
 from tessella.llm.common import table, whole_text
 
 #: The vocabulary of the queries; operators take its path as a parameter.
@@ -71,12 +71,73 @@ def op8_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.render(turns.unionByName(probe)))
 
 
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and every record read back through the index."""
+    index = warc.write(table(spark, sf_dir, "pages"))
+    return warc.resolve(warc.read(index)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+     f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document among equal texts; the largest identifier stays."""
+    return exact.classes(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)
+"""
+
+
+def _stop_words() -> str:
+    return ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS.split())))
+
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+     w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
+                  list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+     g AS (SELECT doc_id, unnest(range(1, len(words) - 3)) AS i, words FROM w WHERE len(words) >= 5),
+     h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i:i + 4]) AS n FROM g),
+     c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM h WHERE n > 1) GROUP BY doc_id),
+     m AS (SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+                  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                  len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+                  len(list_filter(words, x -> lower(x) IN ({_stop_words()}))) AS n_stop
+           FROM w LEFT JOIN c USING (doc_id)),
+     b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND word_chars BETWEEN 2.0 * n_words AND 12.0 * n_words AND n_symbols <= 0.25 * n_words
+       AND n_dup_lines <= 0.5 * n_lines AND (n_words < 50 OR n_stop >= 0.01 * n_words) AS kept
+FROM b
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_archive": op1_token_archive,
     "op2_secret_scan": op2_secret_scan,
+    "op3_warc_round_trip": op3_warc_round_trip,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_quality_rules": op5_quality_rules,
     "op7_source_mix": op7_source_mix,
     "op8_chat_round_trip": op8_chat_round_trip,
+    "op10_exact_dedup": op10_exact_dedup,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_round_trip": OP3_SQL,
+    "op5_quality_rules": OP5_SQL,
+    "op10_exact_dedup": OP10_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
