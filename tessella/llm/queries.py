@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import ans, bpe, chat, exact, mixing, quality, secrets, warc
+from tessella.llm import ans, bpe, chat, exact, mixing, neardup, quality, secrets, warc
 from tessella.llm.common import table, whole_text
 
 #: The vocabulary of the queries; operators take its path as a parameter.
@@ -58,6 +58,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured.select("doc_id", *counts, quality.base_failed().alias("base_failed"), quality.verdict().alias("kept"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document among near-duplicates; the smallest identifier stays."""
+    return neardup.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mixture takes of every document."""
     return mixing.mix_report(table(spark, sf_dir, "documents")).drop("copies")
@@ -132,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_round_trip": op3_warc_round_trip,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_quality_rules": op5_quality_rules,
+    "op6_near_dedup": op6_near_dedup,
     "op7_source_mix": op7_source_mix,
     "op8_chat_round_trip": op8_chat_round_trip,
     "op10_exact_dedup": op10_exact_dedup,
