@@ -137,7 +137,9 @@ def failed_rules(rules: Sequence[Rule] = RULES) -> Column:
 
 def apply_rules(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
     """Only the rows that pass, with their own columns."""
-    kept = measures(df.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in df.columns])), text).where(verdict(rules))
-    return kept.select("__row.*")
-
-
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    measured = measures(df.select(row.alias("__row"), F.col(f"`{text}`").alias("text")))
+    # a generator instead of a filter: the optimizer would copy the measures into each use of
+    # them on the way down to the scan
+    passed = F.explode(F.filter(F.array(verdict(rules)), lambda x: x))
+    return measured.select("__row", passed.alias("__kept")).select("__row.*")
