@@ -55,13 +55,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def shingle_hashes(text: bytes, width: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of a text, A-Z in lower case."""
+def word_codes(text: bytes) -> list[int]:
+    """Hashes of the words of a text, A-Z in lower case."""
     import xxhash
 
     found = text.lower().split()
-    if not found:
-        return np.zeros(0, np.int64)
     kept = worker_state("word hashes", dict)
     codes = list(map(kept.get, found))
     if None in codes:
@@ -70,7 +68,14 @@ def shingle_hashes(text: bytes, width: int = WORDS) -> np.ndarray:
                 codes[k] = c = xxhash.xxh3_64_intdigest(found[k])
                 if len(kept) < _KEPT_WORDS:
                     kept[found[k]] = c
-    w = np.array(codes, np.uint64)
+    return codes
+
+
+def shingle_hashes(text: bytes, width: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a text, A-Z in lower case."""
+    w = np.array(word_codes(text), np.uint64)
+    if not len(w):
+        return np.zeros(0, np.int64)
     n = min(width, len(w))
     h = np.full(len(w) - n + 1, n, np.uint64)
     for k in range(n):

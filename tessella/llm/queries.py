@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import ans, bpe, chat, exact, mixing, neardup, quality, secrets, warc
+from tessella.llm import ans, bpe, chat, exact, mixing, neardup, paragraphs, quality, secrets, warc
 from tessella.llm.common import table, whole_text
 
 #: The vocabulary of the queries; operators take its path as a parameter.
@@ -93,6 +93,11 @@ FROM f
 """
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share passages with others, and what to remove from them."""
+    return paragraphs.removals(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every document among equal texts; the largest identifier stays."""
     return exact.classes(table(spark, sf_dir, "documents"))
@@ -140,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_dedup": op6_near_dedup,
     "op7_source_mix": op7_source_mix,
     "op8_chat_round_trip": op8_chat_round_trip,
+    "op9_repeated_passages": op9_repeated_passages,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
