@@ -300,5 +300,6 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that another row of their class stands for."""
-    gone = stage(near_classes(docs, doc_id, text).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "neardup-gone")
-    return docs.join(gone.withColumnRenamed("doc_id", doc_id), doc_id, "left_anti").select(*docs.columns)
+    gone = near_classes(docs, doc_id, text).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone"))
+    gone = stage(gone.distinct(), "neardup-gone")
+    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
