@@ -7,8 +7,8 @@ and words: the score is the sum over the characters of the logarithm of the rati
 probabilities given the character before (:func:`score`).  Strings whose score and mean score
 exceed their thresholds, and that no fixed pattern overlaps, become spans of kind ``random``.
 
-The models are counted from labelled strings (:func:`train`): transitions per label, smoothed by
-one.  :func:`labelled` takes them from a bounded sample of documents (``max_docs``, by hash):
+The models are counted from labelled strings (:func:`train`): transitions per label, smoothed
+towards even draws for random strings and towards the characters' frequencies for ordinary ones.  :func:`labelled` takes them from a bounded sample of documents (``max_docs``, by hash):
 values of the fixed patterns are secrets, long words of documents without any match are ordinary.
 Without samples of both labels no string is flagged beyond the patterns.
 
@@ -39,6 +39,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-
 _STATES = len(ALPHABET) + 1  # 0 stands for the start
 CANDIDATE, _CANDIDATE_MAY = r"[A-Za-z0-9+/_.=-]+", r"[A-Za-z0-9+/_.=-]{20}"
 MIN_LENGTH, MIN_SCORE, MIN_MEAN = 20, 12.0, 0.6
+PRIOR = 32.0  # transitions that the prior of a row weighs
 ORDINARY = r"[A-Za-z0-9+/_.=-]{6,}"
 
 
@@ -106,11 +107,15 @@ def train(samples: DataFrame) -> list[float]:
         counts[r["secret"]][r["pair"]] = r["count"]
     if not any(counts[0]) or not any(counts[1]):
         return [0.0] * (_STATES * _STATES)
-    totals = [[sum(c[a * _STATES : (a + 1) * _STATES]) + _STATES - 1 for a in range(_STATES)] for c in counts]
-    return [
-        math.log((counts[1][a * _STATES + b] + 1) / totals[1][a]) - math.log((counts[0][a * _STATES + b] + 1) / totals[0][a])
-        for a in range(_STATES) for b in range(_STATES)
-    ]
+    # transitions never seen: random strings draw evenly, ordinary ones as their characters do
+    seen = [[sum(c[b::_STATES]) for b in range(_STATES)] for c in counts]
+    even = [1 / (_STATES - 1)] * _STATES
+    usual = [(n + 1) / (sum(seen[0]) + _STATES) for n in seen[0]]
+
+    def probability(c: list[int], prior: list[float], a: int, b: int) -> float:
+        return (c[a * _STATES + b] + PRIOR * prior[b]) / (sum(c[a * _STATES : (a + 1) * _STATES]) + PRIOR)
+
+    return [math.log(probability(counts[1], even, a, b) / probability(counts[0], usual, a, b)) for a in range(_STATES) for b in range(_STATES)]
 
 
 def score(value: Column, ratios: list[float]) -> Column:
