@@ -13,9 +13,9 @@ A document's set holds the hashes (64 bits) of its distinct five-word shingles.
 3. Long lists are cut into blocks of bounded size, and every pair of blocks is one tile.  A tile
    counts the common values of its sketches by matrix products and estimates the similarity from
    the sketch of the union.  Pairs below the threshold by the same margin are filtered out; whole
-   sets are decided there.  A tile sends a spanning forest of its certain links, and the pairs to
-   verify that the forest does not connect; no list is ever spelt out as pairs.
-4. Pairs to verify meet with their full sets, and exact Jaccard decides.
+   sets are decided there.  A tile sends a spanning forest of its certain links, and the documents
+   that the filter leaves unsure; no list is ever spelt out as pairs.
+4. Unsure documents meet again in the same tile with their whole sets, and exact Jaccard decides.
 5. Components of the links give the class ids (:mod:`tessella.llm.components`).
 
 Null texts and texts without words have the empty set and are linked with nothing.  Fewer words
@@ -26,8 +26,6 @@ have no class and are kept.  An empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -199,11 +197,12 @@ def common_values(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def tile_links(docs: np.ndarray, n: np.ndarray, sets: list[np.ndarray], side: np.ndarray, k: int, percent: int) -> Iterator[tuple[int, int, bool]]:
-    """(a, b, certain) of a tile: a forest of certain links, then pairs to verify."""
+def tile_links(docs: np.ndarray, n: np.ndarray, sets: list[np.ndarray], side: np.ndarray, k: int | None, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of the certain links of a tile, and the places of the documents that
+    may have more.  Without ``k`` the sets are whole and everything is certain."""
     inter = common_values(sets)
     size = np.array([len(s) for s in sets])
-    whole = n <= k
+    whole = np.ones(len(n), bool) if k is None else n <= k
     top = np.array([np.iinfo(np.int64).max if w else s[-1] for w, s in zip(whole, sets, strict=True)], np.int64)
     upto = np.stack([np.searchsorted(s, top, side="right") for s in sets])  # values of i up to the top of j
     below = np.minimum(size[:, None], upto)
@@ -217,16 +216,18 @@ def tile_links(docs: np.ndarray, n: np.ndarray, sets: list[np.ndarray], side: np
     if side.any() and not side.all():
         pairs &= side[:, None] != side[None, :]
     forest = _Forest()
-    for i, j in np.argwhere(pairs & certain).tolist():
-        if forest.join(int(docs[i]), int(docs[j])):
-            yield int(docs[i]), int(docs[j]), True
-    for i, j in np.argwhere(pairs & likely).tolist():
-        if forest.root(int(docs[i])) != forest.root(int(docs[j])):
-            yield int(docs[i]), int(docs[j]), False
+    links = [(a, b) for i, j in np.argwhere(pairs & certain).tolist() if forest.join(a := int(docs[i]), b := int(docs[j]))]
+    roots = np.array([forest.root(int(d)) for d in docs])
+    apart = pairs & likely & (roots[:, None] != roots[None, :])
+    return links, np.flatnonzero(apart.any(axis=0) | apart.any(axis=1))
+
+
+_FOUND = "value long, left int, right int, side boolean, a long, b long"
 
 
-def listed_links(entries: DataFrame, k: int = K, percent: int = 85) -> DataFrame:
-    """(a, b, certain) from tile rows with n and sketch."""
+def listed_links(entries: DataFrame, k: int | None = K, percent: int = 85) -> DataFrame:
+    """From tile rows with n and sketch: links (a, b), and with null b the documents (a) whose
+    tile needs their whole sets.  Both are at most one row per tile row."""
     ordered = entries.select("value", "left", "right", "side", "doc_id", "n", "sketch")
     ordered = ordered.repartition("value", "left", "right").sortWithinPartitions("value", "left", "right")
 
@@ -240,40 +241,40 @@ def listed_links(entries: DataFrame, k: int = K, percent: int = 85) -> DataFrame
                 for r, key in enumerate(keys):
                     if key != now:
                         if held:
-                            yield held
+                            yield now, held
                         now, held = key, []
                     held.append((ids[r], sizes[r], values[offsets[r] : offsets[r + 1]].copy(), sides[r]))
             if held:
-                yield held
+                yield now, held
+
+        def batch_of(rows):
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+            names = ["value", "left", "right", "side", "a", "b"]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
         out = []
-        for held in groups():
+        for key, held in groups():
             if len(held) > 1:
                 ids, n, sets, side = zip(*held, strict=True)
-                out += tile_links(np.array(ids), np.array(n), list(sets), np.array(side), k, percent)
+                links, unsure = tile_links(np.array(ids), np.array(n), list(sets), np.array(side), k, percent)
+                out += [(*key, None, a, b) for a, b in links]
+                out += [(*key, side[i], ids[i], None) for i in unsure.tolist()]
             if len(out) > 20_000:
-                yield _link_batch(out)
+                yield batch_of(out)
                 out = []
         if out:
-            yield _link_batch(out)
-
-    return ordered.mapInArrow(run, "a long, b long, certain boolean")
-
+            yield batch_of(out)
 
-def _link_batch(found: list[tuple[int, int, bool]]) -> pa.RecordBatch:
-    a, b, c = zip(*found, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c)], names=["a", "b", "certain"])
+    return ordered.mapInArrow(run, _FOUND)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """The pairs (a, b) whose full sets have the similarity, exactly."""
-    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "neardup-wanted")
+def verified(found: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+    """Links (a, b) of the tiles that sketches could not decide, from the whole sets."""
+    unsure = found.where("b IS NULL").withColumnRenamed("a", "doc_id").drop("b")
+    wanted = stage(unsure.select("doc_id").distinct(), "neardup-wanted")
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = stage(full_sets(named.join(wanted, "doc_id", "left_semi")), "neardup-sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    inter = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * inter >= percent * (F.size("x") + F.size("y") - inter)).select("a", "b")
+    sets = full_sets(named.join(wanted, "doc_id", "left_semi")).withColumnRenamed("shingles", "sketch")
+    return listed_links(unsure.join(sets.withColumn("n", F.size("sketch").cast("long")), "doc_id"), None, percent).select("a", "b")
 
 
 # ---- classes -----------------------------------------------------------------------------
@@ -287,9 +288,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     reps = some.withColumn("first", first).where("first = 1").select("doc_id", "n", "sketch")
     meeting = tiles(rare_lists(reps))
     found = stage(listed_links(meeting.join(sets.select("doc_id", "n", "sketch"), "doc_id")), "neardup-found")
-    open_pairs = found.where("NOT certain").select("a", "b").distinct()
-    links = found.where("certain").select("a", "b").unionByName(verified(open_pairs, docs, doc_id, text))
-    parts = components(links)
+    parts = components(found.where("b IS NOT NULL").select("a", "b").unionByName(verified(found, docs, doc_id, text)))
     owner = some.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     rows = sets.select("doc_id", "n", "fp").join(owner, "fp", "left")
     rows = rows.join(parts.withColumnRenamed("node", "rep"), "rep", "left")

@@ -90,6 +90,21 @@ def test_near_copies_in_a_large_group(spark):
     assert got == want and 1 < len(set(got.values())) < 160
 
 
+def test_near_copies_of_long_texts(spark):
+    """Sets beyond the sketch around the threshold."""
+    rng = random.Random(12)
+    base = text(rng, 70).split()
+    rows = [(0, " ".join(base))]
+    for i in range(1, 50):
+        w = list(base)
+        for k in range(rng.randint(6, 22)):
+            w[rng.randrange(len(w))] = f"v{rng.random()}"
+        rows.append((i, " ".join(w)))
+    want = near_components(rows)
+    got = {r.doc_id: r.component_id for r in neardup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(base) > 2 * neardup.K and got == want and 1 < len(set(got.values())) < 50
+
+
 def test_drop_near(docs):
     want = near_components(documents())
     left = neardup.drop_near(docs)
@@ -107,8 +122,10 @@ def test_estimates_are_safe_for_long_sets():
         a = np.unique(np.append(both, rng.integers(-(1 << 62), 1 << 62, n - common)))
         b = np.unique(np.append(both, rng.integers(-(1 << 62), 1 << 62, n - common)))
         linked = 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
-        sent = list(neardup.tile_links(np.array([1, 2]), np.array([len(a), len(b)]), [a[: neardup.K], b[: neardup.K]], np.array([False, False]), neardup.K, 85))
-        assert not linked or sent == [(1, 2, False)]
+        links, unsure = neardup.tile_links(np.array([1, 2]), np.array([len(a), len(b)]), [a[: neardup.K], b[: neardup.K]], np.array([False, False]), neardup.K, 85)
+        assert not links and (not linked or unsure.tolist() == [0, 1])
+        exact_links, none = neardup.tile_links(np.array([1, 2]), np.array([len(a), len(b)]), [a, b], np.array([False, False]), None, 85)
+        assert exact_links == ([(1, 2)] if linked else []) and not len(none)
 
 
 def test_components_of_long_chains_and_hubs(spark):
