@@ -105,16 +105,16 @@ def neighbor_features(df: DataFrame, edges: DataFrame, cols: Sequence[str], mode
     return df.join(j.groupBy("ticker", "date").agg(*aggs), ["ticker", "date"], "left")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): smallest node of every connected component.
 
     Alternating large-star and small-star rewiring: each step is a partial min aggregate and a
     join, so a hub node combines on the map side; the edge list is written out every round and
-    the loop ends when no edge changes."""
+    the loop ends when no edge changes, after a number of rounds logarithmic in the longest path."""
     e = edges.select(F.col(a).cast("string").alias("u"), F.col(b).cast("string").alias("v")).where(F.col("u") != F.col("v"))
     nodes = stage(edges.select(F.explode(F.array(F.col(a).cast("string"), F.col(b).cast("string"))).alias("node")).distinct())
     e = stage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(rounds):
+    while True:
         # large star: neighbours above a node move to the smallest node seen around it
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -124,12 +124,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         nxt = stage(moved.where(F.col("u") != F.col("v")).distinct())
-        changed = nxt.exceptAll(e).limit(1).count() + e.exceptAll(nxt).limit(1).count()
+        # both are sets: of equal size, they are equal if one holds the other
+        same = nxt.count() == e.count() and nxt.join(e, ["u", "v"], "left_anti").isEmpty()
         e = nxt
-        if changed == 0:
+        if same:
             break
-    else:
-        raise RuntimeError("components did not settle; raise the round limit")
     root = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("r"))
     return nodes.join(root, "node", "left").select("node", F.coalesce("r", "node").alias("component"))
 
@@ -143,7 +142,7 @@ def near_bases(bases: DataFrame) -> DataFrame:
     return b.join(c, "base", "left").select("base", F.coalesce("family", "base").alias("family"))
 
 
-def variant_families(symbols: DataFrame, dirs: DataFrame, snap: DataFrame, min_corr: float = 0.40, min_overlap: int = 150, rounds: int = 50) -> DataFrame:
+def variant_families(symbols: DataFrame, dirs: DataFrame, snap: DataFrame, min_corr: float = 0.40, min_overlap: int = 150) -> DataFrame:
     """Symbol families confirmed by behaviour with one chosen member each.
 
     ``symbols``: (ticker, symbol); ``dirs``: (ticker, date, dir).  The first ticker of a family
@@ -155,13 +154,11 @@ def variant_families(symbols: DataFrame, dirs: DataFrame, snap: DataFrame, min_c
     links = stage(blocks.similar_pairs(rows, min_overlap, min_corr, absolute=True, grouped=True).select(F.col("a").alias("ticker"), "b"))
     got = stage(m.groupBy("family").agg(F.min("ticker").alias("ticker")))
     fresh = got
-    for _ in range(rounds):
+    while True:  # every round accepts a new ticker or is the last
         fresh = stage(fresh.join(links, "ticker").select("family", F.col("b").alias("ticker")).distinct().join(got, ["family", "ticker"], "left_anti"))
         if fresh.isEmpty():
             break
         got = stage(got.unionByName(fresh))
-    else:
-        raise RuntimeError("family confirmation did not settle; raise the round limit")
     size = got.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
     s = stage(got.join(size, "family").join(snap, "ticker", "left"))
     r = pct_ranks(s, ["ticker"], ["family"], {"dollar_vol_20d": "_d", "trend_slope_60d": "_s", "ret_60d": "_m", "vol_60d": "_v"})
@@ -251,10 +248,11 @@ def spectral(edges: DataFrame, dims: int = 3, rounds: int = 30) -> DataFrame:
 def knn_adjust(test: DataFrame, refs: DataFrame, k: int = 20, alpha: float = 0.25) -> DataFrame:
     """Pull a base probability towards the exp(-d/scale)-weighted target of the nearest references.
 
-    ``test``: (id, x, p); ``refs``: (ref, x, payload).  The scale is the median over test rows of
-    their mean neighbour distance unless references carry their own probe set."""
+    ``test``: (id, x, p); ``refs``: (ref, x, payload).  The scale is the median over the references
+    of their mean distance to their nearest other references, so it does not see test rows."""
     near = stage(blocks.nearest_points(test.select("id", "x"), refs, k))
-    mean = near.groupBy("id").agg(F.avg("distance").alias("d"))
+    probes = blocks.nearest_points(refs.select(F.col("ref").alias("id"), "x"), refs, k, skip_self=True)
+    mean = probes.groupBy("id").agg(F.avg("distance").alias("d"))
     scale = F.greatest(quantiles(stage(mean), [], "d", {"m": 0.5}).select(F.max("m")).scalar(), F.lit(1e-6))
     w = F.exp(-F.col("distance") / scale)
     g = near.groupBy("id").agg((F.sum(w * F.col("payload")) / F.greatest(F.sum(w), F.lit(1e-12))).alias("consensus"), F.exp(-F.avg("distance") / scale).alias("confidence"))

@@ -15,7 +15,7 @@ from tessella.functions.scalars import hash_id, is_iso_date
 DUPLICATE, NO_CLOSE, TOO_SHORT, ELIGIBLE = "duplicate_source_rows", "missing_close", "insufficient_history", "eligible_past_only"
 # Reasons of candidate membership, first failing rule first.
 IN_SOURCE, SHORT_WINDOW, NO_RANK, ILLIQUID, MISSING_ELIGIBLE = (
-    "already_present_in_source", "insufficient_20_date_history", "missing_liquidity_rank", "outside_top_liquidity", "eligible_missing_past_only")
+    "already_present_in_source", "insufficient_20_date_history", "missing_liquidity_rank", "outside_top_{top}_liquidity", "eligible_missing_past_only")
 # Status of sector lineage with and without a current profile.
 SNAPSHOT_ONLY, NO_SECTOR = "current_snapshot_only_not_valid_for_historical_features", "no_sector_metadata"
 # Safety of corporate events, first failing rule first.
@@ -189,7 +189,8 @@ def alias_intervals(events: DataFrame, anchors: DataFrame) -> DataFrame:
 def candidate_membership(source: DataFrame, candidates: DataFrame, start: str, cutoff: str, window: int = 20, top: int = 1000) -> DataFrame:
     """Daily membership of candidate entities ranked together with the source universe.
 
-    Means run over the last ``window`` observations of a key; missing days do not reset them.
+    Means run over the last ``window`` observations of a key; missing days do not reset them, and
+    rows without close or volume are no observations and have no rank.
     Source rows start ``window - 1`` market dates before ``start``, candidate rows at ``start``."""
     from tessella.operators.sets import stable_rank
     from tessella.session import stage
@@ -197,24 +198,27 @@ def candidate_membership(source: DataFrame, candidates: DataFrame, start: str, c
     s, c = F.lit(start).cast("date"), F.lit(cutoff).cast("date")
     days = source.select("date").distinct()
     warm = days.where(F.col("date") <= s).orderBy(F.desc("date")).limit(window).select(F.min("date")).scalar()
-    dv = F.col("close_price") * F.greatest("volume", F.lit(0.0))
-    a = source.where((F.col("date") >= warm) & (F.col("date") < c)).select(F.concat(F.lit("SRC:"), "ticker").alias("key"), "ticker", "date", dv.alias("dv"), F.lit(0).alias("cand"))
+    # greatest() skips nulls, a missing volume must not become 0
+    dv = F.when(F.col("volume").isNotNull(), F.col("close_price") * F.greatest("volume", F.lit(0.0)))
+    a = source.where((F.col("date") >= warm) & (F.col("date") < c)).select(F.concat(F.lit("SRC:"), "ticker").alias("key"), F.lit(None).cast("string").alias("entity_id"), "ticker", "date", dv.alias("dv"), F.lit(0).alias("cand"))
     on_market = candidates.join(days, "date", "left_semi")
-    b = on_market.where((F.col("date") >= s) & (F.col("date") < c)).select(F.concat(F.lit("ENT:"), "entity_id").alias("key"), "ticker", "date", dv.alias("dv"), F.lit(1).alias("cand"))
+    b = on_market.where((F.col("date") >= s) & (F.col("date") < c)).select(F.concat(F.lit("ENT:"), "entity_id").alias("key"), F.col("entity_id").cast("string").alias("entity_id"), "ticker", "date", dv.alias("dv"), F.lit(1).alias("cand"))
     w = Window.partitionBy("key").orderBy("date")
+    observed = Window.partitionBy("key", F.col("dv").isNull()).orderBy("date")
     both = a.unionByName(b).withColumns({
         "history_observations": F.count("dv").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "_mean": F.avg("dv").over(w.rowsBetween(-(window - 1), 0))})
-    both = stage(both.withColumn("mean_dollar_volume", F.when(F.col("history_observations") >= window, F.col("_mean"))).drop("_mean"))
+        "_mean": F.avg("dv").over(observed.rowsBetween(-(window - 1), 0))})
+    full = F.col("dv").isNotNull() & (F.col("history_observations") >= window)
+    both = stage(both.withColumn("mean_dollar_volume", F.when(full, F.col("_mean"))).drop("_mean"))
     ranked = stable_rank(both.where(F.col("mean_dollar_volume").isNotNull()), "mean_dollar_volume", "key", "combined_liquidity_rank", ["date"])
     out = both.where((F.col("cand") == 1) & (F.col("date") >= s)).join(ranked.select("key", "date", "combined_liquidity_rank"), ["key", "date"], "left")
     taken = both.where(F.col("cand") == 0).select("ticker", "date").distinct().withColumn("_t", F.lit(1))
     out = out.join(taken, ["ticker", "date"], "left")
     reason = (
         F.when(F.col("_t").isNotNull(), IN_SOURCE).when(F.col("history_observations") < window, SHORT_WINDOW)
-        .when(F.col("combined_liquidity_rank").isNull(), NO_RANK).when(F.col("combined_liquidity_rank") > top, ILLIQUID)
+        .when(F.col("combined_liquidity_rank").isNull(), NO_RANK).when(F.col("combined_liquidity_rank") > top, ILLIQUID.format(top=top))
         .otherwise(MISSING_ELIGIBLE))
-    return out.withColumns({"entity_id": F.substring("key", 5, 1000), "eligibility_reason": reason, "universe_eligible": flag(reason == MISSING_ELIGIBLE)}).drop("_t", "key", "dv", "cand")
+    return out.withColumns({"eligibility_reason": reason, "universe_eligible": flag(reason == MISSING_ELIGIBLE)}).drop("_t", "key", "dv", "cand")
 
 
 def listing_snapshots(rows: DataFrame) -> DataFrame:

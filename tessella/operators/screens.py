@@ -26,14 +26,18 @@ class ScreenRules:
     session_minutes: float = 390.0
 
 
-def screen(prices: DataFrame, rules: ScreenRules = ScreenRules()) -> DataFrame:
-    """One row per ticker with the first failing reason in fixed order (null = passed)."""
+def screen(prices: DataFrame, rules: ScreenRules = ScreenRules(), listing: DataFrame | None = None) -> DataFrame:
+    """One row per ticker with the first failing reason in fixed order (null = passed).
+
+    With ``listing`` (ticker), listed tickers without any bar have no history."""
     step = ratio("close_price", F.lag("close_price").over(history())) - 1
     per = prices.withColumn("_r", step).groupBy("ticker").agg(
         F.max(F.struct("date", "close_price"))["close_price"].alias("price"),
         F.count("close_price").alias("bars"), F.avg("volume").alias("avg_volume"),
         F.avg(F.col("close_price") * F.col("volume")).alias("avg_dollar_volume"),
         F.stddev_samp("_r").alias("return_std"))
+    if listing is not None:
+        per = listing.select("ticker").distinct().join(per, "ticker", "left").fillna(0, ["bars"])
     liquid = (F.col("bars") >= rules.min_bars) & (F.col("avg_volume") >= rules.min_volume) & (F.col("avg_dollar_volume") >= rules.min_dollar_volume)
     reason = (
         F.when(F.col("bars") == 0, "No history")

@@ -122,37 +122,54 @@ def decision_records(board: DataFrame, source_date: str, model_version: str = "b
     return r.withColumn("decision_id", hash_id(parts, 20))
 
 
+# Texts of account constraints and the maxima that hold where a snapshot has none.
+NO_TRADE, NO_SNAPSHOT = "No trade is implied by this action.", "No local trading constraint snapshot exists; keep this as review or paper only."
+WEEKLY_USED, WEEKLY_LAST, WEEKLY_UNKNOWN = "Weekly trade budget is used up.", "Only one trade remains in the weekly trade budget.", "Weekly trade count is unknown."
+PDT_CUSHION, PDT_CLEAR = "Equity snapshot is at or above the PDT threshold.", "Trading constraints snapshot does not show a current PDT block."
+DAY_UNKNOWN = "Day-trade count is unknown for an account below or near the PDT threshold."
+DAY_USED, DAY_LAST = "Rolling 5-trading-day day-trade budget is used up.", "Only one day trade remains in the rolling 5-trading-day budget."
+FUNDS_UNKNOWN = "Buying power and cash are unknown in the local constraint snapshot."
+POWER_UNKNOWN, POWER_NONE = "Buying power is unknown.", "Buying power is zero or negative."
+POWER_SHORT = "Estimated notional $%s exceeds buying power $%s."
+EXIT_UNKNOWN = "Do not treat same-day exit or re-entry as executable until the rolling day-trade count is known."
+MAX_DAY_TRADES_5D, MAX_WEEKLY_TRADES = 3, 4
+
+
 def constraint_status(board: DataFrame, snapshot: DataFrame, pdt_equity: float = 25_000.0) -> DataFrame:
-    """Severity (safe < caution < blocked) and reason codes of every board row under the latest account snapshot."""
+    """Severity (safe < caution < blocked) and reasons of every board row under the latest account snapshot."""
     latest = snapshot.orderBy(F.desc("snapshot_at")).limit(1).select(
-        F.lit(1).alias("_k"), *[F.col(c).alias(f"_{c}") for c in ("equity", "buying_power", "cash", "day_trades_5d", "weekly_trades", "max_day_trades_5d", "max_weekly_trades")])
+        F.lit(1).alias("_k"), F.lit(True).alias("_have"), *[F.col(c).alias(f"_{c}") for c in ("equity", "buying_power", "cash", "day_trades_5d", "weekly_trades", "max_day_trades_5d", "max_weekly_trades")])
     b = board.withColumn("_k", F.lit(1)).join(latest, "_k", "left")
     c = F.col
-    have = c("_max_weekly_trades").isNotNull()
+    have = c("_have").isNotNull()
+    b = b.withColumns({
+        "_max_day_trades_5d": F.coalesce(F.nullif("_max_day_trades_5d", F.lit(0)), F.lit(MAX_DAY_TRADES_5D)),
+        "_max_weekly_trades": F.coalesce(F.nullif("_max_weekly_trades", F.lit(0)), F.lit(MAX_WEEKLY_TRADES))})
     text = F.lower("decision")
     has = lambda *words: F.coalesce(sum((flag(text.contains(w)) for w in words[1:]), flag(text.contains(words[0]))) > 0, F.lit(False))
     buys, sells = has("buy", "add"), has("reduce", "exit")
     weekly_used, cushion = F.coalesce(c("_weekly_trades") >= c("_max_weekly_trades"), F.lit(False)), F.coalesce(c("_equity") >= pdt_equity, F.lit(False))
     rule = lambda cond, level, code: F.when(cond, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code")))
     overall = F.coalesce(
-        rule(weekly_used, 3, "weekly budget used"), rule(cushion, 1, "above pdt threshold"), rule(c("_day_trades_5d").isNull(), 2, "day trades unknown"),
-        rule(c("_day_trades_5d") >= c("_max_day_trades_5d"), 3, "day-trade budget used"),
-        rule(c("_day_trades_5d") == c("_max_day_trades_5d") - 1, 2, "one day trade left"),
-        rule(c("_buying_power").isNull() & c("_cash").isNull(), 2, "buying power and cash unknown"), rule(F.lit(True), 1, "no current block"))
+        rule(weekly_used, 3, WEEKLY_USED), rule(cushion, 1, PDT_CUSHION), rule(c("_day_trades_5d").isNull(), 2, DAY_UNKNOWN),
+        rule(c("_day_trades_5d") >= c("_max_day_trades_5d"), 3, DAY_USED),
+        rule(c("_day_trades_5d") == c("_max_day_trades_5d") - 1, 2, DAY_LAST),
+        rule(c("_buying_power").isNull() & c("_cash").isNull(), 2, FUNDS_UNKNOWN), rule(F.lit(True), 1, PDT_CLEAR))
     notional = F.when((c("paper_quantity_1pct_risk") > 0) & (c("entry_price") > 0), c("paper_quantity_1pct_risk") * c("entry_price"))
     power = F.when(buys, F.coalesce(
-        rule(c("_buying_power").isNull(), 2, "buying power unknown"), rule(c("_buying_power") <= 0, 3, "no buying power"),
-        rule(notional > c("_buying_power"), 3, "notional exceeds buying power")))
-    exits = rule(sells & ~cushion & c("_day_trades_5d").isNull(), 2, "same-day exit uncertain")
+        rule(c("_buying_power").isNull(), 2, POWER_UNKNOWN), rule(c("_buying_power") <= 0, 3, POWER_NONE),
+        F.when(notional > c("_buying_power"), F.struct(F.lit(3).alias("level"), F.format_string(
+            POWER_SHORT, F.format_number(notional, 2), F.format_number("_buying_power", 2)).alias("code")))))
+    exits = rule(sells & ~cushion & c("_day_trades_5d").isNull(), 2, EXIT_UNKNOWN)
     weekly = F.coalesce(
-        rule(c("_weekly_trades").isNull(), 2, "weekly trades unknown"), rule(weekly_used, 3, "weekly budget used"),
-        rule(c("_weekly_trades") == c("_max_weekly_trades") - 1, 2, "one weekly trade left"))
+        rule(c("_weekly_trades").isNull(), 2, WEEKLY_UNKNOWN), rule(weekly_used, 3, WEEKLY_USED),
+        rule(c("_weekly_trades") == c("_max_weekly_trades") - 1, 2, WEEKLY_LAST))
     found = F.array_compact(F.array(overall, power, exits, weekly))
     level = F.array_max(F.transform(found, lambda x: x["level"]))
-    codes = F.array_join(F.array_distinct(F.transform(found, lambda x: x["code"])), "; ")
+    codes = F.array_join(F.array_distinct(F.transform(found, lambda x: x["code"])), " ")
     trade = buys | sells
     status = F.when(~trade, "no trade").when(~have, "blocked").when(level >= 3, "blocked").when(level == 2, "caution").otherwise("safe")
-    reason = F.when(~trade, "no trade implied").when(~have, "no account snapshot").otherwise(codes)
+    reason = F.when(~trade, NO_TRADE).when(~have, NO_SNAPSHOT).otherwise(codes)
     return b.withColumns({"constraint_status": status, "constraint_reason": reason}).select(*board.columns, "constraint_status", "constraint_reason")
 
 

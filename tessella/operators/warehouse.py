@@ -139,10 +139,15 @@ def leakage_audit(evals: DataFrame) -> DataFrame:
                         .when(F.col("train_before_test") == 0, "train_test_overlap_review").otherwise("ok"))
 
 
-# Default artifact flags and the path fragment that proves each; callers pass their own layout.
+# Artifact flags and the path fragment that proves each.
 ARTIFACTS = {
-    "has_model_scores": "/evaluation.csv", "has_predictions": "/predictions.csv", "has_candidate_predictions": "/candidates.csv",
-    "has_monte_carlo": "/simulations.csv", "has_paper_decisions": "/decisions.csv", "has_paper_outcomes": "/outcomes.csv", "has_dashboard_db": "/dashboard.db",
+    "has_model_scores": "analytics/model_tournament_evaluation.csv",
+    "has_predictions": "analytics/latest_model_predictions.csv",
+    "has_candidate_predictions": "analytics/latest_model_candidate_predictions.csv",
+    "has_monte_carlo": "analytics/latest_monte_carlo_simulations.csv",
+    "has_paper_decisions": "analytics/automatic_paper_decisions.csv",
+    "has_paper_outcomes": "analytics/automatic_paper_decision_outcomes.csv",
+    "has_dashboard_db": "dashboard_data.db",
 }
 
 

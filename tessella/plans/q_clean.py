@@ -213,9 +213,13 @@ RULES = sn.ScreenRules(min_price=30.0, min_volume=20.0, min_dollar_volume=60_000
 @query("B04_screen", "ticker price:r bars:i avg_volume:r avg_dollar_volume:r return_std:r reason",
        """SELECT *, CASE WHEN bars = 0 THEN 'No history' WHEN price < 30 THEN 'Price < $30' WHEN NOT (bars >= 3 AND avg_volume >= 20 AND avg_dollar_volume >= 60000) THEN 'Liquidity fail'
        WHEN avg_volume / 300.0 / 390.0 < 0.000215 THEN 'Trade frequency fail' WHEN coalesce(return_std > 12, true) THEN 'Volatility fail' END AS reason
-       FROM (SELECT ticker, arg_max(close_price, date) AS price, count(*) AS bars, avg(volume) AS avg_volume, avg(close_price * volume) AS avg_dollar_volume, stddev_samp(ret_1d) AS return_std FROM rets GROUP BY ticker)""", digits=4)
+       FROM (SELECT ticker, price, coalesce(bars, 0) AS bars, avg_volume, avg_dollar_volume, return_std
+             FROM (SELECT ticker FROM symbols UNION SELECT 'without bars') LEFT JOIN
+                  (SELECT ticker, arg_max(close_price, date) AS price, count(*) AS bars, avg(volume) AS avg_volume,
+                          avg(close_price * volume) AS avg_dollar_volume, stddev_samp(ret_1d) AS return_std FROM rets GROUP BY ticker) USING (ticker))""", digits=4)
 def _(t):
-    return sn.screen(t.prices(), RULES)
+    listed = t.symbols().select("ticker").unionByName(t.symbols().select(F.lit("without bars").alias("ticker")))
+    return sn.screen(t.prices(), RULES, listed)
 
 
 @query("B05_momentum_ok", "ticker one_year_return:r momentum_ok:i",

@@ -180,12 +180,20 @@ def _(t):
 
 
 @query("G10_knn_adjust", "id consensus:r confidence:r adjusted:r",
-       """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), d AS (SELECT a.vec_id AS id, list_distance(a.x, b.x) AS d, CASE WHEN b.label >= 5 THEN 1.0 ELSE 0.0 END AS y FROM e a, e b QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.x, b.x), CAST(b.vec_id AS VARCHAR)) <= 20),
-       s AS (SELECT median(m) AS s FROM (SELECT avg(d) AS m FROM d GROUP BY id)), g AS (SELECT id, sum(exp(-d / s) * y) / sum(exp(-d / s)) AS consensus, exp(-avg(d) / max(s)) AS confidence FROM d, s GROUP BY 1)
+       """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), r AS (SELECT * FROM e WHERE label <> 3),
+       d AS (SELECT a.vec_id AS id, list_distance(a.x, b.x) AS d, CASE WHEN b.label >= 5 THEN 1.0 ELSE 0.0 END AS y FROM e a, r b WHERE a.label = 3
+             QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.x, b.x), CAST(b.vec_id AS VARCHAR)) <= 20),
+       p AS (SELECT a.vec_id AS id, list_distance(a.x, b.x) AS d FROM r a, r b WHERE a.vec_id <> b.vec_id
+             QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.x, b.x), CAST(b.vec_id AS VARCHAR)) <= 20),
+       s AS (SELECT median(m) AS s FROM (SELECT avg(d) AS m FROM p GROUP BY id)), g AS (SELECT id, sum(exp(-d / s) * y) / sum(exp(-d / s)) AS consensus, exp(-avg(d) / max(s)) AS confidence FROM d, s GROUP BY 1)
        SELECT *, greatest(1e-6, least(1 - 1e-6, 0.5 + 0.25 * confidence * (consensus - 0.5))) AS adjusted FROM g""", digits=5)
 def _(t):
-    e = t.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), F.when(F.col("label") >= 5, 1.0).otherwise(0.0).alias("payload"))
-    return gr.knn_adjust(e.select("id", "x", F.lit(0.5).alias("p")), e.select(F.col("id").alias("ref"), "x", "payload"), 20, 0.25)
+    # one class is predicted from the others, so no row is its own reference
+    e = t.table("embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), "label",
+        F.when(F.col("label") >= 5, 1.0).otherwise(0.0).alias("payload"))
+    test, refs = e.where("label = 3"), e.where("label <> 3")
+    return gr.knn_adjust(test.select("id", "x", F.lit(0.5).alias("p")), refs.select(F.col("id").alias("ref"), "x", "payload"), 20, 0.25)
 
 
 @query("G11_variant_families", "family ticker members:i chosen:i reason",

@@ -149,20 +149,24 @@ def _(t):
 
 
 @query("P09_candidate_membership", "entity_id ticker date:d history_observations:i mean_dollar_volume:r combined_liquidity_rank:i universe_eligible:i eligibility_reason",
-       """WITH c AS (SELECT ticker AS entity_id, ticker, date, close_price, volume FROM cust_prices UNION ALL SELECT 'E' || ticker, ticker, date, close_price, volume FROM prices WHERE volume < 15),
+       """WITH c AS (SELECT ticker AS entity_id, ticker, date, close_price, volume FROM cust_prices UNION ALL SELECT 'E' || ticker, ticker, date, CASE WHEN day(date) % 7 <> 3 THEN close_price END, CASE WHEN day(date) % 7 <> 4 THEN volume END FROM prices WHERE volume < 15),
        days AS (SELECT DISTINCT date FROM prices_alt), warm AS (SELECT min(date) AS w FROM (SELECT date FROM days WHERE date <= DATE '1997-01-01' ORDER BY date DESC LIMIT 5)),
-       k AS (SELECT 'SRC:' || ticker AS key, ticker, date, close_price * greatest(volume, 0) AS dv, 0 AS cand FROM prices_alt, warm WHERE date >= w AND date < DATE '2001-01-01'
-             UNION ALL SELECT 'ENT:' || entity_id, ticker, date, close_price * greatest(volume, 0), 1 FROM c WHERE date >= DATE '1997-01-01' AND date < DATE '2001-01-01' AND date IN (SELECT date FROM days)),
-       r AS (SELECT *, count(dv) OVER (PARTITION BY key ORDER BY date) AS history_observations, avg(dv) OVER (PARTITION BY key ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m FROM k),
-       q AS (SELECT *, CASE WHEN history_observations >= 5 THEN m END AS mean_dollar_volume FROM r), z AS (SELECT *, CASE WHEN mean_dollar_volume IS NOT NULL THEN row_number() OVER (PARTITION BY date ORDER BY mean_dollar_volume DESC NULLS LAST, key) END AS rk FROM q),
+       k AS (SELECT 'SRC:' || ticker AS key, ticker, date, CASE WHEN volume IS NOT NULL THEN close_price * greatest(volume, 0) END AS dv, 0 AS cand FROM prices_alt, warm WHERE date >= w AND date < DATE '2001-01-01'
+             UNION ALL SELECT 'ENT:' || entity_id, ticker, date, CASE WHEN volume IS NOT NULL THEN close_price * greatest(volume, 0) END, 1 FROM c WHERE date >= DATE '1997-01-01' AND date < DATE '2001-01-01' AND date IN (SELECT date FROM days)),
+       r AS (SELECT *, count(dv) OVER (PARTITION BY key ORDER BY date) AS history_observations, avg(dv) OVER (PARTITION BY key, dv IS NULL ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m FROM k),
+       q AS (SELECT *, CASE WHEN dv IS NOT NULL AND history_observations >= 5 THEN m END AS mean_dollar_volume FROM r), z AS (SELECT *, CASE WHEN mean_dollar_volume IS NOT NULL THEN row_number() OVER (PARTITION BY date ORDER BY mean_dollar_volume DESC NULLS LAST, key) END AS rk FROM q),
        f AS (SELECT substr(key, 5) AS entity_id, ticker, date, history_observations, mean_dollar_volume, rk AS combined_liquidity_rank,
-       CASE WHEN EXISTS (SELECT 1 FROM z s WHERE s.cand = 0 AND s.ticker = z.ticker AND s.date = z.date) THEN 'already_present_in_source' WHEN history_observations < 5 THEN 'insufficient_20_date_history' WHEN rk IS NULL THEN 'missing_liquidity_rank' WHEN rk > 10 THEN 'outside_top_liquidity'
+       CASE WHEN EXISTS (SELECT 1 FROM z s WHERE s.cand = 0 AND s.ticker = z.ticker AND s.date = z.date) THEN 'already_present_in_source' WHEN history_observations < 5 THEN 'insufficient_20_date_history' WHEN rk IS NULL THEN 'missing_liquidity_rank' WHEN rk > 10 THEN 'outside_top_10_liquidity'
        ELSE 'eligible_missing_past_only' END AS eligibility_reason FROM z WHERE cand = 1 AND date >= DATE '1997-01-01')
        SELECT *, CASE WHEN eligibility_reason = 'eligible_missing_past_only' THEN 1 ELSE 0 END AS universe_eligible FROM f""", digits=4)
 def _(t):
     cols = ["entity_id", "ticker", "date", "close_price", "volume"]
     c = t.cust_prices().withColumn("entity_id", F.col("ticker")).select(*cols)
-    d = t.prices().where(F.col("volume") < 15).withColumn("entity_id", F.concat(F.lit("E"), "ticker")).select(*cols)
+    # some days miss the close, others the volume
+    day = F.dayofmonth("date") % 7
+    d = t.prices().where(F.col("volume") < 15).withColumns({
+        "entity_id": F.concat(F.lit("E"), "ticker"),
+        "close_price": F.when(day != 3, F.col("close_price")), "volume": F.when(day != 4, F.col("volume"))}).select(*cols)
     return ln.candidate_membership(t.prices_alt(), c.unionByName(d), "1997-01-01", "2001-01-01", 5, 10)
 
 
@@ -258,11 +262,14 @@ def _(t):
        f"""WITH {BOARD_SQL}, s AS (SELECT 9000.0 AS equity, 12000.0 AS power, 2 AS day_trades, 3 AS weekly, 3 AS max_day, 4 AS max_week),
        x AS (SELECT b.*, decision LIKE '%buy%' OR decision LIKE '%add%' AS buys, decision LIKE '%reduce%' AS sells, paper_quantity_1pct_risk * entry_price AS notional FROM board b)
        SELECT ticker, decision, CASE WHEN NOT (buys OR sells) THEN 'no trade' WHEN buys AND notional > 12000 THEN 'blocked' ELSE 'caution' END AS constraint_status,
-       CASE WHEN NOT (buys OR sells) THEN 'no trade implied' ELSE concat_ws('; ', 'one day trade left', CASE WHEN buys AND notional > 12000 THEN 'notional exceeds buying power' END, 'one weekly trade left') END AS constraint_reason FROM x""")
+       CASE WHEN NOT (buys OR sells) THEN 'No trade is implied by this action.' ELSE concat_ws(' ', 'Only one day trade remains in the rolling 5-trading-day budget.',
+            CASE WHEN buys AND notional > 12000 THEN 'Estimated notional $' || format('{{:,.2f}}', notional) || ' exceeds buying power $12,000.00.' END, 'Only one trade remains in the weekly trade budget.') END AS constraint_reason FROM x""")
 def _(t):
     snap = t.table("region").select(
         F.date_add(F.lit("2001-01-01").cast("date"), F.col("r_regionkey")).alias("snapshot_at"), F.when(F.col("r_regionkey") == 4, 9000.0).otherwise(50_000.0).alias("equity"), F.lit(12_000.0).alias("buying_power"), F.lit(500.0).alias("cash"),
-        F.lit(2).alias("day_trades_5d"), F.lit(3).alias("weekly_trades"), F.lit(3).alias("max_day_trades_5d"), F.lit(4).alias("max_weekly_trades"))
+        F.lit(2).alias("day_trades_5d"), F.lit(3).alias("weekly_trades"),
+        # the snapshot carries no maxima: the defaults hold
+        F.lit(None).cast("int").alias("max_day_trades_5d"), F.lit(None).cast("int").alias("max_weekly_trades"))
     return tr.constraint_status(board(t), snap)
 
 

@@ -257,9 +257,12 @@ def _(t):
 
 @query("E31_features_incremental", "ticker date:d ret_60d:r vol_60d:r max_dd_60d:r trend_r2_60d:r", "SELECT * FROM feats WHERE date > DATE '2001-01-01'", digits=4)
 def _(t):
+    # what arrives holds new bars, bars stored before, and late ones for dates never stored
     p = t.prices()
     cut = F.lit("2001-01-01").cast("date")
-    return inc.features_incremental(p.where(F.col("date") <= cut), p.where(F.col("date") > cut), cut)
+    late = p.where(F.col("date") < F.lit("1999-01-01").cast("date")).withColumn("date", F.date_sub("date", 1))
+    arrived = p.where(F.col("date") > F.date_sub(cut, 200)).unionByName(late)
+    return inc.features_incremental(p.where(F.col("date") <= cut), arrived)
 
 
 @query("S01_incremental_stream", "ticker date:d ret_20d:r vol_20d:r", "SELECT ticker, date, ret_20d, vol_20d FROM feats", digits=4)

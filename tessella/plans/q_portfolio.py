@@ -320,12 +320,12 @@ def _(t):
 
 @query("N02_bootstrap_ci", "model mean:r blocks:i ci_2_5:r ci_97_5:r positive_probability:r")
 def _(t):
-    return nf.bootstrap_ci(nf.weekly_blocks(dailies(t), ["model"], "net_return"), ["model"], ["week"], 500, 17)
+    return nf.bootstrap_ci(nf.weekly_blocks(dailies(t), ["model"], "net_return"), ["model"], ["week"], 2000, 17)
 
 
 @query("N03_block_bootstrap", "model mean:r n:i ci_2_5:r ci_97_5:r")
 def _(t):
-    return nf.block_bootstrap(dailies(t), ["model"], ["split", "date"], "net_return", 10, 300, 442)
+    return nf.block_bootstrap(dailies(t), ["model"], ["split", "date"], "net_return", 10, 2000, 442)
 
 
 @query("N04_paired_deltas", "split:i date:d net_return_delta:r turnover_delta:r",

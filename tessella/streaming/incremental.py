@@ -1,13 +1,13 @@
 """Incremental feature maintenance.
 
-New bars extend a feature table: only a bounded context tail per ticker is read back, so the
-cost follows the new rows and not the history."""
+New bars extend a feature table.  Features are computed for the new rows alone, from a bounded
+tail of stored bars per ticker; every batch scans the stored bars to find those tails."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.ranking import first_rows
@@ -18,13 +18,19 @@ CONTEXT_ROWS = 120
 BAR_COLUMNS = ("ticker", "date", "close_price", "volume")
 
 
-def features_incremental(history: DataFrame, new: DataFrame, last: Column | None = None, context: int = CONTEXT_ROWS) -> DataFrame:
-    """Features of the new bars from the last ``context`` history rows of their tickers.
+def later_bars(history: DataFrame, new: DataFrame) -> DataFrame:
+    """New bars after the last stored date of their ticker, one per date (the largest on ties).
 
-    Bars that are already stored, or (with ``last``) not later than it, are skipped."""
-    fresh = new.select(*BAR_COLUMNS).join(history.select("ticker", "date"), ["ticker", "date"], "left_anti")
-    if last is not None:
-        fresh = fresh.where(F.col("date") > last)
+    Stored dates and late arrivals are skipped, so features never change after they are stored."""
+    last = history.groupBy("ticker").agg(F.max("date").alias("_last"))
+    one = new.groupBy("ticker", "date").agg(F.max(F.struct("close_price", "volume")).alias("_b"))
+    one = one.select("ticker", "date", "_b.close_price", "_b.volume").join(last, "ticker", "left")
+    return one.where(F.col("_last").isNull() | (F.col("date") > F.col("_last"))).select(*BAR_COLUMNS)
+
+
+def features_incremental(history: DataFrame, new: DataFrame, context: int = CONTEXT_ROWS) -> DataFrame:
+    """Features of the later bars from the last ``context`` history rows of their tickers."""
+    fresh = later_bars(history, new)
     old = history.select(*BAR_COLUMNS).join(fresh.select("ticker").distinct(), "ticker", "left_semi")
     tail = first_rows(old, ["ticker"], [F.desc("date")], context, "_k").drop("_k")
     both = tail.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
@@ -44,14 +50,13 @@ def incremental_features(spark: SparkSession, source: str, state: str, schema: s
 
     def extend(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        try:
+        at = s._jvm.org.apache.hadoop.fs.Path(bars_at)
+        if at.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).exists(at):
             stored = s.read.schema(f"{schema}, batch long").parquet(bars_at).where(F.col("batch") < batch_id)
-        except Exception:  # first batch: nothing stored yet
+        else:
             stored = s.createDataFrame([], f"{schema}, batch long")
-        new = batch.dropDuplicates(["ticker", "date"])
-        features_incremental(stored, new).write.mode("overwrite").parquet(f"{feats_at}/batch={batch_id}")
-        fresh = new.join(stored.select("ticker", "date"), ["ticker", "date"], "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{bars_at}/batch={batch_id}")
+        features_incremental(stored, batch).write.mode("overwrite").parquet(f"{feats_at}/batch={batch_id}")
+        later_bars(stored, batch).write.mode("overwrite").parquet(f"{bars_at}/batch={batch_id}")
 
     job = (reader.parquet(source).writeStream.foreachBatch(extend).option("checkpointLocation", f"{state}/_stream").trigger(availableNow=True).start())
     job.awaitTermination()

@@ -243,3 +243,76 @@ def test_normal_cdf(spark):
     got = spark.range(1).select(*[portfolio.normal_cdf(F.lit(x)).alias(str(i)) for i, x in enumerate((-2.0, 0.0, 1.5))]).first()
     for g, x in zip(got, (-2.0, 0.0, 1.5)):
         assert g == pytest.approx(0.5 * (1 + math.erf(x / math.sqrt(2))), abs=1e-6)
+
+
+def test_late_bars_are_skipped_and_leave_features_alone(frame):
+    import datetime as dt
+
+    from tessella.operators.features import research_features
+    from tessella.streaming.incremental import features_incremental, later_bars
+
+    day = lambda k: dt.date(2020, 1, 1) + dt.timedelta(days=2 * k)
+    bars = [("a", day(k), 10.0 + (k * k) % 17, 100.0) for k in range(300)] + [("b", day(k), 5.0 + k % 7, 50.0) for k in range(40)]
+    schema = "ticker string, date date, close_price double, volume double"
+    history = frame([b for b in bars if b[1] <= day(250)], schema)
+    late = [("a", day(100) + dt.timedelta(days=1), 99.0, 1.0), ("b", day(20) + dt.timedelta(days=1), 99.0, 1.0)]
+    new = frame([b for b in bars if b[1] > day(240)] + late + [("a", day(299), 1.0, 1.0)], schema)
+    assert {(r.ticker, r.date) for r in later_bars(history, new).collect()} == {("a", day(k)) for k in range(251, 300)}
+    got = {(r.ticker, r.date): r.ret_60d for r in features_incremental(history, new).collect()}
+    want = {(r.ticker, r.date): r.ret_60d for r in research_features(frame(bars, schema)).collect() if r.date > day(250)}
+    assert got == pytest.approx(want) and None not in got.values()
+
+
+def test_candidate_rows_without_close_or_volume_have_no_rank(frame):
+    import datetime as dt
+
+    from tessella.operators.lineage import candidate_membership
+
+    day = lambda k: dt.date(2020, 1, 1) + dt.timedelta(days=k)
+    source = frame([("s", day(k), 1.0, 1.0) for k in range(12)], "ticker string, date date, close_price double, volume double")
+    name = "e" * 1200
+    rows = [(name, "c", day(k), None if k == 8 else 2.0, None if k == 9 else 10.0) for k in range(12)]
+    cand = frame(rows, "entity_id string, ticker string, date date, close_price double, volume double")
+    got = {r.date: r for r in candidate_membership(source, cand, "2020-01-01", "2020-02-01", 3, 10).collect()}
+    assert {r.entity_id for r in got.values()} == {name}
+    assert [got[day(k)].eligibility_reason for k in (1, 7, 8, 9, 10)] == [
+        "insufficient_20_date_history", "eligible_missing_past_only", "missing_liquidity_rank", "missing_liquidity_rank", "eligible_missing_past_only"]
+    assert got[day(8)].mean_dollar_volume is None and got[day(10)].mean_dollar_volume == 20.0
+
+
+def test_constraints_without_maxima_use_the_defaults(frame):
+    from tessella.operators.tracking import constraint_status
+
+    board = frame([("a", "paper buy candidate", 10, 100.0), ("b", "hold", 0, 1.0)], "ticker string, decision string, paper_quantity_1pct_risk int, entry_price double")
+    cols = "snapshot_at string, equity double, buying_power double, cash double, day_trades_5d int, weekly_trades int, max_day_trades_5d int, max_weekly_trades int"
+    reason = lambda rows: {r.ticker: (r.constraint_status, r.constraint_reason) for r in constraint_status(board, frame(rows, cols)).collect()}
+    got = reason([("2020", 100.0, 900.5, 1.0, 2, 4, None, None)])
+    assert got["a"] == ("blocked", "Weekly trade budget is used up. Estimated notional $1,000.00 exceeds buying power $900.50.")
+    assert got["b"] == ("no trade", "No trade is implied by this action.")
+    assert reason([("2020", 100.0, 5000.0, 1.0, 2, 0, 0, 0)])["a"] == ("caution", "Only one day trade remains in the rolling 5-trading-day budget.")
+    assert reason([])["a"][1].startswith("No local trading constraint snapshot")
+
+
+def test_long_chains_have_one_component(frame):
+    from tessella.operators.graph import components
+
+    pairs = [(f"{k:03d}", f"{k + 1:03d}") for k in range(70)]
+    got = {r.component for r in components(frame(pairs, "a string, b string")).collect()}
+    assert got == {"000"}
+
+
+def test_listed_tickers_without_bars_have_no_history(frame):
+    from tessella.operators.screens import screen
+
+    px = frame([("a", "2020-01-01", 5.0, 1.0)], "ticker string, date string, close_price double, volume double")
+    got = {r.ticker: (r.bars, r.reason) for r in screen(px, listing=frame([("a",), ("z",)], "ticker string")).collect()}
+    assert got["z"] == (0, "No history") and got["a"][0] == 1
+
+
+def test_artifact_flags_follow_the_layout(frame):
+    from tessella.operators.warehouse import artifact_health
+
+    rows = [("r", "runs\\r\\analytics\\latest_model_predictions.csv"), ("r", "runs/r/analytics/model_tournament_evaluation.csv"), ("r", "runs/r/dashboard_data.db")]
+    files = frame([(*x, 1, "2020-01-02", None, None) for x in rows], "run_id string, path string, bytes long, exported_at string, model_as_of_date string, latest_market_date string")
+    r = artifact_health(files).first()
+    assert (r.has_predictions, r.has_model_scores, r.has_dashboard_db, r.has_monte_carlo, r.analysis_ready) == (1, 1, 1, 0, 1)
