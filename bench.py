@@ -13,7 +13,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tessella.plans import load_catalog  # noqa: E402
-from tessella.session import local_session  # noqa: E402
+from tessella.session import local_session, scratch  # noqa: E402
 from tessella.sources.domain import Domain, forget_staged  # noqa: E402
 
 HEADLINE = [
@@ -44,9 +44,10 @@ def main() -> None:
     times = {}
     for key in [k for k in HEADLINE if not only or k in only]:
         forget_staged()
-        t0 = time.time()
-        catalog[key].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[key] = round(time.time() - t0, 3)
+        with scratch(spark):
+            t0 = time.time()
+            catalog[key].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[key] = round(time.time() - t0, 3)
         print(f"{key} {times[key]}", file=sys.stderr)
     rows = Domain(spark, sf_dir).prices().count()
     out = {"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,

@@ -121,3 +121,13 @@ def parse_holdings(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFr
     parts = lines.withColumn("_p", F.filter(F.split("_l", r"[,\s]+"), lambda x: x != ""))
     rows = parts.select(*keep, F.upper(F.get("_p", F.lit(0))).alias("ticker"), F.get("_p", F.lit(1)).try_cast("double").alias("quantity"))
     return rows.where(F.col("quantity") > 0).groupBy(*keep, "ticker").agg(F.sum("quantity").alias("quantity"))
+
+
+DRAW_BITS = 52
+
+
+def draw_number(seed: int, *cols: str) -> Column:
+    """A pseudo-random integer below 2**DRAW_BITS from the texts of columns, the same in any
+    engine: the leading 13 digits of the MD5 of seed and values joined by ``|``."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, DRAW_BITS // 4), 16, 10).cast("long")

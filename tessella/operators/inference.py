@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.frames import flag
-from tessella.functions.scalars import week_start
+from tessella.functions.scalars import draw_number, week_start
 
 
 def weekly_blocks(df: DataFrame, by: Sequence[str], metric: str, extra: Sequence[str] = ()) -> DataFrame:
@@ -35,7 +35,7 @@ def bootstrap_ci(blocks: DataFrame, by: Sequence[str], order: Sequence[str], sam
     b = b.select(*by, "_k", "_n", "value", (F.col(weight) if weight else F.lit(1)).alias("_w"))
     sizes = b.select(*by, "_n").distinct()
     draws = sizes.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("_d", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    draws = draws.withColumn("_k", F.pmod(F.xxhash64(F.lit(seed), *by, "_b", "_d"), F.col("_n"))).drop("_n")
+    draws = draws.withColumn("_k", draw_number(seed, *by, "_b", "_d") % F.col("_n")).drop("_n")
     means = draws.join(b.drop("_n"), [*by, "_k"]).groupBy(*by, "_b").agg((F.sum(F.col("value") * F.col("_w")) / F.sum("_w")).alias("_m"))
     # ``samples`` means per group: a fixed number
     ci = means.groupBy(*by).agg(F.percentile("_m", 0.025).alias("ci_2_5"), F.percentile("_m", 0.975).alias("ci_97_5"), F.avg(flag(F.col("_m") > 0)).alias("positive_probability"))
@@ -53,7 +53,7 @@ def block_bootstrap(values: DataFrame, by: Sequence[str], order: Sequence[str],
     blocks = blocks.withColumn("_c", F.count(F.lit(1)).over(g))
     sizes = blocks.select(*by, "_c", "_n").distinct()
     draws = sizes.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("_d", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))))
-    draws = draws.withColumn("_k", F.pmod(F.xxhash64(F.lit(seed), *by, "_b", "_d"), F.col("_c")))
+    draws = draws.withColumn("_k", draw_number(seed, *by, "_b", "_d") % F.col("_c"))
     d = draws.select(*by, "_b", "_d", "_k", "_n").join(blocks.select(*by, "_k", "_v"), [*by, "_k"])
     before = Window.partitionBy(*by, "_b").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_room", F.col("_n") - F.coalesce(F.sum(F.size("_v")).over(before), F.lit(0)))

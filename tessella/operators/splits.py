@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.ranking import first_rows
+from tessella.functions.scalars import DRAW_BITS, draw_number
 
 
 def _indexed(df: DataFrame) -> DataFrame:
@@ -119,15 +120,11 @@ def calibration_split(df: DataFrame, horizon: int, calibration: int | None = Non
     ).select("role", "date")
 
 
-def _draw(seed: int, *cols: str) -> Column:
-    return F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
-
-
 def sample_n(df: DataFrame, n: int, seed: int, key: Sequence[str], by: Sequence[str] | None = None) -> DataFrame:
     """Deterministic sample of at most ``n`` rows, overall or per group."""
     if by:
-        return first_rows(df, by, [_draw(seed, *key), *[F.col(k) for k in key]], n, "_k").drop("_k")
-    return df.orderBy(_draw(seed, *key), *key).limit(n)
+        return first_rows(df, by, [draw_number(seed, *key), *[F.col(k) for k in key]], n, "_k").drop("_k")
+    return df.orderBy(draw_number(seed, *key), *key).limit(n)
 
 
 def shuffled_positions(df: DataFrame, by: Sequence[str], key: Sequence[str], seed: int, out: str) -> DataFrame:
@@ -135,7 +132,7 @@ def shuffled_positions(df: DataFrame, by: Sequence[str], key: Sequence[str], see
 
     The order is split on the hash's leading byte, so a hot group spreads over 256 parts."""
     by = list(by)
-    df = df.withColumn("_h", _draw(seed, *by, *key)).withColumn("_p", F.shiftright("_h", 56))
+    df = df.withColumn("_h", draw_number(seed, *by, *key)).withColumn("_p", F.shiftright("_h", DRAW_BITS - 8))
     sizes = df.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*by, "_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
@@ -158,8 +155,8 @@ def permute_within(df: DataFrame, cols: Sequence[str], by: Sequence[str], key: S
 def permute_dates(df: DataFrame, cols: Sequence[str], seed: int) -> DataFrame:
     """Give every date the (date-constant) ``cols`` of another date."""
     per_date = df.groupBy("date").agg(*[F.max(c).alias(c) for c in cols])
-    a = per_date.select("date").withColumn("_k", F.row_number().over(Window.orderBy(_draw(seed, "date"), "date")))
-    b = per_date.withColumn("_k", F.row_number().over(Window.orderBy(_draw(seed + 1, "date"), "date"))).drop("date")
+    a = per_date.select("date").withColumn("_k", F.row_number().over(Window.orderBy(draw_number(seed, "date"), "date")))
+    b = per_date.withColumn("_k", F.row_number().over(Window.orderBy(draw_number(seed + 1, "date"), "date"))).drop("date")
     return df.drop(*cols).join(a.join(b, "_k").drop("_k"), "date").select(*df.columns)
 
 
@@ -175,7 +172,7 @@ def pairwise_training(df: DataFrame, features: Sequence[str], target: str, max_p
     left = (
         pos.join(sizes, "date").withColumn("_draw", F.explode(F.array(F.lit(0), F.lit(1))))
         .where(F.col("_pos") * 2 + F.col("_draw") < per_date)
-        .withColumn("_other", F.pmod(F.xxhash64(F.lit(seed + 2), "date", "ticker", "_draw"), F.col("_n")))
+        .withColumn("_other", draw_number(seed + 2, "date", "ticker", "_draw") % F.col("_n"))
         .where(F.col("_other") != F.col("_pos"))
     )
     right = pos.select("date", F.col("_pos").alias("_other"), F.col("ticker").alias("other_ticker"),

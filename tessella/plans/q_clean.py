@@ -11,7 +11,7 @@ from tessella.operators import clean as cl
 from tessella.operators import screens as sn
 from tessella.operators import splits as sp
 from tessella.plans.registry import query
-from tessella.session import checkpoint_dir
+from tessella.session import work_dir
 from tessella.sources import readers as rd
 from tessella.sources import sinks as sk
 
@@ -104,7 +104,7 @@ def _(t):
 
 @query("A09_write_read", "ticker date:d close_price:r volume:r", "SELECT * FROM prices", digits=5)
 def _(t):
-    path = f"{checkpoint_dir(t.spark)}/out-{uuid.uuid4().hex}"
+    path = f"{work_dir(t.spark)}/out-{uuid.uuid4().hex}"
     sk.write(t.prices(), path, "csv")
     return rd.read_prices(t.spark, path, "csv")
 

@@ -9,7 +9,7 @@ from tessella.operators import calibration as cb
 from tessella.operators import models as ml
 from tessella.operators import splits as sp
 from tessella.operators import targets as tg
-from tessella.plans.registry import query
+from tessella.plans.registry import draw_sql, query
 from tessella.session import stage
 from tessella.streaming import incremental as inc
 
@@ -67,7 +67,7 @@ def _(t):
     return sp.calibration_split(t.staged("panel"), 20)
 
 
-@query("J07_sample_n", "ticker date:d ret_20d:r")
+@query("J07_sample_n", "ticker date:d ret_20d:r", f"SELECT ticker, date, ret_20d FROM panel ORDER BY {draw_sql(3, 'ticker', 'date')}, ticker, date LIMIT 5000")
 def _(t):
     return sp.sample_n(t.staged("panel"), 5000, 3, ["ticker", "date"])
 
@@ -83,13 +83,22 @@ def _(t):
     return p.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.sum("ret_20d").alias("total"), F.sum(F.col("ret_20d") * F.col("ret_20d")).alias("square"), F.min("ret_20d").alias("lowest"), F.max("ret_20d").alias("highest"))
 
 
-@query("J08_permute_dates", "ticker date:d regime_value:r")
+@query("J08_permute_dates", "ticker date:d regime_value:r",
+       f"""WITH d AS (SELECT DISTINCT date FROM panel), a AS (SELECT date, row_number() OVER (ORDER BY {draw_sql(9, 'date')}, date) AS k FROM d),
+       b AS (SELECT CAST(day(date) AS DOUBLE) AS regime_value, row_number() OVER (ORDER BY {draw_sql(10, 'date')}, date) AS k FROM d)
+       SELECT p.ticker, p.date, b.regime_value FROM panel p JOIN a ON a.date = p.date JOIN b ON b.k = a.k""")
 def _(t):
     p = t.staged("panel").select("ticker", "date", F.dayofmonth("date").cast("double").alias("regime_value"))
     return sp.permute_dates(p, ["regime_value"], 9)
 
 
-@query("J09_pairwise_training", "date:d ticker other_ticker mirror:i draw:i ret_20d:r vol_20d:r label:i")
+@query("J09_pairwise_training", "date:d ticker other_ticker mirror:i draw:i ret_20d:r vol_20d:r label:i",
+       f"""WITH z AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY {draw_sql(4, 'date', 'ticker')}, ticker) - 1 AS pos, count(*) OVER (PARTITION BY date) AS n FROM panel),
+       q AS (SELECT greatest(10, floor(60000.0 / count(DISTINCT date) / 2)) AS per_date FROM panel),
+       l AS (SELECT z.*, draw, {draw_sql(6, 'date', 'ticker', 'draw')} % n AS other FROM z, q, (SELECT unnest([0, 1]) AS draw) WHERE pos * 2 + draw < per_date)
+       SELECT l.date, l.ticker, r.ticker AS other_ticker, mirror, draw, mirror * (l.ret_20d - r.ret_20d) AS ret_20d, mirror * (l.vol_20d - r.vol_20d) AS vol_20d,
+              CASE WHEN (l.future_return > r.future_return) = (mirror = 1) THEN 1 ELSE 0 END AS label
+       FROM l JOIN z r ON r.date = l.date AND r.pos = l.other AND l.other <> l.pos, (SELECT unnest([1, -1]) AS mirror)""")
 def _(t):
     return sp.pairwise_training(t.staged("panel"), ["ret_20d", "vol_20d"], "future_return", 60_000, 4)
 
@@ -99,7 +108,9 @@ def _(t):
     return sp.equal_weight(t.staged("panel"), "future_return", 0.002)
 
 
-@query("J10_random_top_k", "date:d holdings:i net_return:r")
+@query("J10_random_top_k", "date:d holdings:i net_return:r",
+       f"""SELECT date, count(*) AS holdings, avg(future_return) - 0.002 AS net_return FROM
+       (SELECT *, row_number() OVER (PARTITION BY date ORDER BY {draw_sql(42, 'ticker')}, ticker) AS k FROM panel WHERE future_return IS NOT NULL) WHERE k <= 5 GROUP BY 1""")
 def _(t):
     return sp.random_top_k(t.staged("panel"), 5, "future_return", 42, 0.002)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessella.operators import inference as nf
 from tessella.operators import portfolio as pf
 from tessella.operators import rules as ru
-from tessella.plans.registry import query
+from tessella.plans.registry import draw_sql, query
 from tessella.session import stage
 
 BY = ["split", "model"]
@@ -318,12 +318,24 @@ def _(t):
     return nf.block_summary(nf.weekly_blocks(dailies(t), ["model"], "net_return"), ["model"])
 
 
-@query("N02_bootstrap_ci", "model mean:r blocks:i ci_2_5:r ci_97_5:r positive_probability:r")
+@query("N02_bootstrap_ci", "model mean:r blocks:i ci_2_5:r ci_97_5:r positive_probability:r",
+       f"""WITH {WEEK_SQL}, k AS (SELECT model, value, row_number() OVER (PARTITION BY model ORDER BY week) - 1 AS k, count(*) OVER (PARTITION BY model) AS n FROM wk),
+       s AS (SELECT model, n, b, unnest(range(1, n + 1)) AS d FROM (SELECT DISTINCT model, n FROM k), (SELECT unnest(range(1, 2001)) AS b)),
+       w AS (SELECT model, b, {draw_sql(17, 'model', 'b', 'd')} % n AS k FROM s), m AS (SELECT w.model, b, avg(value) AS m FROM w JOIN k ON k.model = w.model AND k.k = w.k GROUP BY 1, 2),
+       ci AS (SELECT model, quantile_cont(m, 0.025) AS ci_2_5, quantile_cont(m, 0.975) AS ci_97_5, avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END) AS positive_probability FROM m GROUP BY 1)
+       SELECT ci.*, mean, blocks FROM ci JOIN (SELECT model, avg(value) AS mean, count(*) AS blocks FROM wk GROUP BY 1) USING (model)""")
 def _(t):
     return nf.bootstrap_ci(nf.weekly_blocks(dailies(t), ["model"], "net_return"), ["model"], ["week"], 2000, 17)
 
 
-@query("N03_block_bootstrap", "model mean:r n:i ci_2_5:r ci_97_5:r")
+@query("N03_block_bootstrap", "model mean:r n:i ci_2_5:r ci_97_5:r",
+       f"""WITH {daily_sql(5, 10, 'min')}, v AS (SELECT model, net_return AS x, row_number() OVER (PARTITION BY model ORDER BY split, date) - 1 AS i, count(*) OVER (PARTITION BY model) AS n FROM daily WHERE net_return IS NOT NULL),
+       bl AS (SELECT model, n, i // 10 AS k, list(x ORDER BY i) AS xs FROM v GROUP BY 1, 2, 3), sz AS (SELECT model, n, count(*) AS c FROM bl GROUP BY 1, 2),
+       s AS (SELECT model, n, c, b, unnest(range(1, c + 1)) AS d FROM sz, (SELECT unnest(range(1, 2001)) AS b)), w AS (SELECT *, {draw_sql(442, 'model', 'b', 'd')} % c AS k FROM s),
+       j AS (SELECT w.model, w.n, b, d, xs, w.n - coalesce(sum(len(xs)) OVER (PARTITION BY w.model, b ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM w JOIN bl ON bl.model = w.model AND bl.k = w.k),
+       m AS (SELECT model, b, sum(list_sum(xs[1:room])) / sum(len(xs[1:room])) AS m FROM j WHERE room > 0 GROUP BY 1, 2),
+       ci AS (SELECT model, quantile_cont(m, 0.025) AS ci_2_5, quantile_cont(m, 0.975) AS ci_97_5 FROM m GROUP BY 1)
+       SELECT ci.*, mean, n FROM ci JOIN (SELECT model, avg(x) AS mean, count(*) AS n FROM v GROUP BY 1) USING (model)""")
 def _(t):
     return nf.block_bootstrap(dailies(t), ["model"], ["split", "date"], "net_return", 10, 2000, 442)
 

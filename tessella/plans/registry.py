@@ -65,6 +65,11 @@ def _sql_col(c: str, t: str, digits: int) -> str:
 _OFF_HALF = 0.037
 
 
+def draw_sql(seed, *cols):
+    """The draw numbers of the operators in SQL."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(f'CAST({c} AS VARCHAR)' for c in cols)})), 1, 13) AS BIGINT)"
+
+
 CATALOG: dict[str, Query] = {}
 
 

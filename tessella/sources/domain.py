@@ -12,10 +12,10 @@ from tessella.functions.frames import clip, flag
 from tessella.functions.scalars import hash_id
 from tessella.operators import features, metrics, portfolio, screens, targets, tracking
 from tessella.operators.splits import walk_forward
-from tessella.session import stage
+from tessella.session import file_system, stage, work_dir
 
 HOLDOUT = "2001-01-01"
-_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+_STAGED: dict[tuple, DataFrame] = {}
 
 
 def forget_staged() -> None:
@@ -31,6 +31,14 @@ class Domain:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = sf_dir.rstrip("/")
+        self._source: tuple | None = None
+
+    def source(self) -> tuple:
+        """Names, sizes and times of the source tables: staged tables hold for these only."""
+        if self._source is None:
+            store, at = file_system(self.spark, self.dir)
+            self._source = tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in store.listStatus(at)))
+        return self._source
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -90,8 +98,9 @@ class Domain:
             F.col("s_nationkey").cast("long").alias("nation"), F.col("s_acctbal").alias("acctbal"))
 
     def staged(self, name: str) -> DataFrame:
-        """A domain table written once per session, for queries that pass over it repeatedly."""
-        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        """A domain table written once per session, run and state of its source, for queries that
+        pass over it repeatedly."""
+        key = (self.spark.sparkContext.applicationId, work_dir(self.spark), self.dir, self.source(), name)
         if key not in _STAGED:
             _STAGED[key] = stage(getattr(self, name)())
         return _STAGED[key]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.ranking import first_rows
 from tessella.operators.features import research_features
-from tessella.session import checkpoint_dir
+from tessella.session import file_system, work_dir
 
 CONTEXT_ROWS = 120
 BAR_COLUMNS = ("ticker", "date", "close_price", "volume")
@@ -50,8 +50,8 @@ def incremental_features(spark: SparkSession, source: str, state: str, schema: s
 
     def extend(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        at = s._jvm.org.apache.hadoop.fs.Path(bars_at)
-        if at.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        store, at = file_system(s, bars_at)
+        if store.exists(at):
             stored = s.read.schema(f"{schema}, batch long").parquet(bars_at).where(F.col("batch") < batch_id)
         else:
             stored = s.createDataFrame([], f"{schema}, batch long")
@@ -64,7 +64,7 @@ def incremental_features(spark: SparkSession, source: str, state: str, schema: s
 
 def replay(spark: SparkSession, prices: DataFrame, parts: int = 2) -> DataFrame:
     """Feed ``prices`` to the job in ``parts`` arrivals by date and return the feature table."""
-    root = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
     # date ranges of nearly equal calendar length, one arrival each, processed in order
     days = prices.select("date").distinct().select(F.percentile(F.unix_date("date"), [i / parts for i in range(1, parts)]).alias("c"))
     cuts = days.first()["c"]
