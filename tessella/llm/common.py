@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.session import checkpoint_dir
+from tessella.session import work_dir
 
 #: ASCII white space, as a Java and as a Python pattern.
 SPACE = r"[\x20\x09-\x0D]"
@@ -32,7 +32,7 @@ def words(text: Column) -> Column:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder name that is unused, inside the folder that driver and executors share."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
