@@ -76,12 +76,13 @@ def loss_grid(df: DataFrame, kind: str, grid: Sequence[float], prob: str = "prob
 BOUNDS = {"temperature": (0.1, 10.0), "shrinkage": (0.0, 1.0)}
 
 
-def calibrate_scalar(fit: DataFrame, apply: DataFrame, kind: str, prob: str = "probability", label: str = "label", points: int = 20, rounds: int = 3, out: str = "calibrated") -> DataFrame:
-    """Minimise the log-loss over one parameter by a grid refined ``rounds`` times, then apply it."""
+def calibrate_scalar(fit: DataFrame, apply: DataFrame, kind: str, prob: str = "probability", label: str = "label", points: int = 20, tolerance: float = 1e-6, out: str = "calibrated") -> DataFrame:
+    """Minimise the log-loss over one parameter by grids refined until their step is below
+    ``tolerance``, then apply it."""
     fit = stage(fit.select(prob, label))
     lo, hi = BOUNDS[kind]
-    best = lo
-    for _ in range(rounds):
+    best, step = lo, hi - lo
+    while step > tolerance:
         step = (hi - lo) / points
         best = loss_grid(fit, kind, [lo + k * step for k in range(points + 1)], prob, label).orderBy("log_loss", "param").first()["param"]
         lo, hi = max(BOUNDS[kind][0], best - step), min(BOUNDS[kind][1], best + step)

@@ -403,9 +403,21 @@ def _(t):
     return t.raw_bars().withColumn("t", sc.truthy(words))
 
 
-@query("I10_driver_text", "ticker date:d up down")
+_DRIVERS = ("ret_1d", "ret_5d", "ret_20d", "ret_60d", "drawdown_60d")
+
+
+def _driver_sql(name, sign, order):
+    each = " UNION ALL ".join(f"SELECT ticker, date, {k} AS k, '{c}' AS name, {c} AS v FROM panel" for k, c in enumerate(_DRIVERS))
+    return f"""{name} AS (SELECT ticker, date, string_agg(printf('%s (%+.2f)', name, v), '; ' ORDER BY r) AS text
+       FROM (SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY v {order}, k) AS r FROM ({each}) WHERE v {sign} 0) WHERE r <= 3 GROUP BY 1, 2)"""
+
+
+@query("I10_driver_text", "ticker date:d up down",
+       f"""WITH {_driver_sql('pos', '>', 'DESC')}, {_driver_sql('neg', '<', 'ASC')}
+       SELECT p.ticker, p.date, coalesce(pos.text, '') AS up, coalesce(neg.text, '') AS down
+       FROM panel p LEFT JOIN pos ON pos.ticker = p.ticker AND pos.date = p.date LEFT JOIN neg ON neg.ticker = p.ticker AND neg.date = p.date""")
 def _(t):
-    arr = F.array(*[F.struct(F.col(c).alias("value"), F.lit(c).alias("name")) for c in ("ret_1d", "ret_5d", "ret_20d", "ret_60d", "drawdown_60d")])
+    arr = F.array(*[F.struct(F.col(c).alias("value"), F.lit(c).alias("name")) for c in _DRIVERS])
     return t.panel().withColumns({"up": sc.driver_text(arr), "down": sc.driver_text(arr, False)})
 
 
