@@ -67,6 +67,26 @@ def snapshot_diff(cur: DataFrame, prev: DataFrame, key: str, val: str) -> DataFr
     return j.withColumn("event_type", kind).where(F.col("event_type").isNotNull()).drop("_c", "_p")
 
 
+# Kinds of issuer events.
+ADDED_TO_ISSUER, REMOVED_FROM_ISSUER, EXCHANGE_CHANGE, TICKER_REUSE = (
+    "ticker_added_to_cik", "ticker_removed_from_cik", "exchange_change_candidate", "ticker_reuse_candidate")
+
+
+def issuer_events(cur: DataFrame, prev: DataFrame) -> DataFrame:
+    """Typed events between two snapshots of issuer tickers (cik, ticker, exchange): mappings added
+    and removed, exchanges changed, and tickers that name another issuer (the largest on ties)."""
+    side = lambda d, name: d.groupBy("cik", "ticker").agg(F.max("exchange").alias(name)).withColumn(f"_{name}", F.lit(1))
+    j = side(cur, "new_value").join(side(prev, "prior_value"), ["cik", "ticker"], "full_outer")
+    kind = (
+        F.when(F.col("_prior_value").isNull(), ADDED_TO_ISSUER).when(F.col("_new_value").isNull(), REMOVED_FROM_ISSUER)
+        .when(~F.col("new_value").eqNullSafe(F.col("prior_value")), EXCHANGE_CHANGE))
+    mapped = j.withColumn("event_type", kind).where(F.col("event_type").isNotNull()).select("event_type", "ticker", "cik", "prior_value", "new_value")
+    issuer = lambda d, name: d.groupBy("ticker").agg(F.max("cik").cast("string").alias(name))
+    moved = issuer(cur, "new_value").join(issuer(prev, "prior_value"), "ticker").where(F.col("new_value") != F.col("prior_value"))
+    cik = F.col("new_value").cast(cur.schema["cik"].dataType)
+    return mapped.unionByName(moved.select(F.lit(TICKER_REUSE).alias("event_type"), "ticker", cik.alias("cik"), "prior_value", "new_value"))
+
+
 def diversified_top_k(df: DataFrame, k: int, per: int, by: Sequence[str] = ("date",), score: str = "score", cluster: str = "cluster") -> DataFrame:
     """Best ``k`` with at most ``per`` per cluster (cluster -1 is not capped), topped up by score.
 

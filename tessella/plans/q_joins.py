@@ -234,6 +234,22 @@ def _(t):
         "momentum": F.col("ret_20d"), "rebound": F.when(F.col("ret_5d") < 0, -F.col("ret_5d")), "calm": F.when(F.col("vol_20d") < 2, F.col("vol_20d"))})
 
 
+@query("H05_issuer_events", "event_type ticker cik:i prior_value new_value",
+       """WITH cur AS (SELECT nation AS cik, ticker, security_type AS exchange FROM symbols WHERE acctbal < 9000),
+       prev AS (SELECT nation + CASE WHEN acctbal < 0 THEN 1 ELSE 0 END AS cik, ticker, CASE WHEN acctbal BETWEEN 5000 AND 6500 THEN 'X' ELSE security_type END AS exchange FROM symbols WHERE acctbal NOT BETWEEN 1000 AND 2000),
+       j AS (SELECT coalesce(c.cik, p.cik) AS cik, coalesce(c.ticker, p.ticker) AS ticker, p.exchange AS prior_value, c.exchange AS new_value, c.cik AS c, p.cik AS p FROM cur c FULL JOIN prev p ON p.cik = c.cik AND p.ticker = c.ticker)
+       SELECT CASE WHEN p IS NULL THEN 'ticker_added_to_cik' WHEN c IS NULL THEN 'ticker_removed_from_cik' ELSE 'exchange_change_candidate' END AS event_type, ticker, cik, prior_value, new_value
+       FROM j WHERE p IS NULL OR c IS NULL OR prior_value <> new_value
+       UNION ALL SELECT 'ticker_reuse_candidate', c.ticker, c.cik, CAST(p.cik AS VARCHAR), CAST(c.cik AS VARCHAR) FROM cur c JOIN prev p ON p.ticker = c.ticker WHERE p.cik <> c.cik""")
+def _(t):
+    s = t.symbols()
+    cur = s.where("acctbal < 9000").select(F.col("nation").alias("cik"), "ticker", F.col("security_type").alias("exchange"))
+    prev = s.where("acctbal NOT BETWEEN 1000 AND 2000").select(
+        (F.col("nation") + F.when(F.col("acctbal") < 0, 1).otherwise(0)).alias("cik"), "ticker",
+        F.when(F.col("acctbal").between(5000, 6500), "X").otherwise(F.col("security_type")).alias("exchange"))
+    return st.issuer_events(cur, prev)
+
+
 @query("H05_snapshot_diff", "month:d symbol event_type prior_value new_value",
        """WITH s AS (SELECT date_trunc('month', o_orderdate) AS m, CAST(o_custkey AS VARCHAR) AS symbol, max(o_orderpriority) AS v FROM orders GROUP BY 1, 2), months AS (SELECT DISTINCT m FROM s),
        c AS (SELECT coalesce(a.m, b.m + INTERVAL 1 MONTH) AS month, coalesce(a.symbol, b.symbol) AS symbol, a.v AS new_value, b.v AS prior_value, a.symbol AS x, b.symbol AS y
