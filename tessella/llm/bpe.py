@@ -31,7 +31,7 @@ from tessella.llm.common import worker_state
 
 _FINAL = 0x200  # added to the last symbol of a word, as the vocabulary tells it from the others
 _NEVER = 1 << 40
-_KEPT_PIECES, _KEPT_WORDS, _KEPT_PAIRS = 300_000, 300_000, 400_000
+_KEPT_PIECES, _KEPT_WORDS, _KEPT_PAIRS = 180_000, 150_000, 200_000
 _ROWS_OUT = 256
 
 
@@ -73,11 +73,9 @@ class PrefixEncoder:
             self.length[ids[token]] = len(s)
         self._automaton({s: ids[token] for token, s in spelt.items()})
         self.parts = parts
-        self.spines: tuple[dict, dict] = ({}, {})
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, list[int]] = {}
         self.pieces: dict[bytes, bytes] = {}
-        self.strings = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
         # characters whose case, class and normal form are the same in every Unicode version
         self.simple = regex.compile(r"[\x21-\x7e\xa1-ſ]+").fullmatch
         self.lower = {"type": "Lowercase"} in spec["normalizer"]["normalizers"]
@@ -124,15 +122,12 @@ class PrefixEncoder:
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The nodes at the right (1) or left (0) edge of a token's merge tree, each with the
         rank of the merge that absorbs it."""
-        kept = self.spines[side].get(token)
-        if kept is None:
-            kept, node, absorbed = [(token, _NEVER)], token, _NEVER
-            while node in self.parts:
-                absorbed = self.parts[node][2]
-                node = self.parts[node][side]
-                kept.append((node, absorbed))
-            self.spines[side][token] = kept
-        return kept
+        out, node = [(token, _NEVER)], token
+        while node in self.parts:
+            absorbed = self.parts[node][2]
+            node = self.parts[node][side]
+            out.append((node, absorbed))
+        return out
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the symbols of a and b together leaves a and b.
@@ -224,9 +219,21 @@ class PrefixEncoder:
             ids = [self._piece(p) if i is None else i for p, i in zip(pieces, ids, strict=True)]
         return b"".join(ids)
 
-    def decode(self, ids: Sequence[int]) -> str:
-        """The token strings joined by a space, as a vocabulary without a decoder has it."""
-        return " ".join(map(self.strings.__getitem__, ids))
+
+def token_strings(path: str) -> list[str]:
+    """The strings of a vocabulary by id."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    ids = {**spec["model"]["vocab"], **{a["content"]: a["id"] for a in spec["added_tokens"]}}
+    out = [""] * (max(ids.values()) + 1)
+    for token, i in ids.items():
+        out[i] = token
+    return out
+
+
+def decode_ids(strings: Sequence[str], ids: Sequence[int]) -> str:
+    """The token strings joined by a space, as a vocabulary without a decoder has it."""
+    return " ".join(map(strings.__getitem__, ids))
 
 
 def encoder(path: str) -> PrefixEncoder:
@@ -267,12 +274,12 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     names = df.columns
 
     def run(batches):
-        enc = encoder(path)
+        strings = worker_state(("token strings", path), lambda: token_strings(path))
         k = names.index(ids)
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS_OUT):
                 part = batch.slice(at, _ROWS_OUT)
-                texts = [enc.decode(v.values.to_numpy() .tolist() if v.is_valid else ()) for v in part.column(k)]
+                texts = [decode_ids(strings, v.values.to_numpy().tolist() if v.is_valid else ()) for v in part.column(k)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))

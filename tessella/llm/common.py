@@ -43,8 +43,14 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def worker_state(key, make):
-    """An object kept by the Python worker from task to task, made by ``make`` at first use."""
-    kept = sys.modules.setdefault("_tessella_llm_state", types.ModuleType("_tessella_llm_state")).__dict__
-    if key not in kept:
-        kept[key] = make()
+    """An object kept by the Python worker from task to task, made by ``make`` at first use.
+
+    A worker keeps the last two only: workers live through many stages, and tables of earlier
+    ones would pile up in an executor's memory."""
+    module = sys.modules.setdefault("_tessella_llm_state", types.ModuleType("_tessella_llm_state"))
+    kept: dict = module.__dict__.setdefault("kept", {})
+    value = kept.pop(key, None)
+    while value is None and len(kept) > 1:
+        kept.pop(next(iter(kept)))
+    kept[key] = make() if value is None else value  # the newest comes last
     return kept[key]
