@@ -232,11 +232,10 @@ def count_tokens(tokens: DataFrame) -> DataFrame:
     def run(batches):
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                got = np.bincount(np.frombuffer(ids.as_py(), "<u4"))
-                if len(got) > len(counts):
-                    counts, got = got.astype(np.int64), counts
-                counts[: len(got)] += got
+            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"))
+            if len(got) > len(counts):
+                counts, got = got.astype(np.int64), counts
+            counts[: len(got)] += got
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found], pa.int64())], names=["token", "n"])
 
