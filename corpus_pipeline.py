@@ -39,8 +39,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Source, token count and digests of ids and decoded text of every row of the mixture."""
     rows = docs.select("doc_id", "source", whole_text().alias("text"))
-    ids = bpe.encode(rows, vocabulary_path(), keep=["doc_id", "source"])
-    return bpe.decode(ids, vocabulary_path()).select(
+    return bpe.encode(rows, vocabulary_path(), keep=["doc_id", "source"], decoded="decoded").select(
         "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

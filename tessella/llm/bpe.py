@@ -76,6 +76,7 @@ class PrefixEncoder:
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, list[int]] = {}
         self.pieces: dict[bytes, bytes] = {}
+        self.strings: list[str] | None = None
         # characters whose case, class and normal form are the same in every Unicode version
         self.simple = regex.compile(r"[\x21-\x7e\xa1-ſ]+").fullmatch
         self.lower = {"type": "Lowercase"} in spec["normalizer"]["normalizers"]
@@ -247,8 +248,11 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
         yield b"" if b is None else b
 
 
-def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", keep: Sequence[str] = ()) -> DataFrame:
-    """``keep`` columns and the ids of every whole text as an array of integers in ``out``."""
+def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", keep: Sequence[str] = (), decoded: str | None = None) -> DataFrame:
+    """``keep`` columns and the ids of every whole text as an array of integers in ``out``.
+
+    With ``decoded``, also the text decoded from those ids, by the same worker: a second pass
+    (:func:`decode`) would double the Python workers of an executor."""
     import numpy as np
 
     fields = [df.schema[c] for c in keep]
@@ -256,6 +260,8 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", keep:
 
     def run(batches):
         enc = encoder(path)
+        if decoded and enc.strings is None:
+            enc.strings = token_strings(path)
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS_OUT):
                 part = batch.slice(at, _ROWS_OUT)
@@ -263,9 +269,13 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", keep:
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
                 cols = [*(part.column(k) for k in range(len(keep))), pa.ListArray.from_arrays(pa.array(ends), values)]
-                yield pa.RecordBatch.from_arrays(cols, names=[*keep, out])
+                if decoded:
+                    cols.append(pa.array([decode_ids(enc.strings, np.frombuffer(x, "<u4").tolist()) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    names = [*keep, out, *([decoded] if decoded else [])]
+    more = [T.StructField(decoded, T.StringType())] if decoded else []
+    schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType())), *more])
     return source.mapInArrow(run, schema)
 
 

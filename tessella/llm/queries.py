@@ -30,8 +30,7 @@ def op1_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact ids of every document and the text decoded from them, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", whole_text().alias("text"))
-    ids = bpe.encode(docs, vocabulary_path(), keep=["doc_id"])
-    return bpe.decode(ids, vocabulary_path()).select(
+    return bpe.encode(docs, vocabulary_path(), keep=["doc_id"], decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         bpe.ids_digest().alias("ids_sha256"),

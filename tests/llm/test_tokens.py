@@ -54,6 +54,8 @@ def test_encode_decode_frames(spark, library):
     out = bpe.decode(bpe.encode(df, vocabulary_path(), keep=["doc_id", "n"]), vocabulary_path()).collect()
     want = sorted((ids_of(library, r[1]), library.decode(ids_of(library, r[1]), skip_special_tokens=False)) for r in rows)
     assert sorted((list(r["ids"]), r["decoded"]) for r in out) == want
+    both = bpe.encode(df, vocabulary_path(), keep=["doc_id"], decoded="again").collect()
+    assert sorted((list(r["ids"]), r["again"]) for r in both) == want
     assert bpe.encode(df.limit(0), vocabulary_path(), keep=["doc_id"]).count() == 0
 
 
