@@ -168,6 +168,17 @@ def test_repeated_passages(spark):
     assert paragraphs.removals(df.limit(0)).count() == 0
 
 
+def test_variants_of_several_documents_each_are_one_passage(spark):
+    rng = random.Random(21)
+    for at in (25, 30):
+        a = [f"w{rng.random()}" for _ in range(50)]
+        b = list(a)
+        b[at] = "changed"
+        rows = [(d, " ".join(p)) for d, p in ((1, a), (2, a), (3, b), (4, b))]
+        got = {r.doc_id: r.removed for r in paragraphs.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert sorted(got) == [1, 2, 3, 4] and [d for d, r in got.items() if not r] == [1]
+
+
 def test_bands_meet_their_recall():
     b = paragraphs.tune(0.8, 2, 0.95)
     assert 1 - (1 - 0.8**2) ** b >= 0.95 > 1 - (1 - 0.8**2) ** (b - 1)
