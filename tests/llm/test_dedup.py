@@ -179,6 +179,37 @@ def test_variants_of_several_documents_each_are_one_passage(spark):
         assert sorted(got) == [1, 2, 3, 4] and [d for d, r in got.items() if not r] == [1]
 
 
+def test_passages_inside_sentences(spark):
+    """51 to 60 words at any word of sentences without end, in two documents each."""
+    rng = random.Random(31)
+    rows = []
+    for k in range(60):
+        p = [f"p{rng.random()}" for _ in range(51 + k % 10)]
+        for d in (2 * k, 2 * k + 1):
+            w = [f"o{rng.random()}" for _ in range(rng.randint(60, 90))]
+            at = rng.randrange(len(w))
+            rows.append((d, " ".join(w[:at] + p + w[at:])))
+    got = {r.doc_id: r for r in paragraphs.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted(got) == list(range(120))
+    for d, t in rows:
+        assert bool(got[d].removed) == d % 2
+        a, b = (int(x) for x in got[d].repeated.split(":"))
+        words = t[a:b].split()
+        ours = [w for w in t.split() if w[0] == "p"]
+        assert len(set(words) & set(ours)) >= 45 and len(words) - len(set(words) & set(ours)) <= 10
+
+
+def test_links_of_overlapping_paragraphs_are_not_chained(spark):
+    """The second half of a passage has its first place in document 2, the first half in 1."""
+    rng = random.Random(32)
+    a, b = ([f"{x}{rng.random()}" for _ in range(120)] for x in "ab")
+    rows = [(1, " ".join(a)), (2, " ".join(a + b)), (3, " ".join(b))]
+    got = {r.doc_id: r for r in paragraphs.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    removed = [rows[1][1][x:y] for x, y in (map(int, s.split(":")) for s in got[2].removed.split(","))]
+    assert not got[1].removed and got[3].removed
+    assert sum(w[0] == "b" for t in removed for w in t.split()) <= 5
+
+
 def test_bands_meet_their_recall():
     b = paragraphs.tune(0.8, 2, 0.95)
     assert 1 - (1 - 0.8**2) ** b >= 0.95 > 1 - (1 - 0.8**2) ** (b - 1)
