@@ -210,6 +210,21 @@ def test_links_of_overlapping_paragraphs_are_not_chained(spark):
     assert sum(w[0] == "b" for t in removed for w in t.split()) <= 5
 
 
+def test_passages_of_one_paragraph_are_found(spark):
+    """Pairs of 50 words with one changed (similarity 41 of 51), against brute force."""
+    rng = random.Random(41)
+    rows = []
+    for k in range(1000):
+        p = [f"w{rng.random()}" for _ in range(50)]
+        q = list(p)
+        q[rng.randint(4, 45)] = "changed"
+        assert 100 * len(shingles(" ".join(p)) & shingles(" ".join(q))) >= 80 * len(shingles(" ".join(p)) | shingles(" ".join(q)))
+        rows += [(2 * k, " ".join(p)), (2 * k + 1, " ".join(q))]
+    got = paragraphs.removals(spark.createDataFrame(rows, "doc_id long, text string")).where("removed > ''").count()
+    print("found", got, "of 1000")
+    assert got >= 997
+
+
 def test_bands_meet_their_recall():
     b = paragraphs.tune(0.8, 2, 0.95)
     assert 1 - (1 - 0.8**2) ** b >= 0.95 > 1 - (1 - 0.8**2) ** (b - 1)
