@@ -130,9 +130,10 @@ def _(t):
     return ml.config_scores(t.staged("scored").where(F.col("model") == "slow"), sp.feature_configs(FAMILIES, "momentum"), ["split"])
 
 
-def train_test(t):
-    p = t.staged("panel").select("ticker", "date", *COLS, F.col("future_return").alias("forward_return"), flag(F.col("future_return") > 0).alias("label"))
-    r = sp.holdout_split(t.staged("panel"), 300, 5)
+def train_test(t, h=5):
+    panel = t.staged("panel") if h == 5 else stage(t.horizon_panel(h))
+    p = panel.select("ticker", "date", *COLS, F.col("future_return").alias("forward_return"), flag(F.col("future_return") > 0).alias("label"))
+    r = sp.holdout_split(panel, 300, h)
     pick = lambda role: stage(p.join(r.where(F.col("role") == role).select("date"), "date", "left_semi"))
     return pick("train"), pick("test")
 
@@ -166,25 +167,22 @@ def _(t):
 
 @query("K04_gbt", "ticker date:d probability:r label:i", digits=4)
 def _(t):
-    return predicted(t, lambda d, c, y: ml.gbt(d, c, y, 5, 3))
+    return predicted(t, ml.gbt)
 
 
 @query("K04_forest", "ticker date:d probability:r label:i", digits=4)
 def _(t):
-    return predicted(t, lambda d, c, y: ml.forest(d, c, y, 10, 4))
+    return predicted(t, ml.forest)
 
 
 @query("K05_mlp", "ticker date:d probability:r label:i", digits=4)
 def _(t):
-    return predicted(t, lambda d, c, y: ml.mlp(d, c, y, (8,), 10))
+    return predicted(t, ml.mlp)
 
 
 @query("K06_tournament", "horizon_days:i model_name fit_status roc_auc:r brier_skill:r champion_score:r is_champion:i", digits=4)
 def _(t):
-    a, b = train_test(t)
-    pick = {k: ml.CANDIDATES[k] for k in ("logistic", "forest")}
-    broken = lambda d, c, y: ml.logistic(d, ["no_such_column"], y)
-    return ml.tournament({5: (a, b)}, COLS, {**pick, "broken": broken})
+    return ml.tournament({h: train_test(t, h) for h in (5, 20, 60)}, COLS)
 
 
 @query("K06_mark_champions", "run_id:i horizon_days:i model_name is_champion:i", "SELECT run_id, horizon_days, model_name, CASE WHEN row_number() OVER (PARTITION BY run_id, horizon_days ORDER BY champion_score DESC, model_name) = 1 THEN 1 ELSE 0 END AS is_champion FROM evals")

@@ -110,7 +110,11 @@ class Domain:
 
     def panel(self) -> DataFrame:
         """Residual features with the five-row target, sealed at the holdout."""
-        df = targets.forward_target(features.residual_features(self.prices()), 5)
+        return self.horizon_panel(5)
+
+    def horizon_panel(self, h: int) -> DataFrame:
+        """Residual features with the target ``h`` rows ahead, sealed at the holdout."""
+        df = targets.forward_target(features.residual_features(self.prices()), h)
         return targets.seal(targets.scrub(df, [*targets.FEATURES, "future_return"]), HOLDOUT)
 
     def labelled(self) -> DataFrame:
