@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.frames import flag
@@ -212,29 +215,35 @@ def _(t):
     return ml.perm_importance(ml.logistic(a, COLS, "label"), b, {**FAMILIES, "depth": ["drawdown_60d"]})
 
 
-def halves(t):
-    s = t.staged("scored").where(F.col("model") == "slow")
+def halves(t, model="slow"):
+    s = t.staged("scored").where(F.col("model") == model)
     return s.where(F.col("split") <= 3), s.where(F.col("split") > 3)
 
 
-@query("L08_calibration_regression", "split calibration_intercept:r calibration_slope:r", digits=4)
+def per_model(t, calibrated):
+    """What ``calibrated(fit, apply)`` returns for every model on its own rows."""
+    models = sorted(r.model for r in t.staged("scored").select("model").distinct().collect())
+    return reduce(DataFrame.unionByName, [calibrated(*(stage(x) for x in halves(t, m))).withColumn("model", F.lit(m)) for m in models])
+
+
+@query("L08_calibration_regression", "model split calibration_intercept:r calibration_slope:r", digits=4)
 def _(t):
-    return cb.calibration_regression(t.staged("scored").where(F.col("model") == "slow"), ["split"])
+    return cb.calibration_regression(t.staged("scored"), ["model", "split"])
 
 
-@query("O01_platt", "ticker date:d probability:r calibrated:r", digits=4)
+@query("O01_platt", "model ticker date:d probability:r calibrated:r", digits=4)
 def _(t):
-    return cb.calibrate_logistic(*halves(t))
+    return per_model(t, cb.calibrate_logistic)
 
 
-@query("O01_beta", "ticker date:d probability:r calibrated:r", digits=4)
+@query("O01_beta", "model ticker date:d probability:r calibrated:r", digits=4)
 def _(t):
-    return cb.calibrate_logistic(*halves(t), form="beta")
+    return per_model(t, lambda a, b: cb.calibrate_logistic(a, b, form="beta"))
 
 
-@query("O02_isotonic", "ticker date:d probability:r calibrated:r", digits=4)
+@query("O02_isotonic", "model ticker date:d probability:r calibrated:r", digits=4)
 def _(t):
-    return cb.calibrate_isotonic(*halves(t))
+    return per_model(t, cb.calibrate_isotonic)
 
 
 GRID = [0.1 + 0.495 * k for k in range(21)]
@@ -254,14 +263,14 @@ def _(t):
     return cb.loss_grid(halves(t)[0], "shrinkage", [k / 20.0 for k in range(21)])
 
 
-@query("O03_calibrate_scalar", "ticker date:d calibrated:r param:r", digits=4)
+@query("O03_calibrate_scalar", "model ticker date:d calibrated:r param:r", digits=4)
 def _(t):
-    return cb.calibrate_scalar(*halves(t), "temperature")
+    return per_model(t, lambda a, b: cb.calibrate_scalar(a, b, "temperature"))
 
 
-@query("O04_compare", "method n_rows:i brier:r log_loss:r", digits=4)
+@query("O04_compare", "model method n_rows:i brier:r log_loss:r", digits=4)
 def _(t):
-    return cb.compare(*(stage(x) for x in halves(t)))
+    return per_model(t, cb.compare)
 
 
 @query("E31_features_incremental", "ticker date:d ret_60d:r vol_60d:r max_dd_60d:r trend_r2_60d:r", "SELECT * FROM feats WHERE date > DATE '2001-01-01'", digits=4)
