@@ -215,34 +215,49 @@ def diffuse(df: DataFrame, edges: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out.select(*df.columns, *[f"diffused_{c}" for c in cols])
 
 
-def spectral(edges: DataFrame, dims: int = 3, rounds: int = 30) -> DataFrame:
-    """Coordinates from eigenvectors 2..dims+1 of D^-1/2 A D^-1/2, sign-anchored with unit spread.
-
-    Orthogonal iteration on (A + I) / 2: every round is one edge join and an aggregate; only the
-    (dims+1)-square Gram matrix reaches the driver.  The vectors are written out every round."""
-    k = dims + 1
-    vs = [f"v{i}" for i in range(k)]
+def spectral(edges: DataFrame, dims: int = 3, tolerance: float = 1e-4, guard: int = 12) -> DataFrame:
+    """Coordinates from eigenvectors 2..dims+1 of D^-1/2 A D^-1/2, sign-anchored with unit spread,
+    each with the residual |M v - value v| of its unit vector (``residual_x`` beside ``graph_x``).
+
+    Subspace iteration on M = (A + I) / 2 with ``guard`` spare vectors: every round is one edge join
+    and an aggregate; only small Gram matrices reach the driver.  They give the best vectors of the
+    subspace, and the rounds go on until the residuals are at most ``tolerance``.  The vectors are
+    written out every round."""
+    k = min(dims + 1 + guard, max(dims + 1, edges.select("ticker").distinct().count()))
+    vs, ms = [f"v{i}" for i in range(k)], [f"m{i}" for i in range(k)]
     s = edges.groupBy("ticker").agg(F.sum("weight").alias("s"))
     a = edges.join(s, "ticker").join(s.select(F.col("ticker").alias("neighbor"), F.col("s").alias("s2")), "neighbor")
     a = stage(a.select("ticker", "neighbor", (F.col("weight") / F.sqrt("s") / F.sqrt("s2")).alias("w")))
     # the leading eigenvector is known: the square root of the strength
     v = stage(s.select("ticker", F.sqrt("s").alias("v0"), *[hash_coord(F.concat("ticker", F.lit(f"|{i}"))).alias(f"v{i}") for i in range(1, k)]))
-    gram = [F.sum(F.col(vs[i]) * F.col(vs[j])).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-    for step in range(rounds + 1):
-        g = v.agg(*gram).first()
-        m = np.array([[g[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-        inv = np.linalg.inv(np.linalg.cholesky(m + 1e-12 * np.eye(k))).T  # right factor that orthonormalises
-        q = v.select("ticker", *[sum((F.col(vs[i]) * float(inv[i, j]) for i in range(j + 1)), F.lit(0.0)).alias(vs[j]) for j in range(k)])
-        if step == rounds:
-            break
-        q = stage(q)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def gram(df, left, right):
+        g = df.agg(*[F.sum(F.col(left[i]) * F.col(right[j])).alias(f"g{i}_{j}") for i, j in pairs]).first()
+        return np.array([[g[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+
+    def turned(cols, by, names):
+        return [sum((F.col(c) * float(by[i, j]) for i, c in enumerate(cols)), F.lit(0.0)).alias(names[j]) for j in range(k)]
+
+    while True:
+        m = gram(v, vs, vs)
+        inv = np.linalg.inv(np.linalg.cholesky(m + 1e-12 * np.trace(m) / k * np.eye(k))).T  # right factor that orthonormalises
+        q = stage(v.select("ticker", *turned(vs, inv, vs)))
         av = a.join(q.withColumnRenamed("ticker", "neighbor"), "neighbor").groupBy("ticker").agg(*[F.sum(F.col("w") * F.col(c)).alias(f"_{c}") for c in vs])
-        v = stage(q.join(av, "ticker", "left").select("ticker", *[((F.coalesce(f"_{c}", F.lit(0.0)) + F.col(c)) / 2).alias(c) for c in vs]))
-    q = stage(q)
-    st = q.select(F.struct(*[F.struct(F.max(F.struct(F.abs(c).alias("m"), F.col(c).alias("x")))["x"].alias("x"), F.stddev_pop(c).alias("s")).alias(c) for c in vs[1:]])).scalar()
-    names = ["graph_x", "graph_y", "graph_z", *[f"graph_{i}" for i in range(4, k)]][:dims]
+        both = stage(q.join(av, "ticker", "left").select("ticker", *vs, *[((F.coalesce(f"_{c}", F.lit(0.0)) + F.col(c)) / 2).alias(n) for c, n in zip(vs, ms)]))
+        value, turn = np.linalg.eigh(gram(both, vs, ms))
+        value, turn = value[::-1], turn[:, ::-1]
+        best = both.select("ticker", *turned(vs, turn, vs), *turned(ms, turn, ms))
+        r = best.agg(*[F.sqrt(F.sum(F.pow(F.col(n) - float(value[i]) * F.col(c), 2))).alias(c) for i, (c, n) in enumerate(zip(vs, ms))]).first()
+        if max(r[c] for c in vs[1 : dims + 1]) <= tolerance:
+            break
+        v = stage(best.select("ticker", *[F.col(n).alias(c) for c, n in zip(vs, ms)]))
+    q = stage(best.select("ticker", *vs[: dims + 1]))
+    kept = vs[1 : dims + 1]
+    st = q.select(F.struct(*[F.struct(F.max(F.struct(F.abs(c).alias("m"), F.col(c).alias("x")))["x"].alias("x"), F.stddev_pop(c).alias("s")).alias(c) for c in kept])).scalar()
+    axes = ["x", "y", "z", *map(str, range(4, dims + 1))][:dims]
     fixed = lambda c: F.col(c) * F.when(st[c]["x"] < 0, -1.0).otherwise(1.0) / F.when(st[c]["s"] > 0, st[c]["s"]).otherwise(1.0)
-    return q.select("ticker", *[fixed(c).alias(o) for c, o in zip(vs[1:], names)])
+    return q.select("ticker", *[fixed(c).alias(f"graph_{x}") for c, x in zip(kept, axes)], *[F.lit(float(r[c])).alias(f"residual_{x}") for c, x in zip(kept, axes)])
 
 
 def knn_adjust(test: DataFrame, refs: DataFrame, k: int = 20, alpha: float = 0.25) -> DataFrame:

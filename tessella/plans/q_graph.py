@@ -174,9 +174,9 @@ def _(t):
     return gr.diffuse(t.staged("panel"), gr.feature_knn_graph(latest(t), NODE_COLS, 6)[0], ["ret_20d", "vol_20d"])
 
 
-@query("G09_spectral", "ticker graph_x:r graph_y:r graph_z:r")
+@query("G09_spectral", "ticker graph_x:r graph_y:r graph_z:r residual_x:r residual_y:r residual_z:r")
 def _(t):
-    return gr.spectral(gr.feature_knn_graph(latest(t), NODE_COLS, 6)[0], rounds=8)
+    return gr.spectral(gr.feature_knn_graph(latest(t), NODE_COLS, 6)[0])
 
 
 @query("G10_knn_adjust", "id consensus:r confidence:r adjusted:r",
