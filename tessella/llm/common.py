@@ -42,6 +42,29 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def part_no(key: str, n: int) -> Column:
+    """Number of the part, of n, that a row belongs to."""
+    return F.pmod(F.xxhash64(key), F.lit(n))
+
+
+def parts_of(df: DataFrame, key: str, most: int) -> int:
+    """Into how many parts by a hash of ``key`` (a unique one) ``df`` falls, so that none has more
+    than ``most`` rows: a part may then be broadcast."""
+    n = -(-df.count() // most)
+    while n > 1 and df.groupBy(part_no(key, n).alias("part")).count().agg(F.max("count")).first()[0] > most:
+        n += 1 + n // 8
+    return n
+
+
+def whole_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(vec_id, x): ``floor(256 c)`` of every component, of the rows whose vectors are not null and
+    hold neither nulls nor values that are not finite or pass 2**31."""
+    c = F.col(vector)
+    known = F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float(1 << 31)))
+    floor = F.transform(c, lambda v: F.floor(256 * v.cast("double")).cast("long"))
+    return vectors.where(c.isNotNull() & known).select(F.col(vec_id).cast("long").alias("vec_id"), floor.alias("x"))
+
+
 def worker_state(key, make):
     """An object kept by the Python worker from task to task, made by ``make`` at first use.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import ans, bpe, chat, exact, mixing, neardup, paragraphs, quality, secrets, warc
+from tessella.llm import ans, bpe, chat, exact, maxscore, mixing, neardup, paragraphs, phrases, quality, secrets, warc, whitening
 from tessella.llm.common import table, whole_text
 
 #: The vocabulary of the queries; operators take its path as a parameter.
@@ -110,6 +110,55 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+def op11_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five rows of highest inner product of every query row."""
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % maxscore.EVERY == 0)
+
+
+OP11_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+     s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.x, v.x) AS BIGINT) AS score
+           FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every row on the first four components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+     p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+     w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+     g AS (SELECT lang, unnest(range(1, len(words) + 1)) AS i, words FROM w),
+     f AS (SELECT lang, size, array_to_string(words[i:i + size - 1], ' ') AS phrase, count(*) AS a
+           FROM g, (VALUES (1), (2), (3), (4), (5)) s(size) WHERE i + size - 1 <= len(words) GROUP BY ALL HAVING count(*) >= 100),
+     n AS (SELECT lang, sum(len(words)) AS n FROM w GROUP BY lang),
+     c AS (SELECT lang, phrase, a, string_split(phrase, ' ') AS words, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+     s AS (SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, n.n,
+                  CAST((1000 * CAST(c.a AS HUGEINT) * CAST(n.n AS HUGEINT)) // (CAST(x.a AS HUGEINT) * CAST(y.a AS HUGEINT)) AS BIGINT) AS score
+           FROM c JOIN n ON n.lang = c.lang
+           JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:k], ' ')
+           JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[k + 1:], ' ')),
+     b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+     o AS (SELECT * FROM b WHERE NOT EXISTS (
+             SELECT 1 FROM f q WHERE q.lang = b.lang AND q.a >= b.a AND length(q.phrase) > length(b.phrase)
+             AND contains(' ' || q.phrase || ' ', ' ' || b.phrase || ' '))),
+     k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM k WHERE rank <= 2000
+"""
+
+
 def _stop_words() -> str:
     return ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS.split())))
 
@@ -146,9 +195,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_round_trip": op8_chat_round_trip,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_maxscore_search": op11_maxscore_search,
+    "op12_whitening": op12_whitening,
+    "op13_collocations": op13_collocations,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_warc_round_trip": OP3_SQL,
     "op5_quality_rules": OP5_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_maxscore_search": OP11_SQL,
+    "op13_collocations": OP13_SQL,
 }
