@@ -125,12 +125,12 @@ def _mean(cols):
     return "(" + " + ".join(cols) + f") / {float(len(cols))}"
 
 
-@query("J11_feature_configs", "config split:i roc_auc:r",
-       "WITH l AS (" + " UNION ALL ".join(f"SELECT '{n}' AS config, split, label, {_mean(c)} AS s FROM scored WHERE model = 'slow'" for n, c in sp.feature_configs(FAMILIES, "momentum").items()) + """),
-       k AS (SELECT *, rank() OVER (PARTITION BY config, split ORDER BY s) + (count(*) OVER (PARTITION BY config, split, s) - 1) / 2.0 AS rk FROM l)
-       SELECT config, split, (sum(CASE WHEN label = 1 THEN rk END) - sum(label) * (sum(label) + 1) / 2.0) / nullif(sum(label)::DOUBLE * (count(*) - sum(label)), 0) AS roc_auc FROM k GROUP BY 1, 2""")
+@query("J11_feature_configs", "config model split:i roc_auc:r",
+       "WITH l AS (" + " UNION ALL ".join(f"SELECT '{n}' AS config, model, split, label, {_mean(c)} AS s FROM scored" for n, c in sp.feature_configs(FAMILIES, "momentum").items()) + """),
+       k AS (SELECT *, rank() OVER (PARTITION BY config, model, split ORDER BY s) + (count(*) OVER (PARTITION BY config, model, split, s) - 1) / 2.0 AS rk FROM l)
+       SELECT config, model, split, (sum(CASE WHEN label = 1 THEN rk END) - sum(label) * (sum(label) + 1) / 2.0) / nullif(sum(label)::DOUBLE * (count(*) - sum(label)), 0) AS roc_auc FROM k GROUP BY 1, 2, 3""")
 def _(t):
-    return ml.config_scores(t.staged("scored").where(F.col("model") == "slow"), sp.feature_configs(FAMILIES, "momentum"), ["split"])
+    return ml.config_scores(t.staged("scored"), sp.feature_configs(FAMILIES, "momentum"), ["model", "split"])
 
 
 def train_test(t, h=5):
@@ -215,8 +215,9 @@ def _(t):
     return ml.perm_importance(ml.logistic(a, COLS, "label"), b, {**FAMILIES, "depth": ["drawdown_60d"]})
 
 
-def halves(t, model="slow"):
-    s = t.staged("scored").where(F.col("model") == model)
+def halves(t, model=None):
+    s = t.staged("scored")
+    s = s if model is None else s.where(F.col("model") == model)
     return s.where(F.col("split") <= 3), s.where(F.col("split") > 3)
 
 
@@ -226,19 +227,76 @@ def per_model(t, calibrated):
     return reduce(DataFrame.unionByName, [calibrated(*(stage(x) for x in halves(t, m))).withColumn("model", F.lit(m)) for m in models])
 
 
-@query("L08_calibration_regression", "model split calibration_intercept:r calibration_slope:r", digits=4)
+# Newton's iteration from the log-odds, unrolled: one slope, and two slopes by Cramer's rule.
+CLIPPED_SQL = "pc AS (SELECT *, greatest(1e-6, least(1 - 1e-6, probability)) AS p FROM scored)"
+
+
+def newton1_sql(keys, source, ridge, steps=30):
+    return f"""z AS (SELECT {keys}, ln(p / (1 - p)) AS x, label AS y FROM {source}),
+    b AS (
+        SELECT 0 AS step, {keys}, ln(avg(y) / (1 - avg(y))) AS b0, CAST(0 AS DOUBLE) AS b1 FROM z GROUP BY ALL
+        UNION ALL
+        SELECT step + 1, {keys},
+            b0 + ((h11 + {ridge}) * g0 - h01 * (g1 - {ridge} * b1)) / (h00 * (h11 + {ridge}) - h01 * h01),
+            b1 + (h00 * (g1 - {ridge} * b1) - h01 * g0) / (h00 * (h11 + {ridge}) - h01 * h01)
+        FROM (
+            SELECT step, {keys}, b0, b1, sum(y - m) AS g0, sum((y - m) * x) AS g1,
+                sum(m * (1 - m)) AS h00, sum(m * (1 - m) * x) AS h01, sum(m * (1 - m) * x * x) AS h11
+            FROM (SELECT b.*, x, y, 1 / (1 + exp(-(b0 + b1 * x))) AS m FROM b JOIN z USING ({keys}) WHERE step < {steps})
+            GROUP BY step, {keys}, b0, b1)),
+    w AS (SELECT * FROM b WHERE step = {steps})"""
+
+
+def newton2_sql(keys, source, ridge, steps=30):
+    return f"""z AS (SELECT {keys}, ln(p) AS x1, -ln(1 - p) AS x2, label AS y FROM {source}),
+    b AS (
+        SELECT 0 AS step, {keys}, ln(avg(y) / (1 - avg(y))) AS b0, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2 FROM z GROUP BY ALL
+        UNION ALL
+        SELECT step + 1, {keys},
+            b0 + (p * (d * f - e * e) - b * (q * f - e * r) + c * (q * e - d * r)) / det,
+            b1 + (a * (q * f - e * r) - p * (b * f - c * e) + c * (b * r - c * q)) / det,
+            b2 + (a * (d * r - e * q) - b * (b * r - c * q) + p * (b * e - c * d)) / det
+        FROM (
+            SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det
+            FROM (
+                SELECT step, {keys}, b0, b1, b2,
+                    sum(y - m) AS p, sum((y - m) * x1) - {ridge} * b1 AS q, sum((y - m) * x2) - {ridge} * b2 AS r,
+                    sum(v) AS a, sum(v * x1) AS b, sum(v * x2) AS c,
+                    sum(v * x1 * x1) + {ridge} AS d, sum(v * x1 * x2) AS e, sum(v * x2 * x2) + {ridge} AS f
+                FROM (
+                    SELECT *, m * (1 - m) AS v
+                    FROM (SELECT b.*, x1, x2, y, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS m FROM b JOIN z USING ({keys}) WHERE step < {steps}))
+                GROUP BY step, {keys}, b0, b1, b2))),
+    w AS (SELECT * FROM b WHERE step = {steps})"""
+
+
+@query("L08_calibration_regression", "model split calibration_intercept:r calibration_slope:r", f"""
+WITH RECURSIVE {CLIPPED_SQL}, {newton1_sql("model, split", "pc", "1e-6")}
+SELECT model, split, b0 AS calibration_intercept, b1 AS calibration_slope
+FROM w""", digits=5)
 def _(t):
     return cb.calibration_regression(t.staged("scored"), ["model", "split"])
 
 
-@query("O01_platt", "model ticker date:d probability:r calibrated:r", digits=4)
+FIT_SQL = f"{CLIPPED_SQL}, fit AS (SELECT * FROM pc WHERE split <= 3)"
+
+
+@query("O01_platt", "model ticker date:d probability:r calibrated:r", f"""
+WITH RECURSIVE {FIT_SQL}, {newton1_sql("model", "fit", "1.0")}
+SELECT a.*, 1 / (1 + exp(-greatest(-30, least(30, b0 + b1 * ln(p / (1 - p)))))) AS calibrated
+FROM pc a JOIN w USING (model)
+WHERE split > 3""")
 def _(t):
-    return per_model(t, cb.calibrate_logistic)
+    return cb.calibrate_logistic(*halves(t), by=["model"])
 
 
-@query("O01_beta", "model ticker date:d probability:r calibrated:r", digits=4)
+@query("O01_beta", "model ticker date:d probability:r calibrated:r", f"""
+WITH RECURSIVE {FIT_SQL}, {newton2_sql("model", "fit", "1.0")}
+SELECT a.*, 1 / (1 + exp(-greatest(-30, least(30, b0 + b1 * ln(p) - b2 * ln(1 - p))))) AS calibrated
+FROM pc a JOIN w USING (model)
+WHERE split > 3""")
 def _(t):
-    return per_model(t, lambda a, b: cb.calibrate_logistic(a, b, form="beta"))
+    return cb.calibrate_logistic(*halves(t), form="beta", by=["model"])
 
 
 @query("O02_isotonic", "model ticker date:d probability:r calibrated:r", digits=4)
@@ -249,18 +307,34 @@ def _(t):
 GRID = [0.1 + 0.495 * k for k in range(21)]
 
 
-@query("O03_temperature_grid", "param:r log_loss:r",
-       f"""WITH s AS (SELECT label, greatest(1e-6, least(1 - 1e-6, probability)) AS p FROM scored WHERE model = 'slow' AND split <= 3), g AS (SELECT unnest({GRID}::DOUBLE[]) AS param),
-       q AS (SELECT param, label, greatest(1e-6, least(1 - 1e-6, 1 / (1 + exp(-greatest(-30, least(30, ln(p / (1 - p)) / param)))))) AS q FROM s, g) SELECT param, avg(-(label * ln(q) + (1 - label) * ln(1 - q))) AS log_loss FROM q GROUP BY 1""")
-def _(t):
-    return cb.loss_grid(halves(t)[0], "temperature", GRID)
-
-
-@query("O03_shrinkage_grid", "param:r log_loss:r",
-       """WITH s AS (SELECT label, probability AS p, avg(label) OVER () AS prior FROM scored WHERE model = 'slow' AND split <= 3), g AS (SELECT k / 20.0 AS param FROM (SELECT unnest(range(0, 21)) AS k)),
-       q AS (SELECT param, label, greatest(1e-6, least(1 - 1e-6, param * p + (1 - param) * prior)) AS q FROM s, g) SELECT param, avg(-(label * ln(q) + (1 - label) * ln(1 - q))) AS log_loss FROM q GROUP BY 1""")
-def _(t):
-    return cb.loss_grid(halves(t)[0], "shrinkage", [k / 20.0 for k in range(21)])
+@query("O03_temperature_grid", "model param:r log_loss:r", f"""
+WITH s AS (SELECT model, label, greatest(1e-6, least(1 - 1e-6, probability)) AS p FROM scored WHERE split <= 3),
+g AS (SELECT unnest({GRID}::DOUBLE[]) AS param),
+q AS (
+    SELECT model, param, label,
+        greatest(1e-6, least(1 - 1e-6, 1 / (1 + exp(-greatest(-30, least(30, ln(p / (1 - p)) / param)))))) AS q
+    FROM s, g)
+SELECT model, param, avg(-(label * ln(q) + (1 - label) * ln(1 - q))) AS log_loss
+FROM q
+GROUP BY 1, 2""")
+def _(t):
+    return cb.loss_grid(halves(t)[0], "temperature", GRID, by=["model"])
+
+
+@query("O03_shrinkage_grid", "model param:r log_loss:r", """
+WITH s AS (
+    SELECT model, label, probability AS p, avg(label) OVER (PARTITION BY model) AS prior
+    FROM scored
+    WHERE split <= 3),
+g AS (SELECT k / 20.0 AS param FROM (SELECT unnest(range(0, 21)) AS k)),
+q AS (
+    SELECT model, param, label, greatest(1e-6, least(1 - 1e-6, param * p + (1 - param) * prior)) AS q
+    FROM s, g)
+SELECT model, param, avg(-(label * ln(q) + (1 - label) * ln(1 - q))) AS log_loss
+FROM q
+GROUP BY 1, 2""")
+def _(t):
+    return cb.loss_grid(halves(t)[0], "shrinkage", [k / 20.0 for k in range(21)], by=["model"])
 
 
 @query("O03_calibrate_scalar", "model ticker date:d calibrated:r param:r", digits=4)
