@@ -5,6 +5,12 @@ group, so a comparison of N entities sends each profile to about N / tile groups
 builds an N x N table: a group emits only the pairs, or the best k per row, that qualify.
 Tiles are formed per ``group`` (one global group by default), so a crowded group gets more
 tiles and not a bigger task.
+
+Where comparison is by a distance, tiles are regions of space (:mod:`tessella.operators.metric`)
+and only the pairs of tiles that can hold an answer are formed.  Points always are; profiles are
+if they cover the most frequent calendar, as unit vectors whose distance is
+``sqrt(2 - 2 correlation)``.  Profiles with gaps correlate over other dates with every partner,
+which no distance bounds: their tiles meet all others.
 """
 
 from __future__ import annotations
@@ -17,6 +23,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators import metric
+from tessella.session import stage
+
 # The tile functions travel with the task, so executors need numpy and pandas but not this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -57,6 +66,60 @@ def _paired_tiles(rows: DataFrame, tile: int, grouped: bool) -> DataFrame:
     return r.withColumns({"lo": F.least("tile", "_o"), "hi": F.greatest("tile", "_o")}).drop("_o", "_tiles")
 
 
+def _unit(rows: DataFrame) -> DataFrame:
+    """Adds ``x``, the centred unit vector, to the profiles over the most frequent calendar (the
+    longest of equally frequent ones); null for the others and for constant profiles."""
+    calendar = F.xxhash64("pos")
+    best = rows.groupBy(calendar.alias("h"), F.size("pos").alias("n")).count().orderBy(F.desc("count"), F.desc("n"), "h").first()
+    if best is None:
+        return rows.withColumn("x", F.lit(None).cast("array<double>"))
+    add = lambda c, f: F.aggregate(c, F.lit(0.0), lambda s, v: s + f(v))
+    out = rows.withColumn("_c", add("val", lambda v: v) / F.size("val"))
+    out = out.withColumn("_z", F.transform("val", lambda v: v - F.col("_c")))
+    out = out.withColumn("_s", F.sqrt(add("_z", lambda v: v * v)))
+    known = (calendar == best.h) & (F.size("pos") == best.n) & (F.col("_s") > 1e-9 * (1 + F.abs("_c")))
+    return out.withColumn("x", F.when(known, F.transform("_z", lambda v: v / F.col("_s")))).drop("_c", "_z", "_s")
+
+
+def tile_pairs(rows: DataFrame, tile: int, radius: float, k: int | None = None, whole_radius: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """((ticker, tile) of every profile, pairs (lo, hi) of tiles to compare).
+
+    The pairs hold all partners within ``radius``; with ``k`` only the best k of every profile
+    among them, and all partners within ``whole_radius``."""
+    units = stage(_unit(rows))
+    points = units.where(F.col("x").isNotNull()).select(F.col("ticker").alias("key"), "x")
+    tiles = metric.tiles_of(points, metric.pivots_of(points), tile)
+    n = len(tiles.ranges.size)
+    if k is None:
+        pairs = metric.pairs_within(tiles, radius)
+    else:
+        reach = metric.reach_of(tiles, tiles, k, True).withColumn("reach", F.least("reach", F.lit(float(radius))))
+        near = metric.pairs_near(tiles, reach)
+        pairs = near.select(F.least("pt", "rt").alias("lo"), F.greatest("pt", "rt").alias("hi"))
+        if whole_radius is not None:
+            pairs = pairs.unionByName(metric.pairs_within(tiles, whole_radius))
+        pairs = pairs.distinct()
+    gaps = units.where(F.col("x").isNull()).select("ticker")
+    more = -(-gaps.count() // tile)
+    dealt = gaps.select("ticker", (n + F.pmod(F.xxhash64("ticker"), F.lit(max(1, more)))).cast("int").alias("tile"))
+    open_pairs = rows.sparkSession.range(n, n + more).select(F.explode(F.sequence(F.lit(0), F.col("id").cast("int"))).alias("lo"), F.col("id").cast("int").alias("hi"))
+    own = tiles.rows.select(F.col("key").alias("ticker"), "tile").unionByName(dealt)
+    return own, stage(pairs.unionByName(open_pairs))
+
+
+def _met_tiles(rows: DataFrame, tile: int, radius: float, k: int | None = None, whole_radius: float | None = None) -> DataFrame:
+    """Replicate each row to the tile pairs that need its tile."""
+    rows = stage(rows)
+    own, pairs = tile_pairs(rows, tile, radius, k, whole_radius)
+    meet = pairs.select("lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("tile"))
+    return rows.join(own, "ticker").join(meet, "tile")
+
+
+def radius_of(correlation: float) -> float:
+    """Distance of unit vectors with that correlation."""
+    return float(np.sqrt(max(0.0, 2.0 - 2.0 * correlation)))
+
+
 def _dense(pdf: pd.DataFrame, days: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x, m = np.zeros((len(pdf), len(days))), np.zeros((len(pdf), len(days)))
     for i, (pos, val) in enumerate(zip(pdf["pos"], pdf["val"])):
@@ -119,7 +182,9 @@ def similar_pairs(rows: DataFrame, min_overlap: int, lo: float, hi: float = 1.01
         swap = x > y
         return pd.DataFrame({"grp": pdf["grp"].iloc[0], "a": np.where(swap, y, x), "b": np.where(swap, x, y), "n": n[i, j].astype("int64"), "similarity": s[i, j]})
 
-    return _paired_tiles(rows, tile, grouped).groupBy("grp", "lo", "hi").applyInPandas(work, "grp string, a string, b string, n long, similarity double")
+    # large negative correlations are far apart, and a group has its own tiles
+    spread = _paired_tiles(rows, tile, grouped) if grouped or absolute else _met_tiles(rows, tile, radius_of(lo))
+    return spread.groupBy("grp", "lo", "hi").applyInPandas(work, "grp string, a string, b string, n long, similarity double")
 
 
 def nearest(rows: DataFrame, k: int, min_overlap: int, lo: float = 0.0, form: str = "pearson", centre: bool = True,
@@ -145,36 +210,41 @@ def nearest(rows: DataFrame, k: int, min_overlap: int, lo: float = 0.0, form: st
         out.insert(0, "grp", pdf["grp"].iloc[0])
         return out
 
-    return _paired_tiles(rows, tile, grouped).groupBy("grp", "lo", "hi").applyInPandas(work, "grp string, ticker string, neighbor string, similarity double, n long")
+    # with degree_at the best k are listed, and all neighbours at or above it counted
+    count_to = None if degree_at is None else radius_of(degree_at)
+    spread = _paired_tiles(rows, tile, True) if grouped else _met_tiles(rows, tile, radius_of(lo), k, count_to)
+    return spread.groupBy("grp", "lo", "hi").applyInPandas(work, "grp string, ticker string, neighbor string, similarity double, n long")
 
 
 def nearest_points(points: DataFrame, refs: DataFrame, k: int, tile: int = 1024, skip_self: bool = False) -> DataFrame:
     """``k`` nearest reference points by Euclidean distance for every point: (id, ref, distance, payload).
 
-    ``points``: (id, x array<double>); ``refs``: (ref, x, payload double).  Both sides are
-    tiled; every tile pair keeps its best ``k`` and the caller's final ranking merges them."""
+    ``points``: (id, x array<double>); ``refs``: (ref, x, payload double).  Both sides are tiled.
+    The home tile of a point bounds how far its neighbours can be, the pairs of tiles within that
+    reach keep their best ``k``, and the final ranking merges them."""
     from tessella.functions.ranking import first_rows
 
-    p = points.select(F.col("id").cast("string").alias("ticker"), "x", F.lit(None).cast("double").alias("payload"), F.lit(0).alias("side"))
-    r = refs.select(F.col("ref").cast("string").alias("ticker"), "x", F.col("payload").cast("double").alias("payload"), F.lit(1).alias("side"))
-    n_p, n_r = _tile_number(points, tile), _tile_number(refs, tile)
-    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    tp = p.withColumn("pt", _tile_of(F.col("ticker"), n_p)).withColumn("_n", n_r).withColumn("rt", spread(F.col("_n"))).drop("_n")
-    tr = r.withColumn("rt", _tile_of(F.col("ticker"), n_r)).withColumn("_n", n_p).withColumn("pt", spread(F.col("_n"))).drop("_n")
-    both = tp.unionByName(tr)
+    p = stage(points.select(F.col("id").cast("string").alias("key"), "x"))
+    r = stage(refs.select(F.col("ref").cast("string").alias("key"), "x", F.col("payload").cast("double").alias("payload")))
+    pivots = metric.pivots_of(r)
+    tp, tr = metric.tiles_of(p, pivots, tile), metric.tiles_of(r, pivots, tile)
+    near = "id string, ref string, distance double, payload double"
+    if not len(tp.ranges.size) or not len(tr.ranges.size):
+        return first_rows(p.sparkSession.createDataFrame([], near), ["id"], [F.asc("distance"), F.asc("ref")], k)
+    pairs = stage(metric.pairs_near(tr, metric.reach_of(tp, tr, k, skip_self)))
+    left = tp.rows.withColumnRenamed("tile", "pt").join(pairs, "pt").select("pt", "rt", "key", "x", F.lit(None).cast("double").alias("payload"), F.lit(0).alias("side"))
+    right = tr.rows.withColumnRenamed("tile", "rt").join(r.select("key", "payload"), "key").join(pairs, "rt").select("pt", "rt", "key", "x", "payload", F.lit(1).alias("side"))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "ref": [], "distance": [], "payload": []})
-        xa, xb = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
-        d2 = np.stack([((xb - row) ** 2).sum(1) for row in xa])
-        na, nb = a["ticker"].to_numpy(), b["ticker"].to_numpy()
+        d2 = metric.squared(np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy()))
+        na, nb = a["key"].to_numpy(), b["key"].to_numpy()
         if skip_self:
             d2 = np.where(na[:, None] == nb[None, :], np.nan, d2)
         pay = dict(zip(nb, b["payload"]))
         i, j, s = _best(na, nb, -d2, k)
         return pd.DataFrame({"id": i, "ref": j, "distance": np.sqrt(-s), "payload": [pay[x] for x in j]})
 
-    near = both.groupBy("pt", "rt").applyInPandas(work, "id string, ref string, distance double, payload double")
-    return first_rows(near, ["id"], [F.asc("distance"), F.asc("ref")], k)
+    return first_rows(left.unionByName(right).groupBy("pt", "rt").applyInPandas(work, near), ["id"], [F.asc("distance"), F.asc("ref")], k)

@@ -72,15 +72,8 @@ KNN_SQL = TRAIN_SQL + """, pc AS (SELECT a.ticker, b.ticker AS neighbor, CASE WH
        kn AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY similarity DESC, neighbor) AS place FROM pc WHERE similarity > 0 QUALIFY place <= 8), edges AS (SELECT *, similarity / sum(similarity) OVER (PARTITION BY ticker) AS weight FROM kn)"""
 
 
-def recent(t):
-    from tessella.operators.targets import last_n_dates
-
-    p = t.staged("panel")
-    return last_n_dates(p.where(F.col("date") < F.lit("2000-01-01").cast("date")), 1600)
-
-
 def edges(t):
-    return gr.knn_corr_graph(recent(t), 8, 40, degree_at=0.10)
+    return gr.knn_corr_graph(t.train_tail(), 8, 40, degree_at=0.10)
 
 
 @query("G03_knn_corr_graph", "ticker neighbor similarity:r place:i weight:r", f"WITH {KNN_SQL} SELECT * FROM edges", digits=5)
@@ -93,7 +86,7 @@ def _(t):
        pc AS (SELECT a.ticker, b.ticker AS neighbor, sum(a.z * b.z) / count(*) AS similarity FROM z a JOIN z b ON a.date = b.date AND a.ticker <> b.ticker GROUP BY 1, 2 HAVING count(*) >= 40)
        SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY similarity DESC, neighbor) AS place FROM pc WHERE similarity > 0 QUALIFY place <= 8""", digits=5)
 def _(t):
-    return gr.knn_corr_graph(recent(t), 8, 40, "standardized")[0]
+    return gr.knn_corr_graph(t.train_tail(), 8, 40, "standardized")[0]
 
 
 @query("G04_neighbor_weighted", "ticker date:d neighbor_ret_20d:r neighbor_vol_20d:r divergence_ret_20d:r",
@@ -179,21 +172,29 @@ def _(t):
     return gr.spectral(gr.feature_knn_graph(latest(t), NODE_COLS, 6)[0])
 
 
-@query("G10_knn_adjust", "id consensus:r confidence:r adjusted:r",
-       """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), r AS (SELECT * FROM e WHERE label <> 3),
-       d AS (SELECT a.vec_id AS id, list_distance(a.x, b.x) AS d, CASE WHEN b.label >= 5 THEN 1.0 ELSE 0.0 END AS y FROM e a, r b WHERE a.label = 3
-             QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.x, b.x), CAST(b.vec_id AS VARCHAR)) <= 20),
-       p AS (SELECT a.vec_id AS id, list_distance(a.x, b.x) AS d FROM r a, r b WHERE a.vec_id <> b.vec_id
-             QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.x, b.x), CAST(b.vec_id AS VARCHAR)) <= 20),
-       s AS (SELECT median(m) AS s FROM (SELECT avg(d) AS m FROM p GROUP BY id)), g AS (SELECT id, sum(exp(-d / s) * y) / sum(exp(-d / s)) AS consensus, exp(-avg(d) / max(s)) AS confidence FROM d, s GROUP BY 1)
-       SELECT *, greatest(1e-6, least(1 - 1e-6, 0.5 + 0.25 * confidence * (consensus - 0.5))) AS adjusted FROM g""", digits=5)
-def _(t):
-    # one class is predicted from the others, so no row is its own reference
+@query("G10_knn_adjust", "id consensus:r confidence:r adjusted:r", """
+WITH e AS (
+    SELECT CAST(vec_id AS VARCHAR) AS id, embedding::DOUBLE[] AS x, CASE WHEN label >= 5 THEN 1.0 ELSE 0.0 END AS y
+    FROM embeddings),
+d AS (
+    SELECT a.id, list_distance(a.x, b.x) AS d, b.y
+    FROM e a JOIN e b ON a.id <> b.id
+    QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.x, b.x), b.id) <= 20),
+s AS (SELECT median(m) AS s FROM (SELECT avg(d) AS m FROM d GROUP BY id)),
+g AS (
+    SELECT id, sum(exp(-d / s) * y) / sum(exp(-d / s)) AS consensus, exp(-avg(d) / max(s)) AS confidence
+    FROM d, s
+    GROUP BY 1)
+SELECT *, greatest(1e-6, least(1 - 1e-6, 0.5 + 0.25 * confidence * (consensus - 0.5))) AS adjusted
+FROM g""", digits=5)
+def _(t):
+    # every vector is predicted from all others
     e = t.table("embeddings").select(
-        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), "label",
+        F.col("vec_id").alias("id"),
+        F.col("embedding").cast("array<double>").alias("x"),
         F.when(F.col("label") >= 5, 1.0).otherwise(0.0).alias("payload"))
-    test, refs = e.where("label = 3"), e.where("label <> 3")
-    return gr.knn_adjust(test.select("id", "x", F.lit(0.5).alias("p")), refs.select(F.col("id").alias("ref"), "x", "payload"), 20, 0.25)
+    test = e.select("id", "x", F.lit(0.5).alias("p"))
+    return gr.knn_adjust(test, e.select(F.col("id").alias("ref"), "x", "payload"), 20, 0.25, skip_self=True)
 
 
 @query("G11_variant_families", "family ticker members:i chosen:i reason",
