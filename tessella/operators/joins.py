@@ -103,6 +103,7 @@ def research_queue(watch: DataFrame, preds: DataFrame, horizon: int, n: int, thr
     """Watch-list rows whose prediction reaches the threshold, in queue order."""
     p = preds.where((F.col("horizon_days") == horizon) & (F.col("probability_up") >= threshold))
     order = [F.desc("probability_up"), F.desc("confidence"), F.asc("rank"), F.asc("ticker")]
+    order += [F.asc("model_name")] if "model_name" in preds.columns else []
     return watch.join(p, "ticker").orderBy(*order).limit(n)
 
 

@@ -114,13 +114,16 @@ def strategy_daily(scored: DataFrame, k: int, names: Sequence[str] = STRATEGIES,
     return g.join(uni, [*by, "date"]).join(overlap_turnover(picks, keys, "current"), [*keys, "i"])
 
 
+NOISE = 1e-12  # an excess that only rounding made is no win
+
+
 def cost_grid(daily: DataFrame, costs: Sequence[float], by: Sequence[str] = ("strategy",)) -> DataFrame:
     """Summary of daily strategy rows under every cost level."""
     c = daily.withColumn("cost_bps", F.explode(F.array(*[F.lit(float(x)) for x in costs])))
     c = c.withColumn("_net", F.col("gross_return") - F.col("turnover") * F.col("cost_bps") / 10_000.0).withColumn("_x", F.col("_net") - F.col("universe_return"))
     return c.groupBy(*by, "cost_bps").agg(
         F.count(F.lit(1)).alias("dates"), F.avg("gross_return").alias("mean_gross_return"), F.avg("_net").alias("mean_net_return"), F.avg("_x").alias("mean_excess_return"),
-        F.avg(flag(F.col("_x") > 0)).alias("win_rate"), F.avg("turnover").alias("mean_turnover"), F.min("_net").alias("worst_net_return"))
+        F.avg(flag(F.col("_x") > NOISE)).alias("win_rate"), F.avg("turnover").alias("mean_turnover"), F.min("_net").alias("worst_net_return"))
 
 
 def segments(scored: DataFrame, by: Sequence[str] = ("date",)) -> DataFrame:
@@ -135,19 +138,20 @@ def segments(scored: DataFrame, by: Sequence[str] = ("date",)) -> DataFrame:
 
 
 def scenario_battery(scored: DataFrame, sizes: Sequence[int], rebalances: Sequence[int], costs: Sequence[float],
-                     names: Sequence[str] = STRATEGIES[:3], ret: str = "forward_return") -> DataFrame:
+                     names: Sequence[str] = STRATEGIES[:3], ret: str = "forward_return", by: Sequence[str] = ()) -> DataFrame:
     """Segment x strategy x size x rebalance interval x cost, holding selections between rebalances.
 
     A date on which nothing held is left re-selects without turnover and carries that selection
     on.  Such dates are found round by round (the first one of each holding run becomes a new
     anchor) until none is left, so no date loop runs anywhere."""
-    seg = stage(segments(scored))
+    by = list(by)
+    seg = stage(segments(scored, [*by, "date"]))
     picks = None
     for size in sizes:
         for name in names:
-            p = select_strategy(seg, name, size, ["segment", "date"]).select("segment", F.lit(name).alias("strategy"), F.lit(size).alias("portfolio_size"), "date", "ticker", ret)
+            p = select_strategy(seg, name, size, [*by, "segment", "date"]).select(*by, "segment", F.lit(name).alias("strategy"), F.lit(size).alias("portfolio_size"), "date", "ticker", ret)
             picks = p if picks is None else picks.unionByName(p)
-    cfg = ["segment", "strategy", "portfolio_size", "rebalance_days"]
+    cfg = [*by, "segment", "strategy", "portfolio_size", "rebalance_days"]
     picks = stage(picks.withColumn("rebalance_days", F.explode(F.array(*[F.lit(r) for r in rebalances]))))
     days = picks.select(*cfg, "date").distinct().join(date_index(scored, [], "i"), "date")
     anchors = stage(days.withColumn("anchor", flag(F.pmod("i", "rebalance_days") == 0)).withColumn("again", F.lit(0)))
@@ -157,7 +161,7 @@ def scenario_battery(scored: DataFrame, sizes: Sequence[int], rebalances: Sequen
         a = anchors.withColumn("anchor", F.when(first, 1).otherwise(F.col("anchor")))
         a = a.withColumn("_from", F.max(F.when(F.col("anchor") == 1, F.col("date"))).over(run))
         held = a.join(picks.select(*cfg, F.col("date").alias("_from"), "ticker"), [*cfg, "_from"])
-        alive = held.join(seg.select("segment", "date", "ticker", F.col(ret).alias("_r")), ["segment", "date", "ticker"])
+        alive = held.join(seg.select(*by, "segment", "date", "ticker", F.col(ret).alias("_r")), [*by, "segment", "date", "ticker"])
         alive = alive.groupBy(*cfg, "date").agg(F.avg("_r").alias("gross_return"))
         a = stage(a.join(alive, [*cfg, "date"], "left").withColumn("_found", F.lit(0)))
         lost = a.where((F.col("anchor") == 0) & F.col("gross_return").isNull())
@@ -173,20 +177,20 @@ def scenario_battery(scored: DataFrame, sizes: Sequence[int], rebalances: Sequen
     old = picks.select(*cfg, F.col("date").alias("_prev"), "ticker", F.lit(1).alias("_o"))
     t = now.join(old, [*cfg, "_prev", "ticker"], "left").groupBy(*cfg, "date").agg(
         F.when(F.max("_prev").isNull(), 1.0).otherwise(1.0 - F.coalesce(F.sum("_o"), F.lit(0)) / F.count(F.lit(1))).alias("turnover"))
-    uni = seg.groupBy("segment", "date").agg(F.avg(ret).alias("universe_return"))
-    mkt = scored.groupBy("date").agg(F.avg(ret).alias("market_return"), F.stddev_pop("ret_20d").alias("market_volatility"))
-    out = a.join(t, [*cfg, "date"], "left").fillna(0.0, ["turnover"]).join(uni, ["segment", "date"]).join(mkt, "date")
+    uni = seg.groupBy(*by, "segment", "date").agg(F.avg(ret).alias("universe_return"))
+    mkt = scored.groupBy(*by, "date").agg(F.avg(ret).alias("market_return"), F.stddev_pop("ret_20d").alias("market_volatility"))
+    out = a.join(t, [*cfg, "date"], "left").fillna(0.0, ["turnover"]).join(uni, [*by, "segment", "date"]).join(mkt, [*by, "date"])
     out = out.withColumn("cost_bps", F.explode(F.array(*[F.lit(float(c)) for c in costs])))
     out = out.withColumn("net_return", F.col("gross_return") - F.col("turnover") * F.col("cost_bps") / 10_000.0)
     out = out.withColumn("excess_return", F.col("net_return") - F.col("universe_return"))
     return out.select("date", *cfg, "cost_bps", "gross_return", "net_return", "universe_return", "excess_return", "turnover", "market_return", "market_volatility")
 
 
-def scenario_summary(rows: DataFrame) -> DataFrame:
+def scenario_summary(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     x = F.col("excess_return")
-    return rows.groupBy("segment", "strategy", "portfolio_size", "rebalance_days", "cost_bps").agg(
+    return rows.groupBy(*by, "segment", "strategy", "portfolio_size", "rebalance_days", "cost_bps").agg(
         F.count(F.lit(1)).alias("dates"), F.avg("net_return").alias("mean_net_return"), F.avg(x).alias("mean_excess_return"), F.stddev_samp(x).alias("excess_std"),
-        F.avg(flag(x > 0)).alias("win_rate"), F.avg("turnover").alias("mean_turnover"), F.min("net_return").alias("worst_net_return"))
+        F.avg(flag(x > NOISE)).alias("win_rate"), F.avg("turnover").alias("mean_turnover"), F.min("net_return").alias("worst_net_return"))
 
 
 def one_day_residuals(prices: DataFrame, keys: DataFrame) -> DataFrame:

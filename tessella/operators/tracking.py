@@ -173,11 +173,12 @@ def constraint_status(board: DataFrame, snapshot: DataFrame, pdt_equity: float =
     return b.withColumns({"constraint_status": status, "constraint_reason": reason}).select(*board.columns, "constraint_status", "constraint_reason")
 
 
-def best_horizon(preds: DataFrame) -> DataFrame:
-    """Each ticker's prediction with the highest probability, the shortest horizon winning ties."""
-    rest = [x for x in preds.columns if x not in ("ticker", "probability_up", "horizon_days")]
-    best = preds.groupBy("ticker").agg(F.max(F.struct("probability_up", (-F.col("horizon_days")).alias("_h"), *rest)).alias("_b"))
-    return best.select("ticker", "_b.probability_up", (-F.col("_b._h")).alias("horizon_days"), *[F.col(f"_b.{x}").alias(x) for x in rest])
+def best_horizon(preds: DataFrame, by: Sequence[str] = ("ticker",)) -> DataFrame:
+    """Each ticker's prediction with the highest probability, the shortest horizon winning ties,
+    then the largest of the other columns in their order."""
+    rest = [x for x in preds.columns if x not in (*by, "probability_up", "horizon_days")]
+    best = preds.groupBy(*by).agg(F.max(F.struct("probability_up", (-F.col("horizon_days")).alias("_h"), *rest)).alias("_b"))
+    return best.select(*by, "_b.probability_up", (-F.col("_b._h")).alias("horizon_days"), *[F.col(f"_b.{x}").alias(x) for x in rest])
 
 
 def decision_board(watch: DataFrame, queue: DataFrame, holdings: DataFrame, shortlist: DataFrame, portfolio_value: float) -> DataFrame:

@@ -198,9 +198,31 @@ FROM eval_scored e JOIN split_facts f USING (run_id) JOIN (
          stddev_pop(holdout_score) AS walk_forward_score_std, avg(selected_return_edge) AS walk_forward_avg_return_edge, avg(brier_skill) AS walk_forward_avg_brier_skill, avg(roc_auc) AS walk_forward_avg_auc
   FROM eval_scored GROUP BY 1, 2) w ON w.horizon_days = e.horizon_days AND w.model_name = e.model_name,
   LATERAL (SELECT 0.55 * holdout_score + 0.45 * walk_forward_avg_score + 0.02 * (CAST(walk_forward_positive_splits AS DOUBLE) / walk_forward_splits - 0.5) - 0.10 * walk_forward_score_std AS champion_score) b""")
+cte("train_tail", """
+SELECT *
+FROM panel
+WHERE date < DATE '2000-01-01' AND date >= (
+    SELECT min(date)
+    FROM (SELECT DISTINCT date FROM panel WHERE date < DATE '2000-01-01' ORDER BY date DESC LIMIT 1600))""")
+cte("knn_edges", """
+SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY similarity DESC, neighbor) AS place
+FROM (
+    SELECT a.ticker, b.ticker AS neighbor, CASE WHEN count(*) >= 40 THEN corr(a.ret_1d, b.ret_1d) END AS similarity
+    FROM train_tail a JOIN train_tail b ON a.date = b.date AND a.ticker <> b.ticker
+    GROUP BY 1, 2)
+WHERE similarity > 0
+QUALIFY place <= 8""")
+cte("gcols", """
+SELECT p.ticker, p.date, round(coalesce(s, 0), 9) AS graph_similarity_mean, round(coalesce(p.ret_20d * r, 0), 9) AS neighbor_confirmation,
+    CAST(coalesce(d, 0) AS DOUBLE) AS graph_degree
+FROM panel p LEFT JOIN (
+    SELECT e.ticker, q.date, avg(ret_20d) AS r, avg(similarity) AS s, count(*) AS d
+    FROM knn_edges e JOIN panel q ON q.ticker = e.neighbor
+    GROUP BY 1, 2) n ON n.ticker = p.ticker AND n.date = p.date""")
 cte("gscored", """
-SELECT split, date, s.ticker, probability, label, future_return AS forward_return, ret_20d, dollar_vol_20d_log, drawdown_60d AS graph_similarity_mean, ret_20d * ret_5d AS neighbor_confirmation, vol_20d AS graph_degree,
-       CASE WHEN nation % 5 = 0 THEN -1 ELSE nation % 5 END AS cluster FROM scored s JOIN symbols y ON y.ticker = s.ticker WHERE model = 'slow'""")
+SELECT model, split, s.date, s.ticker, probability, label, future_return AS forward_return, ret_20d, dollar_vol_20d_log,
+    graph_similarity_mean, neighbor_confirmation, graph_degree, CASE WHEN nation % 5 = 0 THEN -1 ELSE nation % 5 END AS cluster
+FROM scored s JOIN symbols y ON y.ticker = s.ticker JOIN gcols g ON g.ticker = s.ticker AND g.date = s.date""")
 cte("ret1d", """
 SELECT ticker, date, r - (sum(r) OVER (PARTITION BY date) - r) / nullif(count(r) OVER (PARTITION BY date) - 1, 0) AS residual_return_1d FROM (
   SELECT p.ticker, p.date, CASE WHEN o.next_date = o.market_next THEN o.r END AS r FROM panel p LEFT JOIN (

@@ -169,9 +169,9 @@ def _(t):
 @query("E21_residual_targets",
        "ticker date:d evaluation_date:d future_return:r liquidity_rank:i sector market_members:i market_return_loo:r market_residual_return:r sector_members:i sector_return_loo:r "
        "sector_residual_return:r primary_benchmark primary_residual_return:r primary_residual_rank_pct:r primary_residual_positive:i primary_residual_top_decile:i",
-       "SELECT * FROM labelled WHERE market_members > 1")
+       "SELECT * FROM labelled")
 def _(t):
-    return t.staged("labelled").where("market_members > 1")
+    return t.staged("labelled")
 
 
 FAMILIES_SQL = """fam AS (SELECT ticker, count(*) OVER (PARTITION BY nation) AS variant_family_size,

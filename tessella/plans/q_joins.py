@@ -16,10 +16,10 @@ W = "OVER (PARTITION BY ticker ORDER BY date)"
 
 
 @query("C01_research_queue", "ticker rank:i model_name probability_up:r confidence:r as_of_date:d",
-       """SELECT * FROM watch JOIN (SELECT * FROM preds WHERE model_name = 'slow' QUALIFY as_of_date = max(as_of_date) OVER (PARTITION BY ticker)) USING (ticker) WHERE horizon_days = 20 AND probability_up >= 0.55
-       ORDER BY probability_up DESC, confidence DESC, rank, ticker LIMIT 25""")
+       """SELECT * FROM watch JOIN (SELECT * FROM preds QUALIFY as_of_date = max(as_of_date) OVER (PARTITION BY ticker)) USING (ticker) WHERE horizon_days = 20 AND probability_up >= 0.55
+       ORDER BY probability_up DESC, confidence DESC, rank, ticker, model_name LIMIT 25""")
 def _(t):
-    p = t.staged("preds").where(F.col("model_name") == "slow")
+    p = t.staged("preds")
     last = p.groupBy("ticker").agg(F.max("as_of_date").alias("as_of_date"))
     return jn.research_queue(t.staged("watch"), p.join(last, ["ticker", "as_of_date"], "left_semi"), 20, 25)
 
@@ -133,11 +133,11 @@ def _(t):
     return first_rows(t.staged("preds"), ["model_name", "horizon_days"], [F.desc("probability_up"), F.asc("as_of_date"), F.asc("ticker")], 50)
 
 
-@query("F03_best_horizon", "ticker as_of_date:d horizon_days:i probability_up:r",
-       """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY probability_up DESC, horizon_days, as_of_date DESC) AS k FROM preds WHERE model_name = 'slow') WHERE k = 1""")
+@query("F03_best_horizon", "model_name ticker as_of_date:d horizon_days:i probability_up:r",
+       """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_name, ticker ORDER BY probability_up DESC, horizon_days, as_of_date DESC) AS k FROM preds) WHERE k = 1""")
 def _(t):
-    p = t.staged("preds").where(F.col("model_name") == "slow").select("ticker", "probability_up", "horizon_days", "as_of_date")
-    return tr.best_horizon(p)
+    p = t.staged("preds").select("model_name", "ticker", "probability_up", "horizon_days", "as_of_date")
+    return tr.best_horizon(p, ["model_name", "ticker"])
 
 
 @query("F04_watchlist", "ticker rank:i raw_score:r confidence:r suggested_horizon recommendation", "SELECT * FROM watch")

@@ -219,7 +219,7 @@ def _(t):
     return tr.evaluate_outcomes(t.staged("decisions"), t.prices())
 
 
-BOARD_SQL = """best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY probability_up DESC, horizon_days, as_of_date DESC) AS k FROM preds WHERE model_name = 'slow' AND probability_up >= 0.55) WHERE k = 1),
+BOARD_SQL = """best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY probability_up DESC, horizon_days, as_of_date DESC, model_name DESC) AS k FROM preds WHERE probability_up >= 0.55) WHERE k = 1),
        hold AS (SELECT ticker, sum(volume) AS quantity FROM raw_bars WHERE date >= (SELECT max(date) - 20 FROM raw_bars) AND returnflag = 'A' GROUP BY 1), px AS (SELECT ticker, arg_max(close_price, date) AS close_price FROM prices GROUP BY 1),
        hv AS (SELECT hold.ticker, quantity, quantity * close_price AS market_value FROM hold LEFT JOIN px USING (ticker)), hw AS (SELECT *, market_value / ((SELECT sum(market_value) FROM hv) + 1000) AS portfolio_weight FROM hv),
        b AS (SELECT w.*, px.close_price AS entry_price, best.probability_up AS model_probability_up, best.horizon_days AS model_horizon_days, coalesce(hw.quantity, 0) AS quantity, coalesce(hw.portfolio_weight, 0) AS portfolio_weight,
@@ -239,7 +239,7 @@ def holdings(t):
 
 
 def board(t):
-    q = t.staged("preds").where((F.col("model_name") == "slow") & (F.col("probability_up") >= 0.55)).select("ticker", "probability_up", "horizon_days", "as_of_date", "model_name", "model_rank")
+    q = t.staged("preds").where(F.col("probability_up") >= 0.55).select("ticker", "probability_up", "horizon_days", "as_of_date", "model_name", "model_rank")
     px = t.prices().groupBy("ticker").agg(F.max(F.struct("date", "close_price"))["close_price"].alias("entry_price"))
     w = t.staged("watch").join(px, "ticker", "left")
     return tr.decision_board(w, q, tr.holdings_value(holdings(t), t.prices(), 1000.0), t.symbols().where(F.col("security_type") == "ETF"), 1_000_000.0)

@@ -55,51 +55,89 @@ def strategies_sql(src, by, k):
        sel AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY strategy, {by} ORDER BY pri, sc DESC, ticker) AS k FROM st) WHERE k <= {k})"""
 
 
-@query("M03_select_strategy", "strategy date:d ticker", f"WITH {strategies_sql('gscored', 'date', 5)} SELECT * FROM sel")
+@query("M03_select_strategy", "model strategy date:d ticker", f"WITH {strategies_sql('gscored', 'model, date', 5)} SELECT * FROM sel")
 def _(t):
     out = None
     for name in pf.STRATEGIES:
-        p = pf.select_strategy(t.staged("gscored"), name, 5).select(F.lit(name).alias("strategy"), "date", "ticker")
+        p = pf.select_strategy(t.staged("gscored"), name, 5, ["model", "date"]).select(F.lit(name).alias("strategy"), "model", "date", "ticker")
         out = p if out is None else out.unionByName(p)
     return out
 
 
-STRAT_DAILY_SQL = f"""{strategies_sql('gscored', 'date', 5)}, u AS (SELECT date, avg(forward_return) AS universe_return FROM gscored GROUP BY 1),
-       sg AS (SELECT strategy, date, avg(forward_return) AS gross_return, count(*) AS n, row_number() OVER (PARTITION BY strategy ORDER BY date) AS i FROM sel GROUP BY 1, 2),
-       si AS (SELECT sel.strategy, sel.ticker, i FROM sel JOIN sg ON sg.strategy = sel.strategy AND sg.date = sel.date), cc AS (SELECT a.strategy, a.i, count(*) AS c FROM si a JOIN si b ON a.strategy = b.strategy AND b.i = a.i - 1 AND a.ticker = b.ticker GROUP BY 1, 2),
-       sd AS (SELECT sg.*, universe_return, CASE WHEN sg.i = 1 THEN 1 ELSE 1 - coalesce(c, 0) / n::DOUBLE END AS turnover FROM sg LEFT JOIN cc USING (strategy, i) JOIN u USING (date))"""
-
-
-@query("M03_strategy_daily", "strategy date:d gross_return:r universe_return:r turnover:r", f"WITH {STRAT_DAILY_SQL} SELECT * FROM sd")
-def _(t):
-    return pf.strategy_daily(t.staged("gscored"), 5)
-
-
-@query("M04_cost_grid", "strategy cost_bps:r dates:i mean_gross_return:r mean_net_return:r mean_excess_return:r win_rate:r mean_turnover:r worst_net_return:r",
-       f"""WITH {STRAT_DAILY_SQL}, c2 AS (SELECT unnest([0.0, 5.0, 10.0, 25.0, 50.0]) AS cost_bps) SELECT strategy, cost_bps, count(*) AS dates, avg(gross_return) AS mean_gross_return, avg(gross_return - turnover * cost_bps / 10000) AS mean_net_return,
-       avg(gross_return - turnover * cost_bps / 10000 - universe_return) AS mean_excess_return, avg(CASE WHEN gross_return - turnover * cost_bps / 10000 - universe_return > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(turnover) AS mean_turnover, min(gross_return - turnover * cost_bps / 10000) AS worst_net_return FROM sd, c2 GROUP BY 1, 2""")
-def _(t):
-    return pf.cost_grid(pf.strategy_daily(t.staged("gscored"), 5), (0, 5, 10, 25, 50))
-
-
-SEG_SQL = """sm AS (SELECT *, median(dollar_vol_20d_log) OVER (PARTITION BY date) AS ml, median(graph_degree) OVER (PARTITION BY date) AS mg FROM gscored),
-       seg AS (SELECT 'all' AS segment, * FROM sm UNION ALL SELECT CASE WHEN dollar_vol_20d_log >= ml THEN 'liquidity_high' ELSE 'liquidity_low' END, * FROM sm UNION ALL SELECT CASE WHEN graph_degree >= mg THEN 'graph_degree_high' ELSE 'graph_degree_low' END, * FROM sm
-       UNION ALL SELECT CASE WHEN ret_20d >= 0 THEN 'momentum_positive' ELSE 'momentum_negative' END, * FROM sm)"""
-
-
-@query("M05_scenario_battery", "segment strategy date:d portfolio_size:i cost_bps:r gross_return:r net_return:r universe_return:r excess_return:r turnover:r",
-       f"""WITH {SEG_SQL}, {strategies_sql('seg', 'segment, date', 4)}, u AS (SELECT segment, date, avg(forward_return) AS universe_return FROM seg GROUP BY 1, 2), p3 AS (SELECT * FROM sel WHERE strategy <> 'cluster_diversified'),
-       sg AS (SELECT strategy, segment, date, avg(forward_return) AS gross_return, count(*) AS n, row_number() OVER (PARTITION BY strategy, segment ORDER BY date) AS i FROM p3 GROUP BY 1, 2, 3),
-       si AS (SELECT p3.strategy, p3.segment, p3.ticker, i FROM p3 JOIN sg USING (strategy, segment, date)), cc AS (SELECT a.strategy, a.segment, a.i, count(*) AS c FROM si a JOIN si b ON a.strategy = b.strategy AND a.segment = b.segment AND b.i = a.i - 1 AND a.ticker = b.ticker GROUP BY 1, 2, 3),
-       sd AS (SELECT sg.*, universe_return, CASE WHEN sg.i = 1 THEN 1 ELSE 1 - coalesce(c, 0) / n::DOUBLE END AS turnover FROM sg LEFT JOIN cc USING (strategy, segment, i) JOIN u USING (segment, date)), c2 AS (SELECT unnest([0.0, 10.0]) AS cost_bps)
-       SELECT *, 4 AS portfolio_size, gross_return - turnover * cost_bps / 10000 AS net_return, gross_return - turnover * cost_bps / 10000 - universe_return AS excess_return FROM sd, c2""")
-def _(t):
-    return pf.scenario_battery(t.staged("gscored"), [4], [1], [0.0, 10.0])
-
-
-@query("M05_scenario_carried", "segment strategy portfolio_size:i rebalance_days:i cost_bps:r dates:i mean_net_return:r mean_excess_return:r win_rate:r mean_turnover:r worst_net_return:r")
-def _(t):
-    return pf.scenario_summary(pf.scenario_battery(t.staged("gscored"), [4], [5], [0.0, 10.0]))
+STRAT_DAILY_SQL = f"""{strategies_sql('gscored', 'model, date', 5)},
+u AS (SELECT model, date, avg(forward_return) AS universe_return FROM gscored GROUP BY 1, 2),
+sg AS (
+    SELECT strategy, model, date, avg(forward_return) AS gross_return, count(*) AS n,
+        row_number() OVER (PARTITION BY strategy, model ORDER BY date) AS i
+    FROM sel
+    GROUP BY 1, 2, 3),
+si AS (SELECT strategy, model, ticker, i FROM sel JOIN sg USING (strategy, model, date)),
+cc AS (
+    SELECT a.strategy, a.model, a.i, count(*) AS c
+    FROM si a JOIN si b ON a.strategy = b.strategy AND a.model = b.model AND b.i = a.i - 1 AND a.ticker = b.ticker
+    GROUP BY 1, 2, 3),
+sd AS (
+    SELECT sg.*, universe_return, CASE WHEN sg.i = 1 THEN 1 ELSE 1 - coalesce(c, 0) / n::DOUBLE END AS turnover
+    FROM sg LEFT JOIN cc USING (strategy, model, i) JOIN u USING (model, date))"""
+
+
+@query("M03_strategy_daily", "model strategy date:d gross_return:r universe_return:r turnover:r", f"WITH {STRAT_DAILY_SQL} SELECT * FROM sd")
+def _(t):
+    return pf.strategy_daily(t.staged("gscored"), 5, by=["model"])
+
+
+@query("M04_cost_grid", "model strategy cost_bps:r dates:i mean_gross_return:r mean_net_return:r mean_excess_return:r win_rate:r mean_turnover:r worst_net_return:r", f"""
+WITH {STRAT_DAILY_SQL},
+c2 AS (SELECT unnest([0.0, 5.0, 10.0, 25.0, 50.0]) AS cost_bps),
+nt AS (SELECT *, gross_return - turnover * cost_bps / 10000 AS net_return FROM sd, c2)
+SELECT model, strategy, cost_bps, count(*) AS dates, avg(gross_return) AS mean_gross_return, avg(net_return) AS mean_net_return,
+    avg(net_return - universe_return) AS mean_excess_return,
+    avg(CASE WHEN net_return - universe_return > 1e-12 THEN 1.0 ELSE 0.0 END) AS win_rate,
+    avg(turnover) AS mean_turnover, min(net_return) AS worst_net_return
+FROM nt
+GROUP BY 1, 2, 3""")
+def _(t):
+    return pf.cost_grid(pf.strategy_daily(t.staged("gscored"), 5, by=["model"]), (0, 5, 10, 25, 50), ["model", "strategy"])
+
+
+SEG_SQL = """sm AS (
+    SELECT *, median(dollar_vol_20d_log) OVER (PARTITION BY model, date) AS ml, median(graph_degree) OVER (PARTITION BY model, date) AS mg
+    FROM gscored),
+seg AS (
+    SELECT 'all' AS segment, * FROM sm
+    UNION ALL SELECT CASE WHEN dollar_vol_20d_log >= ml THEN 'liquidity_high' ELSE 'liquidity_low' END, * FROM sm
+    UNION ALL SELECT CASE WHEN graph_degree >= mg THEN 'graph_degree_high' ELSE 'graph_degree_low' END, * FROM sm
+    UNION ALL SELECT CASE WHEN ret_20d >= 0 THEN 'momentum_positive' ELSE 'momentum_negative' END, * FROM sm)"""
+
+
+@query("M05_scenario_battery", "model segment strategy date:d portfolio_size:i cost_bps:r gross_return:r net_return:r universe_return:r excess_return:r turnover:r", f"""
+WITH {SEG_SQL}, {strategies_sql('seg', 'model, segment, date', 4)},
+u AS (SELECT model, segment, date, avg(forward_return) AS universe_return FROM seg GROUP BY 1, 2, 3),
+p3 AS (SELECT * FROM sel WHERE strategy <> 'cluster_diversified'),
+sg AS (
+    SELECT strategy, model, segment, date, avg(forward_return) AS gross_return, count(*) AS n,
+        row_number() OVER (PARTITION BY strategy, model, segment ORDER BY date) AS i
+    FROM p3
+    GROUP BY 1, 2, 3, 4),
+si AS (SELECT strategy, model, segment, ticker, i FROM p3 JOIN sg USING (strategy, model, segment, date)),
+cc AS (
+    SELECT strategy, model, segment, a.i, count(*) AS c
+    FROM si a JOIN (SELECT * REPLACE (i + 1 AS i) FROM si) b USING (strategy, model, segment, i, ticker)
+    GROUP BY 1, 2, 3, 4),
+sd AS (
+    SELECT sg.*, universe_return, CASE WHEN sg.i = 1 THEN 1 ELSE 1 - coalesce(c, 0) / n::DOUBLE END AS turnover
+    FROM sg LEFT JOIN cc USING (strategy, model, segment, i) JOIN u USING (model, segment, date)),
+c2 AS (SELECT unnest([0.0, 10.0]) AS cost_bps)
+SELECT *, 4 AS portfolio_size, gross_return - turnover * cost_bps / 10000 AS net_return,
+    gross_return - turnover * cost_bps / 10000 - universe_return AS excess_return
+FROM sd, c2""")
+def _(t):
+    return pf.scenario_battery(t.staged("gscored"), [4], [1], [0.0, 10.0], by=["model"])
+
+
+@query("M05_scenario_carried", "model segment strategy portfolio_size:i rebalance_days:i cost_bps:r dates:i mean_net_return:r mean_excess_return:r win_rate:r mean_turnover:r worst_net_return:r")
+def _(t):
+    return pf.scenario_summary(pf.scenario_battery(t.staged("gscored"), [4], [5], [0.0, 10.0], by=["model"]), ["model"])
 
 
 SLEEVE_SQL = """sk AS (SELECT * FROM (SELECT split, model, date, ticker, row_number() OVER (PARTITION BY split, model, date ORDER BY probability DESC, ticker) AS k FROM scored) WHERE k <= 5),
@@ -394,12 +432,23 @@ def _(t):
     return ru.confirmatory_registry(c, e.select("method", F.explode(rows).alias("x")).select("method", "x.*"))
 
 
-@query("L11_family_registry", "family tests:i passed:i worst_net_low:r confirmed:i",
-       """WITH w AS (SELECT CAST(run_id AS VARCHAR) AS challenger, max(selected_return_edge) AS net_low, max(roc_auc) - 0.5 AS auc_low FROM evals WHERE model_name = 'slow' GROUP BY 1), t AS (SELECT DISTINCT CASE WHEN run_id <= 2 THEN 'early' ELSE 'late' END AS family, CAST(run_id AS VARCHAR) AS challenger FROM evals)
-       SELECT family, count(*) AS tests, count(*) FILTER (WHERE net_low > 0 AND auc_low >= -0.001) AS passed, min(net_low) AS worst_net_low, CASE WHEN bool_and(coalesce(net_low > 0 AND auc_low >= -0.001, false)) THEN 1 ELSE 0 END AS confirmed FROM t LEFT JOIN w USING (challenger) GROUP BY 1""")
-def _(t):
-    e = t.staged("evals").where(F.col("model_name") == "slow").withColumn("challenger", F.col("run_id").cast("string")).withColumn("comparison", F.lit("base"))
-    rows = F.array(F.struct(F.lit("net_residual_return").alias("metric"), F.col("selected_return_edge").alias("ci_2_5")), F.struct(F.lit("auc").alias("metric"), (F.col("roc_auc") - 0.5).alias("ci_2_5")))
-    c = e.select("challenger", "comparison", F.explode(rows).alias("x")).select("challenger", "comparison", "x.*")
-    tests = t.staged("evals").select(F.when(F.col("run_id") <= 2, "early").otherwise("late").alias("family"), F.lit("removal").alias("test"), F.col("run_id").cast("string").alias("challenger"), F.lit("base").alias("comparison")).distinct()
-    return ru.family_registry(c, tests)
+@query("L11_family_registry", "family tests:i passed:i worst_net_low:r confirmed:i", """
+WITH w AS (
+    SELECT model_name || '|' || run_id AS challenger, max(selected_return_edge) AS net_low, max(roc_auc) - 0.5 AS auc_low
+    FROM evals
+    GROUP BY 1),
+t AS (
+    SELECT DISTINCT model_name || CASE WHEN run_id <= 2 THEN '_early' ELSE '_late' END AS family, model_name || '|' || run_id AS challenger
+    FROM evals)
+SELECT family, count(*) AS tests, count(*) FILTER (WHERE net_low > 0 AND auc_low >= -0.001) AS passed, min(net_low) AS worst_net_low,
+    CASE WHEN bool_and(coalesce(net_low > 0 AND auc_low >= -0.001, false)) THEN 1 ELSE 0 END AS confirmed
+FROM t LEFT JOIN w USING (challenger)
+GROUP BY 1""")
+def _(t):
+    e = t.staged("evals").withColumns({"challenger": F.concat_ws("|", "model_name", "run_id"), "comparison": F.lit("base")})
+    bounds = F.array(
+        F.struct(F.lit("net_residual_return").alias("metric"), F.col("selected_return_edge").alias("ci_2_5")),
+        F.struct(F.lit("auc").alias("metric"), (F.col("roc_auc") - 0.5).alias("ci_2_5")))
+    c = e.select("challenger", "comparison", F.explode(bounds).alias("x")).select("challenger", "comparison", "x.*")
+    family = F.concat("model_name", F.when(F.col("run_id") <= 2, "_early").otherwise("_late"))
+    return ru.family_registry(c, e.select(family.alias("family"), F.lit("removal").alias("test"), "challenger", "comparison").distinct())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.frames import clip, flag
 from tessella.functions.scalars import hash_id
-from tessella.operators import features, metrics, portfolio, screens, targets, tracking
+from tessella.operators import features, graph, metrics, portfolio, screens, targets, tracking
 from tessella.operators.splits import walk_forward
 from tessella.session import file_system, stage, work_dir
 
@@ -191,13 +191,27 @@ class Domain:
         return e.withColumn("is_champion", flag(F.row_number().over(best) == 1).cast("string"))
 
     def gscored(self) -> DataFrame:
-        """The slow model's rows with stand-ins for graph columns and a cluster id."""
+        """Scored rows of both models with their graph columns and a cluster id."""
         c = F.col
-        s = self.staged("scored").where(c("model") == "slow")
         cluster = self.symbols().select("ticker", F.when(c("nation") % 5 == 0, -1).otherwise(c("nation") % 5).alias("cluster"))
-        return s.join(cluster, "ticker").select(
-            "split", "date", "ticker", "probability", "label", c("future_return").alias("forward_return"), "ret_20d", "dollar_vol_20d_log",
-            c("drawdown_60d").alias("graph_similarity_mean"), (c("ret_20d") * c("ret_5d")).alias("neighbor_confirmation"), c("vol_20d").alias("graph_degree"), "cluster")
+        return self.staged("scored").join(cluster, "ticker").join(self.staged("gcols"), ["ticker", "date"]).select(
+            "model", "split", "date", "ticker", "probability", "label", c("future_return").alias("forward_return"), "ret_20d", "dollar_vol_20d_log",
+            "graph_similarity_mean", "neighbor_confirmation", "graph_degree", "cluster")
+
+    def train_tail(self) -> DataFrame:
+        """The last 1,600 dates before 2000."""
+        return targets.last_n_dates(self.staged("panel").where(F.col("date") < F.lit("2000-01-01").cast("date")), 1600)
+
+    def knn_edges(self) -> DataFrame:
+        return graph.knn_corr_graph(self.train_tail(), 8, 40, degree_at=0.10)[0]
+
+    def gcols(self) -> DataFrame:
+        """Graph columns of the panel from the training graph; 0 for entities without neighbours that day."""
+        p = graph.neighbor_features(self.staged("panel").select("ticker", "date", "ret_20d", "vol_20d"), self.staged("knn_edges"), ["ret_20d"], "plain")
+        p = features.interactions(p).select("ticker", "date", "graph_similarity_mean", "neighbor_confirmation", F.col("graph_degree").cast("double").alias("graph_degree"))
+        p = p.fillna(0.0, ["graph_similarity_mean", "neighbor_confirmation", "graph_degree"])
+        # nine digits, so that equal means tie whatever the order of their sums
+        return p.withColumns({c: F.round(c, 9) for c in ("graph_similarity_mean", "neighbor_confirmation")})
 
     def ret1d(self) -> DataFrame:
         return portfolio.one_day_residuals(self.prices(), self.staged("panel"))
