@@ -27,6 +27,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -179,10 +180,21 @@ def decode_segment(coder: Coder, data: bytes) -> Iterator[tuple[int, np.ndarray]
 # ---- tokens ------------------------------------------------------------------------------
 
 
+class _Numbers(dict):
+    """Keys to 0, 1, ... in order of appearance."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class LibraryTokens:
     """Ids by the tokenizers library.  Words never hold white space and are put in lower case,
     so the ids of a text are those of its lower-cased pieces between ASCII white space, unless
-    it holds a special string in capitals; frequent pieces are kept by the worker."""
+    it holds a special string in capitals; frequent pieces are kept by the worker.
+
+    The pieces of many texts are numbered first: each distinct one is looked up once, and the
+    ids of all texts are gathered from theirs by numpy."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -192,22 +204,37 @@ class LibraryTokens:
         self.tokenizer.no_padding()
         self.pieces: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[bytes], end: int) -> list[bytes]:
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        out = list(map(self.pieces.get, pieces))
+        new = [k for k, i in enumerate(out) if i is None]
+        found = self.tokenizer.encode_batch_fast([pieces[k].decode() for k in new], add_special_tokens=False)
+        room = _KEPT_PIECES - len(self.pieces)
+        for k, e in zip(new, found, strict=True):
+            out[k] = array("I", e.ids).tobytes()
+            if room > 0 and len(pieces[k]) <= 64:
+                self.pieces[pieces[k]] = out[k]
+                room -= 1
+        return out
+
+    def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, each followed by ``end``; ends of the texts)."""
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        new = list(set().union(*split).difference(self.pieces))
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-        fresh = {p: array("I", e.ids).tobytes() for p, e in zip(new, found, strict=True)}
-        room = max(0, _KEPT_PIECES - len(self.pieces))
-        self.pieces.update({p: fresh.pop(p) for p in new[:room] if len(p) <= 64})
-        tail = end.to_bytes(4, "little")
-        if not fresh:
-            return [b"".join([*map(self.pieces.__getitem__, pieces), tail]) for pieces in split]
-        return [b"".join([*(fresh[p] if i is None else i for p, i in zip(pieces, map(self.pieces.get, pieces), strict=True)), tail]) for pieces in split]
+        sizes = np.array([len(s) + 1 for s in split])
+        last = (None,)  # the piece that stands for the end of a text
+        numbers = _Numbers({None: 0})
+        number = np.fromiter(map(numbers.__getitem__, chain.from_iterable(chain(s, last) for s in split)), np.int32, int(sizes.sum()))
+        ids = [end.to_bytes(4, "little"), *self._ids(list(numbers)[1:])]
+        flat, length = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(length) - length
+        n = length[number]
+        upto = np.cumsum(n)
+        tokens = flat[np.repeat(start[number] - (upto - n), n) + np.arange(int(n.sum()))]
+        return tokens, upto[np.cumsum(sizes) - 1]
 
 
 def tokenise(docs: DataFrame, path: str, end: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(shard, doc_id, h, ids): ids of the whole texts with ``end`` appended, as bytes, in
-    ascending order inside and across shards."""
+    """(shard, doc_id, h, ids, counts): ids of the whole texts with ``end`` appended, as bytes, in
+    ascending order inside and across shards.  A task's last row holds the counts of its ids alone."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     ordered = source.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h")
     ordered = ordered.sortWithinPartitions("doc_id", "h", "text").select(F.spark_partition_id().alias("shard"), "doc_id", "h", "text")
@@ -217,29 +244,43 @@ def tokenise(docs: DataFrame, path: str, end: int, doc_id: str = "doc_id", text:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         library = worker_state(("library", path), lambda: LibraryTokens(path))
+        counts = np.zeros(0, np.int64)
+        names = ["shard", "doc_id", "h", "ids", "counts"]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = library.encode(list(text_bytes(part.column(3))), end)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(ids, pa.binary())], names=["shard", "doc_id", "h", "ids"])
+                tokens, ends = library.encode(list(text_bytes(part.column(3))), end)
+                counts = _added(counts, np.bincount(tokens))
+                offsets = pa.py_buffer(np.r_[0, 4 * ends].astype(np.int64).tobytes())
+                ids = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, offsets, pa.py_buffer(tokens.astype("<u4").tobytes())])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], ids.cast(pa.binary()), pa.nulls(len(ends), pa.binary())], names=names)
+        none = [pa.nulls(1, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=names)
+
+    return ordered.mapInArrow(run, "shard int, doc_id long, h long, ids binary, counts binary")
+
 
-    return ordered.mapInArrow(run, "shard int, doc_id long, h long, ids binary")
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum of two count vectors, the shorter one filled with zeros."""
+    if len(a) < len(b):
+        a, b = b.astype(np.int64), a
+    a[: len(b)] += b
+    return a
 
 
 def count_tokens(tokens: DataFrame) -> DataFrame:
-    """(token, n) over the whole corpus; tasks send at most one row per token."""
+    """(token, n) over the whole corpus, from the counts of all tasks."""
 
     def run(batches):
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"))
-            if len(got) > len(counts):
-                counts, got = got.astype(np.int64), counts
-            counts[: len(got)] += got
+            for row in batch.column(0).to_pylist():
+                counts = _added(counts, np.frombuffer(row, "<i8"))
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found], pa.int64())], names=["token", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    own = tokens.where("counts IS NOT NULL").select("counts")
+    return own.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 # ---- archives ----------------------------------------------------------------------------
@@ -247,7 +288,7 @@ def count_tokens(tokens: DataFrame) -> DataFrame:
 
 def write_archive(tokens: DataFrame, freq: np.ndarray, folder: str) -> DataFrame:
     """Write the files and return the index: one row per segment, in a committed table."""
-    rows = tokens.select("shard", "doc_id", "h", "ids")
+    rows = tokens.where("counts IS NULL").select("shard", "doc_id", "h", "ids")
     table = freq.tobytes()
 
     def run(batches):
