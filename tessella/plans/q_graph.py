@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessella.operators import features as ft
 from tessella.operators import graph as gr
 from tessella.operators import sets as st
+from tessella.operators import temporal as tp
 from tessella.plans.registry import query
 from tessella.session import stage
 
@@ -89,6 +90,147 @@ def _(t):
     return gr.knn_corr_graph(t.train_tail(), 8, 40, "standardized")[0]
 
 
+# The graph of every one of the last 40 dates, each window correlated anew.
+FRAMES, LOOKBACK, LEAST = 40, 504, 20
+TEMPORAL_SQL = f"""dy AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM panel)),
+fr AS (SELECT date, i FROM dy ORDER BY i DESC LIMIT {FRAMES}),
+pt AS (SELECT ticker, dy.i, ret_1d, ret_20d FROM panel JOIN dy USING (date)),
+wc AS (
+    SELECT fr.i, a.ticker, b.ticker AS neighbor, count(*) AS n,
+        CASE WHEN stddev_pop(a.ret_1d) > 0 AND stddev_pop(b.ret_1d) > 0 THEN corr(a.ret_1d, b.ret_1d) END AS c
+    FROM fr JOIN pt a ON a.i > fr.i - {LOOKBACK} AND a.i <= fr.i
+        JOIN pt b ON b.i = a.i AND a.ticker <> b.ticker
+    WHERE a.ret_1d IS NOT NULL AND b.ret_1d IS NOT NULL
+    GROUP BY 1, 2, 3),
+ps AS (SELECT * FROM wc WHERE n >= {LEAST} AND c > 0),
+dg AS (SELECT i, ticker, count(*) AS degree FROM ps WHERE c >= 0.15 GROUP BY 1, 2),
+bk AS (SELECT * FROM ps QUALIFY row_number() OVER (PARTITION BY i, ticker ORDER BY c DESC, neighbor) <= 8),
+nb AS (
+    SELECT bk.i, bk.ticker, avg(c) AS s, sum(c * ret_20d) / sum(c) AS r
+    FROM bk JOIN pt ON pt.i = bk.i AND pt.ticker = bk.neighbor
+    WHERE ret_20d IS NOT NULL
+    GROUP BY 1, 2),
+tg AS (
+    SELECT p.*, coalesce(degree, 0) AS graph_degree, coalesce(s, 0) AS graph_similarity_mean, r AS neighbor_ret_20d, r - p.ret_20d AS neighbor_divergence
+    FROM panel p JOIN fr USING (date) LEFT JOIN dg ON dg.i = fr.i AND dg.ticker = p.ticker LEFT JOIN nb ON nb.i = fr.i AND nb.ticker = p.ticker)"""
+
+
+def temporal(t):
+    from tessella.operators.targets import last_n_dates
+
+    p = t.staged("panel")
+    frames = last_n_dates(p.select("date"), FRAMES).distinct()
+    return tp.temporal_graph(p, frames, LOOKBACK, 8, LEAST, degree_at=0.15)
+
+
+@query("G03_temporal_graph", "ticker date:d graph_degree:i graph_similarity_mean:r neighbor_ret_20d:r neighbor_divergence:r",
+       f"WITH {TEMPORAL_SQL} SELECT * FROM tg", digits=5)
+def _(t):
+    return temporal(t)
+
+
+LATENT_COLS = ("ret_5d", "ret_20d", "ret_60d", "vol_20d", "vol_60d", "drawdown_60d", "dollar_vol_20d_log",
+               "graph_degree", "graph_similarity_mean", "neighbor_ret_20d", "neighbor_divergence")
+
+
+def latent(t):
+    axes, found = tp.latent_axes(stage(temporal(t)), LATENT_COLS)
+    return stage(axes), found
+
+
+# Robust columns, their covariance, and its axes by squaring the matrix until one direction is left;
+# the next axis comes from the matrix without the ones before.
+def _power_sql(name, source, squarings=14):
+    return f"""{name}_p AS (
+    SELECT 0 AS step, i, j, v / (SELECT sum(v) FROM {source} WHERE i = j) AS v FROM {source}
+    UNION ALL
+    SELECT step, i, j, v / sum(CASE WHEN i = j THEN v END) OVER () AS v
+    FROM (
+        SELECT a.step + 1 AS step, a.i, b.j, sum(a.v * b.v) AS v
+        FROM {name}_p a JOIN {name}_p b ON a.j = b.i
+        WHERE a.step < {squarings}
+        GROUP BY 1, 2, 3)),
+{name}_c AS (SELECT i, v FROM {name}_p WHERE step = {squarings} AND j = (SELECT j FROM {name}_p WHERE step = {squarings} AND i = j ORDER BY v DESC LIMIT 1)),
+{name}_n AS (SELECT i, v / sqrt(sum(v * v) OVER ()) AS v FROM {name}_c),
+{name} AS (SELECT i, CASE WHEN arg_max(v, abs(v)) OVER () < 0 THEN -v ELSE v END AS v FROM {name}_n),
+{name}_l AS (SELECT sum(s.v * a.v * b.v) AS l FROM {source} s JOIN {name} a ON a.i = s.i JOIN {name} b ON b.i = s.j),
+{name}_d AS (SELECT s.i, s.j, s.v - l * a.v * b.v AS v FROM {source} s JOIN {name} a ON a.i = s.i JOIN {name} b ON b.i = s.j, {name}_l)"""
+
+
+_LONG = " UNION ALL ".join(f"SELECT ticker, date, '{c}' AS m, CAST({c} AS DOUBLE) AS v FROM tg" for c in LATENT_COLS)
+LATENT_SQL = f"""{TEMPORAL_SQL},
+lg AS ({_LONG}),
+md AS (SELECT date, m, median(v) AS med, stddev_samp(v) AS sd FROM lg GROUP BY 1, 2),
+ma AS (SELECT date, m, any_value(med) AS med, any_value(sd) AS sd, 1.4826 * median(abs(v - med)) AS mad FROM lg JOIN md USING (date, m) WHERE v IS NOT NULL GROUP BY 1, 2),
+zs AS (
+    SELECT ticker, date, m AS i,
+        CASE WHEN v IS NOT NULL AND sc IS NOT NULL THEN greatest(-4, least(4, (v - med) / sc)) ELSE 0 END AS z
+    FROM (SELECT *, CASE WHEN mad >= 1e-9 THEN mad WHEN sd >= 1e-9 THEN sd END AS sc FROM lg LEFT JOIN ma USING (date, m))),
+mu AS (SELECT i, avg(z) AS mu FROM zs GROUP BY 1),
+zc AS (SELECT ticker, date, i, z - mu AS z FROM zs JOIN mu USING (i)),
+cv AS (SELECT a.i, b.i AS j, sum(a.z * b.z) / (count(*) - 1) AS v FROM zc a JOIN zc b USING (ticker, date) GROUP BY 1, 2),
+{_power_sql("ax", "cv")},
+{_power_sql("ay", "ax_d")},
+{_power_sql("az", "ay_d")},
+la AS (
+    SELECT ticker, date, sum(z * ax.v) AS latent_x, sum(z * ay.v) AS latent_y, sum(z * az.v) AS latent_z
+    FROM zc JOIN ax USING (i) JOIN ay USING (i) JOIN az USING (i)
+    GROUP BY 1, 2)"""
+
+
+@query("G13_latent_axes", "ticker date:d latent_x:r latent_y:r latent_z:r", f"WITH RECURSIVE {LATENT_SQL} SELECT * FROM la", digits=4)
+def _(t):
+    return latent(t)[0]
+
+
+@query("G13_latent_residuals", "axis:i variance:r explained:r small_residual:i", f"""
+WITH RECURSIVE {LATENT_SQL}, t AS (SELECT sum(v) AS t FROM cv WHERE i = j)
+SELECT axis, l AS variance, l / t AS explained, 1 AS small_residual
+FROM (SELECT 1 AS axis, l FROM ax_l UNION ALL SELECT 2, l FROM ay_l UNION ALL SELECT 3, l FROM az_l), t""")
+def _(t):
+    found = latent(t)[1]
+    rows = [(k + 1, float(v), float(e), int(r <= 1e-9 * max(1.0, float(found.variances[0])))) for k, (v, e, r) in enumerate(zip(found.variances, found.explained, found.residuals))]
+    return t.spark.createDataFrame(rows, "axis int, variance double, explained double, small_residual int")
+
+
+def states(t):
+    rows, cost = tp.latent_states(latent(t)[0], 6)
+    costs = F.create_map(*[F.lit(x) for s, c in cost.items() for x in (s, c)])
+    return rows.withColumn("objectives", costs)
+
+
+@query("G14_latent_states", "ticker date:d state_cluster:i state_distance2:r best_start:i objective:r worst_objective:r")
+def _(t):
+    c = F.map_values("objectives")
+    return states(t).withColumns({"objective": F.array_min(c), "worst_objective": F.array_max(c), "best_start": F.array_position(c, F.array_min(c)) - 1})
+
+
+@query("E27_latent_motion", "ticker date:d latent_velocity:r latent_acceleration:r latent_path_curvature:r latent_radius:r latent_radial_expansion:r neighbor_convergence_velocity:r", f"""
+WITH RECURSIVE {LATENT_SQL},
+d AS (
+    SELECT la.*, abs(neighbor_divergence) AS gap,
+        latent_x - lag(latent_x) OVER w AS dx, latent_y - lag(latent_y) OVER w AS dy, latent_z - lag(latent_z) OVER w AS dz
+    FROM la JOIN tg USING (ticker, date) WINDOW w AS (PARTITION BY la.ticker ORDER BY la.date)),
+v AS (
+    SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS latent_velocity, sqrt(latent_x * latent_x + latent_y * latent_y + latent_z * latent_z) AS latent_radius,
+        dx * lag(dx) OVER w + dy * lag(dy) OVER w + dz * lag(dz) OVER w AS dot
+    FROM d WINDOW w AS (PARTITION BY ticker ORDER BY date))
+SELECT ticker, date, latent_velocity, latent_velocity - lag(latent_velocity) OVER w AS latent_acceleration,
+    CASE WHEN latent_velocity * lag(latent_velocity) OVER w > 1e-12
+        THEN degrees(acos(greatest(-1, least(1, dot / (latent_velocity * lag(latent_velocity) OVER w))))) ELSE 0 END AS latent_path_curvature,
+    latent_radius, latent_radius - lag(latent_radius) OVER w AS latent_radial_expansion, -(gap - lag(gap) OVER w) AS neighbor_convergence_velocity
+FROM v WINDOW w AS (PARTITION BY ticker ORDER BY date)""", digits=3)
+def _(t):
+    names = {"velocity": "latent_velocity", "acceleration": "latent_acceleration", "curvature_deg": "latent_path_curvature", "radius": "latent_radius", "radial_expansion": "latent_radial_expansion"}
+    return ft.motion(latent(t)[0], tp.LATENT, "neighbor_divergence").withColumnsRenamed(names)
+
+
+@query("E28_latent_states", "ticker date:d state_cluster:i graph_cluster_switch_count_20d:i graph_regime_residence_days:i crowding_change_5d:i")
+def _(t):
+    out = ft.state_runs(stage(states(t)), "state_cluster", crowding="graph_degree")
+    return out.withColumnsRenamed({"state_switches": "graph_cluster_switch_count_20d", "residence_length": "graph_regime_residence_days", "crowding_change": "crowding_change_5d"})
+
+
 @query("G04_neighbor_weighted", "ticker date:d neighbor_ret_20d:r neighbor_vol_20d:r divergence_ret_20d:r",
        f"""WITH {KNN_SQL}, n AS (SELECT e.ticker, p.date, sum(weight * ret_20d) / sum(weight) AS r, sum(weight * vol_20d) / sum(weight) AS v FROM edges e JOIN panel p ON p.ticker = e.neighbor GROUP BY 1, 2)
        SELECT p.ticker, p.date, coalesce(r, 0) AS neighbor_ret_20d, coalesce(v, 0) AS neighbor_vol_20d, coalesce(r, 0) - ret_20d AS divergence_ret_20d FROM panel p LEFT JOIN n ON n.ticker = p.ticker AND n.date = p.date""", digits=5)
