@@ -6,13 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.frames import clip
 from tessella.functions.scalars import logit
+from tessella.operators.isotonic import interpolate, isotonic_pools
 from tessella.session import stage
 
 EPS = 1e-6
@@ -117,10 +116,8 @@ def calibration_regression(df: DataFrame, by: Sequence[str], prob: str = "probab
 
 
 def calibrate_isotonic(fit: DataFrame, apply: DataFrame, prob: str = "probability", label: str = "label", out: str = "calibrated") -> DataFrame:
-    """Isotonic regression, clipped away from 0 and 1; equal probabilities are merged before the fit."""
-    d = fit.groupBy(F.col(prob).cast("double").alias("p")).agg(F.avg(F.col(label).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-    m = IsotonicRegression(featuresCol="features", labelCol="label", weightCol="weight", predictionCol="iso").fit(stage(d.withColumn("features", array_to_vector(F.array("p"))).select("features", "label", "weight")))
-    return m.transform(apply.withColumn("features", array_to_vector(F.array(F.col(prob).cast("double"))))).withColumn(out, clip("iso", EPS, 1 - EPS)).drop("features", "iso")
+    """Isotonic regression, linear between its pools, clipped away from 0 and 1."""
+    return interpolate(apply, isotonic_pools(fit, prob, label), prob, "_iso").withColumn(out, clip("_iso", EPS, 1 - EPS)).drop("_iso")
 
 
 def _scaled(kind: str, prob: str, param: Column, prior: Column) -> Column:

@@ -299,7 +299,29 @@ def _(t):
     return cb.calibrate_logistic(*halves(t), form="beta", by=["model"])
 
 
-@query("O02_isotonic", "model ticker date:d probability:r calibrated:r", digits=4)
+# The largest of the smallest means: max over starts of min over ends of the mean of what lies between.
+@query("O02_isotonic", "model ticker date:d probability:r calibrated:r", """
+WITH x AS (
+    SELECT model, probability AS p, sum(label)::DOUBLE AS s, count(*)::DOUBLE AS w
+    FROM scored
+    WHERE split <= 3
+    GROUP BY 1, 2),
+c AS (
+    SELECT model, p, row_number() OVER o AS i, sum(s) OVER o AS cs, sum(w) OVER o AS cw, s, w
+    FROM x WINDOW o AS (PARTITION BY model ORDER BY p ROWS UNBOUNDED PRECEDING)),
+m AS (
+    SELECT j.model, k.i, min((k.cs - j.cs + j.s) / (k.cw - j.cw + j.w)) OVER (PARTITION BY j.model, j.i ORDER BY k.i DESC) AS low
+    FROM c j JOIN c k ON j.model = k.model AND j.i <= k.i),
+v AS (SELECT c.model, c.p, max(low) AS v FROM m JOIN c USING (model, i) GROUP BY 1, 2),
+a AS (
+    SELECT q.*, v.p AS p0, v.v AS v0
+    FROM (SELECT * FROM scored WHERE split > 3) q ASOF LEFT JOIN v ON q.model = v.model AND q.probability >= v.p),
+b AS (
+    SELECT a.*, v.p AS p1, v.v AS v1
+    FROM a ASOF LEFT JOIN v ON a.model = v.model AND a.probability <= v.p)
+SELECT model, ticker, date, probability, greatest(1e-6, least(1 - 1e-6,
+    CASE WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL OR p0 = p1 THEN v0 ELSE v0 + (v1 - v0) * (probability - p0) / (p1 - p0) END)) AS calibrated
+FROM b""", digits=4)
 def _(t):
     return per_model(t, cb.calibrate_isotonic)
 
