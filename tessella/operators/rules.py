@@ -28,6 +28,24 @@ def candidate_ranks(summary: DataFrame, weights: Mapping[str, tuple[float, bool]
     return summary.withColumn("selection_score", score)
 
 
+# Weight of every metric of the motion selection, and whether high is good.
+MOTION = {"auc": (0.35, True), "brier": (0.25, False), "ece_10": (0.15, False), "mean_excess_return": (0.25, True)}
+
+
+def motion_selection(rows: DataFrame, by: Sequence[str], weights: Mapping[str, tuple[float, bool]] = MOTION) -> DataFrame:
+    """Mean of every metric per candidate, its percentile rank (the best one highest, ties shared)
+    and ``selection_score``, the weighted sum of the ranks.
+
+    Means that agree to twelve digits tie, whatever the order of their sums."""
+    from tessella.functions.ranking import pct_ranks
+    from tessella.session import stage
+
+    means = stage(rows.groupBy(*by).agg(*[F.round(F.avg(m), 12).alias(f"{m}_mean") for m in weights]))
+    falling = [f"{m}_mean" for m, (_, high) in weights.items() if not high]
+    out = pct_ranks(means, by, [], {f"{m}_mean": f"{m}_rank" for m in weights}, falling)
+    return out.withColumn("selection_score", sum((w * F.col(f"{m}_rank") for m, (w, _) in weights.items()), F.lit(0.0)))
+
+
 def positive_share(c: str) -> Column:
     return F.avg(flag(F.col(c) > 0))
 

@@ -189,6 +189,31 @@ def _(t):
     return sk.load_snapshot(runs, new, "2001-02")
 
 
+@query("A18_listed_symbols", "source symbol security_name exchange etf test_issue financial_status", """
+SELECT 'nasdaqlisted' AS source, 'S' || s_suppkey AS symbol, s_name AS security_name, 'Q' AS exchange,
+    CASE WHEN s_nationkey % 4 = 0 THEN 'Y' ELSE 'N' END AS etf, CASE WHEN s_acctbal < 0 THEN 'Y' ELSE 'N' END AS test_issue, 'D' AS financial_status
+FROM supplier
+WHERE s_nationkey % 2 = 0
+UNION ALL
+SELECT 'otherlisted', 'S' || s_suppkey, s_name, CASE WHEN s_nationkey % 3 = 0 THEN 'N' ELSE 'A' END,
+    CASE WHEN s_nationkey % 5 = 0 THEN 'Y' ELSE 'N' END, CASE WHEN s_acctbal < 0 THEN 'Y' ELSE 'N' END, ''
+FROM supplier
+WHERE s_nationkey % 2 = 1""")
+def _(t):
+    s = t.table("supplier")
+    flag_of = lambda c: F.when(c, "Y").otherwise("N")
+    nation, symbol, test = F.col("s_nationkey"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")), flag_of(F.col("s_acctbal") < 0)
+
+    def lines(rows, layout, cells):
+        body = rows.select(F.concat_ws("|", *cells).alias("value"))
+        ends = [("|".join(rd.LISTED_COLUMNS[layout]),), ("File Creation Time: 0101200121:30|||||||",)]
+        return rd.listed_symbols(body.unionByName(t.spark.createDataFrame(ends, "value string")), layout)
+
+    n = lines(s.where(nation % 2 == 0), "nasdaqlisted", [symbol, F.concat(F.lit(" "), "s_name"), F.lit("G"), test, F.lit("D"), F.lit("100"), flag_of(nation % 4 == 0), F.lit("N")])
+    o = lines(s.where(nation % 2 == 1), "otherlisted", [symbol, "s_name", F.when(nation % 3 == 0, "N").otherwise("A"), symbol, flag_of(nation % 5 == 0), F.lit("100"), test, symbol])
+    return n.unionByName(o)
+
+
 @query("A19_clean_pairs", "A B similarity:r winner",
        """WITH p AS (SELECT 'S' || l_suppkey AS "A", 'S' || (l_partkey % 100) AS "B", l_discount AS similarity, CAST(l_orderkey AS BIGINT) * 10 + l_linenumber AS seq, l_shipdate AS sd FROM lineitem)
        SELECT * FROM (SELECT "A", "B", similarity, "A" AS winner, row_number() OVER (PARTITION BY "A", "B" ORDER BY seq, similarity) AS k FROM p WHERE "A" <> "B") WHERE k = 1""")

@@ -168,6 +168,35 @@ def _(t):
     return pct_rank(e, [], "roc_auc", "_p").withColumn("motion_score", F.col("_p") * 0.35)
 
 
+@query("F05_motion_selection", "model_name horizon_days:i auc_mean:r ece_10_mean:r auc_rank:r brier_rank:r ece_10_rank:r mean_excess_return_rank:r selection_score:r", """
+WITH b AS (
+    SELECT run_id, horizon_days, model_name, least(9, floor(probability_up * 10)) AS bin, count(*) AS n, abs(avg(probability_up) - avg(label)) AS gap
+    FROM preds
+    GROUP BY 1, 2, 3, 4),
+c AS (SELECT run_id, horizon_days, model_name, sum(n * gap) / sum(n) AS ece FROM b GROUP BY 1, 2, 3),
+m AS (
+    SELECT model_name, horizon_days, round(avg(roc_auc), 12) AS auc_mean, round(avg(brier), 12) AS brier_mean,
+        round(avg(ece), 12) AS ece_10_mean, round(avg(selected_return_edge), 12) AS excess_mean
+    FROM evals JOIN c USING (run_id, horizon_days, model_name)
+    GROUP BY 1, 2),
+r AS (
+    SELECT *,
+        (rank() OVER (ORDER BY auc_mean) + (count(*) OVER (PARTITION BY auc_mean) - 1) / 2.0) / count(*) OVER () AS auc_rank,
+        (rank() OVER (ORDER BY brier_mean DESC) + (count(*) OVER (PARTITION BY brier_mean) - 1) / 2.0) / count(*) OVER () AS brier_rank,
+        (rank() OVER (ORDER BY ece_10_mean DESC) + (count(*) OVER (PARTITION BY ece_10_mean) - 1) / 2.0) / count(*) OVER () AS ece_10_rank,
+        (rank() OVER (ORDER BY excess_mean) + (count(*) OVER (PARTITION BY excess_mean) - 1) / 2.0) / count(*) OVER () AS mean_excess_return_rank
+    FROM m)
+SELECT *, 0.35 * auc_rank + 0.25 * brier_rank + 0.15 * ece_10_rank + 0.25 * mean_excess_return_rank AS selection_score
+FROM r""", digits=5)
+def _(t):
+    from tessella.operators import metrics as mt
+
+    keys = ["run_id", "horizon_days", "model_name"]
+    ece = mt.ece(t.staged("preds"), keys, "probability_up", "label").select(*keys, F.col("ece").alias("ece_10"))
+    rows = t.staged("evals").join(ece, keys).withColumns({"auc": F.col("roc_auc"), "mean_excess_return": F.col("selected_return_edge")})
+    return ru.motion_selection(rows, ["model_name", "horizon_days"])
+
+
 @query("F06_diversified_top_k", "date:d ticker cluster:i score:r pick:i",
        """WITH s AS (SELECT p.date, p.ticker, p.ret_20d AS score, CASE WHEN nation % 5 = 0 THEN -1 ELSE nation % 5 END AS cluster FROM panel p JOIN symbols USING (ticker)),
        c AS (SELECT *, CASE WHEN cluster >= 0 AND row_number() OVER (PARTITION BY date, cluster ORDER BY score DESC, ticker) > 2 THEN 1 ELSE 0 END AS over FROM s)

@@ -109,6 +109,28 @@ def read_pipe(spark: SparkSession, path: str, columns: Sequence[str], symbol: st
     return parse_pipe(spark.read.text(path), columns, symbol)
 
 
+# The columns of the two layouts of listed symbols, and where a common column comes from.
+LISTED_COLUMNS = {
+    "nasdaqlisted": ("Symbol", "Security Name", "Market Category", "Test Issue", "Financial Status", "Round Lot Size", "ETF", "NextShares"),
+    "otherlisted": ("ACT Symbol", "Security Name", "Exchange", "CQS Symbol", "ETF", "Round Lot Size", "Test Issue", "NASDAQ Symbol"),
+}
+LISTED_EXCHANGE = {"nasdaqlisted": "Q"}
+
+
+def listed_symbols(lines: DataFrame, layout: str) -> DataFrame:
+    """(source, symbol, security_name, exchange, etf, test_issue, financial_status, raw) of a directory
+    of listed symbols in either layout; columns that a layout lacks are empty, ``raw`` is the whole
+    line as JSON with sorted names."""
+    names = LISTED_COLUMNS[layout]
+    rows = parse_pipe(lines, names, names[0])
+    of = lambda c: F.col(f"`{c}`") if c in names else F.lit("")
+    exchange = F.lit(LISTED_EXCHANGE[layout]) if layout in LISTED_EXCHANGE else of("Exchange")
+    raw = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(names)]))
+    return rows.select(
+        F.lit(layout).alias("source"), F.col(f"`{names[0]}`").alias("symbol"), of("Security Name").alias("security_name"), exchange.alias("exchange"),
+        of("ETF").alias("etf"), of("Test Issue").alias("test_issue"), of("Financial Status").alias("financial_status"), raw.alias("raw"))
+
+
 def flatten_profiles(df: DataFrame, payload: str) -> DataFrame:
     """Sector and industry per ticker from a profile list or a ticker-keyed map, with the
     document's first as-of field."""
