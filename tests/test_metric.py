@@ -107,3 +107,17 @@ def test_few_pairs_of_complete_profiles_are_formed(spark):
     assert own.count() == 1200 and pairs.count() < n * (n + 1) / 2 / 3
     _, near = blocks.tile_pairs(df, 32, blocks.radius_of(0.0), 3)
     assert near.count() < n * (n + 1) / 2 / 3
+
+
+def test_spans_of_many_tiles_bound_the_copies_and_lose_nothing(spark):
+    rows, df = profiles(spark, 150, gaps=150)
+    sent = blocks._met_spans(df, 4, blocks.radius_of(0.8)).where("ticker IS NOT NULL").groupBy("ticker").count().agg({"count": "max"}).first()[0]
+    assert sent <= blocks.SPANS + 1  # a copy per tile before: 38
+    want = correlations(rows)
+    got = {(r.a, r.b): r.similarity for r in blocks.similar_pairs(df, 10, 0.8, 0.95, tile=4).collect()}
+    assert got.keys() == {p for p, c in want.items() if 0.8 <= c < 0.95} and got
+    near = blocks.nearest(df, 2, 10, 0.8, hi=0.95, tile=4).collect()
+    both = {**want, **{(b, a): c for (a, b), c in want.items()}}
+    for t in {r[1] for r in rows}:
+        mine = sorted((-c, b) for (a, b), c in both.items() if a == t and 0.8 <= c < 0.95)[:2]
+        assert [b for _, b in sorted((-r.similarity, r.neighbor) for r in near if r.ticker == t)[:2]] == [b for _, b in mine]
