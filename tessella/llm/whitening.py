@@ -147,7 +147,7 @@ def moments(fit: DataFrame, dims: int) -> Moments:
 
     rows = fit.select("x").mapInArrow(second, "i int, products array<double>").select("i", F.posexplode("products").alias("j", "p"))
     cov = np.zeros((dims, dims), np.longdouble)
-    for i, j, p in rows.groupBy("i", "j").agg(F.sum("p").alias("p")).toPandas().itertuples(index=False):
+    for i, j, p in rows.groupBy("i", "j").agg(F.sum("p").alias("p")).collect():
         cov[i, j] = p
     left = np.array([float(Fraction(s, n) - int(c)) for s, c in zip(sums, centre, strict=True)], np.longdouble)
     return Moments(n, sums, cov / n - np.outer(left, left))
