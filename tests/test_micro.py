@@ -197,6 +197,28 @@ def test_driver_text(spark):
     assert df.select(sc.driver_text("x", False).alias("t")).first()["t"] == "b (-0.25)"
 
 
+def test_driver_text_rounds_the_exact_value(spark):
+    values = [1.005, 0.125, 0.375, -0.005, 0.145, 2.675, -1.115, 8.345, 0.015, 12.34, 123.455]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", sc.driver_text(F.array(F.struct(F.col("v").alias("value"), F.lit("x").alias("name"))), True).alias("up"),
+                                                                         sc.driver_text(F.array(F.struct(F.col("v").alias("value"), F.lit("x").alias("name"))), False).alias("down"))
+    assert {r.v: r.up or r.down for r in df.collect()} == {v: f"x ({v:+.2f})" for v in values}
+
+
+def test_champion_rows_of_equal_rank_and_ticker_go_by_date(spark):
+    from tessella.operators import clean
+    df = spark.createDataFrame([(D(i), "a", 5, "slow", 1) for i in range(9, -1, -1)], "as_of_date date, ticker string, horizon_days int, model_name string, model_rank int")
+    got = clean.flag_champions(df, df.limit(1).select("horizon_days", "model_name"), 3).collect()
+    assert sorted(r.as_of_date for r in got) == sorted(r[0] for r in spark.createDataFrame([(D(i),) for i in range(3)], "d date").collect())
+
+
+def test_liquidity_and_residual_ranks_tie_whatever_the_order_of_sums(spark):
+    df = spark.createDataFrame([(D(0), t, v, r, "s") for t, v, r in (("b", 5.0 + 1e-15 * 8, .3), ("a", 5.0, .1 + .2), ("c", 4.0, .1))],
+                               "date date, ticker string, dollar_vol_20d_log double, future_return double, sector string")
+    assert {r.ticker: r.liquidity_rank for r in xs.top_liquidity(df, 3).collect()} == {"a": 1, "b": 2, "c": 3}
+    ranks = {r.ticker: r.primary_residual_rank_pct for r in xs.residual_targets(df).collect()}
+    assert ranks["a"] == ranks["b"]
+
+
 def test_components_chain_hub_and_pair(spark):
     edges = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)] + [("hub", f"leaf{i}") for i in range(50)] + [("x", "y")]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a string, b string")).collect()}
