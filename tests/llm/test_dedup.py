@@ -179,6 +179,30 @@ def test_variants_of_several_documents_each_are_one_passage(spark):
         assert sorted(got) == [1, 2, 3, 4] and [d for d, r in got.items() if not r] == [1]
 
 
+def test_variants_of_variants_are_one_component(spark):
+    """Documents 1 and 2 are similar to 3 only, not to each other: one passage, of which 1 keeps its copy."""
+    rng = random.Random(22)
+    b = [f"w{rng.random()}" for _ in range(50)]
+    a, c = list(b), list(b)
+    a[20], c[35] = "changed", "changed"
+    p, q = shingles(" ".join(a)), shingles(" ".join(c))
+    assert 100 * len(p & q) < 80 * len(p | q)
+    rows = [(1, " ".join(c)), (2, " ".join(a)), (3, " ".join(b))]
+    got = {r.doc_id: r.removed for r in paragraphs.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted(got) == [1, 2, 3] and [d for d, r in got.items() if not r] == [1]
+
+
+def test_tile_forest_links_equal_starts_only():
+    rng = np.random.default_rng(4)
+    text = rng.integers(0, 1 << 60, 200)
+    sets = [text[0:46], text[3:49], np.r_[text[0:20], -np.arange(1, 4), text[23:46]], np.r_[text[0:30], -9, text[30:45]]]
+    near = paragraphs.similar(sets, 80)
+    h, doc, span = np.arange(4), np.array([1, 1, 2, 3]), np.array([0 << 32 | 50, 3 << 32 | 53, 0 << 32 | 50, 0 << 32 | 50])
+    assert near[0].all() and near[0, 1]
+    links = {frozenset(e) for e in paragraphs.tile_forest(near, h, doc, span, sets)}
+    assert links == {frozenset({0, 2}), frozenset({0, 3})}
+
+
 def test_passages_inside_sentences(spark):
     """51 to 60 words at any word of sentences without end, in two documents each."""
     rng = random.Random(31)
