@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from tessella.operators import blocks, metric
+from tessella.operators import blocks, graph, metric
 
 
 def clustered(spark, n=1500, dims=6, clusters=12, seed=0, equal=0):
@@ -121,3 +121,26 @@ def test_spans_of_many_tiles_bound_the_copies_and_lose_nothing(spark):
     for t in {r[1] for r in rows}:
         mine = sorted((-c, b) for (a, b), c in both.items() if a == t and 0.8 <= c < 0.95)[:2]
         assert [b for _, b in sorted((-r.similarity, r.neighbor) for r in near if r.ticker == t)[:2]] == [b for _, b in mine]
+
+
+def test_spectral_of_a_long_path_in_few_rounds(spark, monkeypatch):
+    """Values within 1e-3 of each other; plain products need thousands of rounds."""
+    n, seen = 80, []
+    real = graph.stage
+
+    def counted(df, *a):
+        seen.append(df)
+        assert len(seen) <= 60
+        return real(df, *a)
+
+    monkeypatch.setattr(graph, "stage", counted)
+    rows = [(f"t{i:04d}", f"t{j:04d}", 1.0) for i in range(n) for j in (i - 1, i + 1) if 0 <= j < n]
+    got = sorted(graph.spectral(spark.createDataFrame(rows, "ticker string, neighbor string, weight double"), 3, 1e-6).collect())
+    a = np.zeros((n, n))
+    for x, y, w in rows:
+        a[int(x[1:]), int(y[1:])] = w
+    d = a.sum(1) ** -0.5
+    vectors = np.linalg.eigh(d[:, None] * a * d)[1][:, ::-1]
+    for k, c in enumerate(("graph_x", "graph_y", "graph_z"), 1):
+        assert abs(np.corrcoef([r[c] for r in got], vectors[:, k])[0, 1]) > 0.999
+    assert max(got[0].residual_x, got[0].residual_y, got[0].residual_z) <= 1e-6
