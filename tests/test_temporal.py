@@ -64,6 +64,16 @@ def test_graph_of_every_date_equals_brute_force(spark, tile, chunk):
             assert g.neighbor_ret_20d is None
 
 
+def test_rows_list_their_best_once_whatever_the_tiles(spark, monkeypatch):
+    _, df = panel(spark)
+    frames = df.select("date").distinct().orderBy(F.desc("date")).limit(5)
+    found, real = [], tp.stage
+    monkeypatch.setattr(tp, "stage", lambda d, *a: found.append(real(d, *a)) or found[-1])
+    tp.temporal_graph(df, frames, 30, 3, 12, degree_at=0.5, tile=2)
+    listed = next(d for d in found if "neighbor" in d.columns).where("neighbor IS NOT NULL")
+    assert 0 < listed.groupBy("i", "ticker").count().agg(F.max("count")).first()[0] <= 3
+
+
 def test_axes_and_the_best_of_several_starts(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 4)) @ np.diag([3, 2, 1, 0.1])
