@@ -5,6 +5,9 @@ import math
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from tessella.functions import ranking
 from tessella.operators import blocks, graph, metric
 
 
@@ -144,3 +147,20 @@ def test_spectral_of_a_long_path_in_few_rounds(spark, monkeypatch):
     for k, c in enumerate(("graph_x", "graph_y", "graph_z"), 1):
         assert abs(np.corrcoef([r[c] for r in got], vectors[:, k])[0, 1]) > 0.999
     assert max(got[0].residual_x, got[0].residual_y, got[0].residual_z) <= 1e-6
+
+
+def test_points_list_their_best_once_and_equal_sets_are_searched_once(spark, monkeypatch):
+    x, refs = clustered(spark, 300, clusters=3)
+    seen, real = [], blocks.nearest_points
+    monkeypatch.setattr(blocks, "nearest_points", lambda *a, **o: seen.append(a) or real(*a, **o))
+    test = refs.select(F.col("ref").alias("id"), "x", F.lit(0.5).alias("p"))
+    one = graph.knn_adjust(test, refs, 5, same=True).select("id", "consensus", "confidence").collect()
+    assert len(seen) == 1
+    two = graph.knn_adjust(test, refs, 5, skip_self=True).select("id", "consensus", "confidence").collect()
+    assert sorted(one) == sorted(two) and len(one) == 300
+    found, first = [], ranking.first_rows
+    monkeypatch.setattr(ranking, "first_rows", lambda df, *a: found.append(df) or first(df, *a))
+    got = real(refs.select(F.col("ref").alias("id"), "x"), refs, 5, tile=8, skip_self=True).collect()
+    assert found[0].groupBy("id").count().agg(F.max("count")).first()[0] <= 5
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) + np.diag(np.full(300, np.inf))
+    assert {(r.id, r.ref) for r in got} == {(f"p{i:05d}", f"p{j:05d}") for i in range(300) for j in np.argsort(d[i])[:5]}
