@@ -112,3 +112,12 @@ def stable_rank(df: DataFrame, value: str, key: str, out: str, by: Sequence[str]
     inside = F.row_number().over(Window.partitionBy(*by, value).orderBy(key))
     above = F.col("_r_total") - F.col("_r_below") - F.col("_r_ties")
     return j.withColumn(out, above + inside).drop("_r_below", "_r_ties", "_r_total")
+
+
+def first_others(df: DataFrame, by: str, key: str, order: Sequence[Column], k: int, out: str) -> DataFrame:
+    """(key, out): the first ``k`` others of every row's group, without pairing the group.
+
+    They are among the first ``k + 1`` of the group."""
+    head = first_rows(df, [by], order, k + 1, "_place").select(by, F.col(key).alias(out), "_place")
+    pairs = df.select(by, key).join(head, by).where(F.col(key) != F.col(out))
+    return first_rows(pairs, [key], [F.asc("_place")], k, "_k").select(key, out)

@@ -284,11 +284,9 @@ POOL_SQL = f"""{NEIGH_SQL}, fr AS (SELECT ticker, future_return AS r FROM panel)
 
 def pool_risk(t):
     from tessella.functions.frames import clip
-    from tessella.functions.ranking import first_rows
+    from tessella.operators.sets import first_others
 
-    s = t.symbols().select("ticker", "nation", "acctbal")
-    b = s.select(F.col("ticker").alias("neighbor"), "nation", F.col("acctbal").alias("a2"))
-    nb = first_rows(s.join(b, "nation").where(F.col("ticker") != F.col("neighbor")), ["ticker"], [F.desc("a2"), F.asc("neighbor")], 8, "_k").select("ticker", "neighbor")
+    nb = first_others(t.symbols(), "nation", "ticker", [F.desc("acctbal"), F.asc("ticker")], 8, "neighbor")
     p = t.staged("panel")
     pr = p.groupBy("ticker").agg(F.max(F.struct("date", "ret_20d"))["ret_20d"].alias("x")).select("ticker", (1 / (1 + F.exp(-4 * clip("x", -7.5, 7.5)))).alias("p"))
     unknown = t.table("region").select(F.concat(F.lit("ZZ"), F.col("r_regionkey").cast("string")).alias("ticker"), (0.2 + 0.15 * F.col("r_regionkey")).alias("p"))

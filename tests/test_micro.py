@@ -338,3 +338,24 @@ def test_artifact_flags_follow_the_layout(frame):
     files = frame([(*x, 1, "2020-01-02", None, None) for x in rows], "run_id string, path string, bytes long, exported_at string, model_as_of_date string, latest_market_date string")
     r = artifact_health(files).first()
     assert (r.has_predictions, r.has_model_scores, r.has_dashboard_db, r.has_monte_carlo, r.analysis_ready) == (1, 1, 1, 0, 1)
+
+
+def test_first_others_without_pairs_of_the_group(spark):
+    df = spark.createDataFrame([("g", f"t{i:02d}", float(i // 3)) for i in range(12)] + [("h", "x", 1.0), (None, "y", 1.0)], "grp string, ticker string, v double")
+    got = {}
+    for r in sets.first_others(df, "grp", "ticker", [F.desc("v"), F.asc("ticker")], 3, "other").collect():
+        got.setdefault(r["ticker"], set()).add(r["other"])
+    order = sorted((f"t{i:02d}" for i in range(12)), key=lambda t: (-(int(t[1:]) // 3), t))
+    assert got == {t: set([o for o in order if o != t][:3]) for t in order}
+
+
+def test_return_pools_of_own_and_market_returns(spark):
+    preds = spark.createDataFrame([("A", 0.6), ("B", 0.5), ("Z", 0.4)], "ticker string, p double")
+    rets = [("A", 0.1), ("A", -0.1), ("A", 0.1), ("B", 0.2), ("B", -0.2)]
+    returns = spark.createDataFrame(rets, "ticker string, r double")
+    near = spark.createDataFrame([("A", "B"), ("Q", "B")], "ticker string, neighbor string")
+    out = {r["ticker"]: r for r in portfolio.return_pool_risk(preds, returns, near).collect()}
+    assert {t: r["pool_rows"] for t, r in out.items()} == {"A": 5, "B": 2, "Z": 5}
+    assert out["A"]["probability_positive"] == pytest.approx(0.6)
+    assert [out["A"][c] for c in ("p10_return", "median_return", "p90_return")] == [-0.2, 0.1, 0.2]
+    assert [out["B"][c] for c in ("p10_return", "median_return", "p90_return")] == [-0.2, -0.2, 0.2]
