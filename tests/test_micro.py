@@ -359,3 +359,15 @@ def test_return_pools_of_own_and_market_returns(spark):
     assert out["A"]["probability_positive"] == pytest.approx(0.6)
     assert [out["A"][c] for c in ("p10_return", "median_return", "p90_return")] == [-0.2, 0.1, 0.2]
     assert [out["B"][c] for c in ("p10_return", "median_return", "p90_return")] == [-0.2, -0.2, 0.2]
+
+
+def test_group_edges_equal_edges_of_all_pairs(spark):
+    rows = [("A", D(0), 1.0), ("A", D(1), None), ("B", D(0), 2.0), ("B", D(2), 5.0), ("C", D(1), 4.0), ("C", D(3), None), ("X", D(0), 9.0), ("X", D(5), 1.0)]
+    df = spark.createDataFrame(rows, "ticker string, date date, r double")
+    groups = spark.createDataFrame([("A", 1), ("B", 1), ("C", 1), ("N", 1), ("X", 2), ("Y", None)], "ticker string, grp int")
+    other = groups.select(F.col("ticker").alias("neighbor"), "grp")
+    edges = groups.join(other, "grp").where("ticker <> neighbor").select("ticker", "neighbor")
+    rows = lambda d: {(r["ticker"], r["date"]): r["m"] for r in d.collect()}
+    got = rows(graph.group_edges(df, groups, "r", "m"))
+    assert got == rows(graph.expand_edges(df, edges, {"m": "r"}))
+    assert "CartesianProduct" not in graph.group_edges(df, groups, "r", "m")._jdf.queryExecution().toString()
