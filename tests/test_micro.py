@@ -371,3 +371,33 @@ def test_group_edges_equal_edges_of_all_pairs(spark):
     got = rows(graph.group_edges(df, groups, "r", "m"))
     assert got == rows(graph.expand_edges(df, edges, {"m": "r"}))
     assert "CartesianProduct" not in graph.group_edges(df, groups, "r", "m")._jdf.queryExecution().toString()
+
+
+def test_summary_of_the_newest_rows_equals_that_of_all(spark):
+    closes = {"long": [10 + math.sin(i) * (1 + i / 50) for i in range(200)], "short": [10 + i % 7 for i in range(70)],
+              "flat": [10 + math.cos(i) for i in range(120)] + [9.0] * 90, "edge": [5 + math.sin(3 * i) for i in range(81)], "few": [1.0, 2.0]}
+    px = None
+    for name, c in closes.items():
+        one = prices(spark, c, name)
+        px = one if px is None else px.unionByName(one)
+    want = screens.feature_summary(features.research_features(px))
+    rows = lambda d: {r["ticker"]: {c: pytest.approx(r[c], rel=1e-9, abs=1e-12) if isinstance(r[c], float) else r[c] for c in want.columns if c != "ticker"} for r in d.collect()}
+    got = {r["ticker"]: {c: r[c] for c in want.columns if c != "ticker"} for r in screens.price_summary(px).collect()}
+    assert got == rows(want) and set(got) == {"long", "short", "flat", "edge"}
+
+
+def test_summary_computes_features_of_the_newest_rows_only(spark):
+    px = prices(spark, [10 + math.sin(i) for i in range(1500)], "A")
+    seen = []
+    whole = features.research_features
+
+    def counted(df):
+        seen.append(df.count())
+        return whole(df)
+
+    features.research_features = counted
+    try:
+        screens.price_summary(px).collect()
+    finally:
+        features.research_features = whole
+    assert sum(seen) == screens.REACH + screens.NEWEST
