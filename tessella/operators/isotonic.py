@@ -114,11 +114,11 @@ def interpolate(df: DataFrame, pools: DataFrame, x: str, out: str) -> DataFrame:
     ends = both.where(F.col("edge").isNotNull()).groupBy("part").agg(F.min("edge").alias("a"), F.max("edge").alias("b"))
     # one row per bucket of numbers, whatever the data
     parts = both.select("part").distinct().join(ends, "part", "left")
-    by = Window.orderBy("part")
-    parts = parts.select("part", F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("a").over(by.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
-    own = Window.partitionBy("part").orderBy("v")
-    found = both.withColumns({
-        "_a": F.max("edge").over(own.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.min("edge").over(own.rowsBetween(0, Window.unboundedFollowing))})
+    # frames that grow from the start only: one that ends at the last row is summed up anew for every row
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.max("b").over(before(Window.orderBy("part"))).alias("_before"), F.min("a").over(before(Window.orderBy(F.desc("part")))).alias("_after"))
+    up_to = lambda *order: Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumns({"_a": F.max("edge").over(up_to("v")), "_b": F.min("edge").over(up_to(F.desc("v")))})
     found = found.join(parts, "part")
     a, b = F.coalesce("_a", "_before"), F.coalesce("_b", "_after")
     line = a["value"] + (b["value"] - a["value"]) * F.try_divide(F.col("v") - a["v"], b["v"] - a["v"])

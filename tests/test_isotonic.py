@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.operators.isotonic import interpolate, isotonic_pools
 
@@ -36,3 +37,11 @@ def test_pools_of_parts_equal_the_formula(spark, slope, rows):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "p double, y double")
     assert isotonic_pools(df, "p", "y").count() == 0
+
+
+def test_lines_between_pools_cost_one_step_a_row(spark):
+    pools = spark.createDataFrame([(0.1, 0.2, 1.0, 1.0), (0.4, 0.4, 2.0, 1.0)], "lo double, hi double, value double, w double")
+    line = interpolate(spark.range(9).select((F.col("id") / 10).alias("q")), pools, "q", "iso")
+    # a frame from a row to the last one is summed up anew for every row
+    assert "unboundedfollowing" not in line._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [r.iso for r in line.orderBy("q").collect()] == pytest.approx([1, 1, 1, 1.5, 2, 2, 2, 2, 2])
