@@ -10,6 +10,7 @@ from tessella.functions import scalars as sc
 from tessella.operators import clean, features, graph, joins, metrics, portfolio, screens, sets, splits, targets, tracking
 from tessella.operators import cross_section as xs
 from tessella.sources import readers, sinks
+from tessella.sources.domain import Domain
 
 D = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
 PX = "ticker string, date date, close_price double, volume double"
@@ -401,3 +402,26 @@ def test_summary_computes_features_of_the_newest_rows_only(spark):
     finally:
         features.research_features = whole
     assert sum(seen) == screens.REACH + screens.NEWEST
+
+
+def test_interval_lookup_matches_asof_join(frame):
+    left = frame([("A", D(1)), ("A", D(5)), ("A", D(9)), ("B", D(5)), ("C", D(5))], "ticker string, date date")
+    iv = frame([("A", "x", D(2), None), ("A", "y", D(6), D(8)), ("B", "z", D(5), None), ("B", "w", None, None)], "ticker string, sector string, valid_from date, valid_to date")
+    got = {(r.ticker, r.date): r.sector for r in joins.interval_lookup(left, iv, "sector").collect()}
+    assert got == {("A", D(1)): None, ("A", D(5)): "x", ("A", D(9)): None, ("B", D(5)): "z", ("C", D(5)): None}
+    known = iv.where("valid_from IS NOT NULL")
+    assert got == {(r.ticker, r.date): r.sector for r in joins.asof_interval_join(left, known, "sector").collect()}
+
+
+def test_residual_panel_writes_its_features_once(spark, sf_dir, monkeypatch):
+    written = []
+    real = targets.stage
+    for module in (targets, xs):
+        monkeypatch.setattr(module, "stage", lambda df, *a: (written.append(df.columns), real(df, *a))[1])
+    t = Domain(spark, sf_dir)
+    whole = t.labelled()
+    assert sum("future_return" in c for c in written) == 1
+    narrow = t.labels()
+    assert not any("ret_20d" in c for c in written[-2:])
+    whole = whole.select(*narrow.columns)
+    assert narrow.count() > 0 and narrow.exceptAll(whole).isEmpty() and whole.exceptAll(narrow).isEmpty()
