@@ -164,3 +164,42 @@ def test_points_list_their_best_once_and_equal_sets_are_searched_once(spark, mon
     assert found[0].groupBy("id").count().agg(F.max("count")).first()[0] <= 5
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) + np.diag(np.full(300, np.inf))
     assert {(r.id, r.ref) for r in got} == {(f"p{i:05d}", f"p{j:05d}") for i in range(300) for j in np.argsort(d[i])[:5]}
+
+
+def test_spectral_of_a_small_graph_in_one_task_equals_the_joins(spark, monkeypatch):
+    seen, real = [], graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df, *a: seen.append(df) or real(df, *a))
+    rows = [(f"t{i:03d}", f"t{i + 1:03d}", 1.0 + i / 20) for i in range(40)]
+    rows += [(b, a, w) for a, b, w in rows]
+    edges = spark.createDataFrame(rows, "ticker string, neighbor string, weight double")
+    one = sorted(graph.spectral(edges, guard=6).collect())
+    assert len(seen) == 1  # a job and a write per few products before
+    monkeypatch.setattr(graph, "CELLS", 0)
+    many = sorted(graph.spectral(edges, guard=6).collect())
+    assert len(seen) > 4 and [r.ticker for r in one] == [r.ticker for r in many]
+    for x, y in zip(one, many):
+        assert all(abs(x[c] - y[c]) < 1e-5 for c in ("graph_x", "graph_y", "graph_z", "residual_x"))
+    assert graph.spectral(edges.limit(0)).count() == 0
+
+
+def test_spectral_task_products_span_chunks():
+    """A ring of more rows than one chunk of a product."""
+    n = 20_000
+    i = np.arange(n)
+    near, w = np.stack([(i - 1) % n, (i + 1) % n], axis=1).ravel(), np.full(2 * n, 0.25)
+    v = np.random.default_rng(0).normal(size=(n, 8))
+    v[:, 0] = 1
+    q, r = graph._spectral_here(v, 2 * i, near, w, 3, 1e-3)
+    assert r.max() <= 1e-3 and np.allclose(q.T @ q, np.eye(4), atol=1e-8)
+    m = q / 2 + (q[(i - 1) % n] + q[(i + 1) % n]) / 4
+    assert np.linalg.norm(m - q * (q * m).sum(0), axis=0).max() <= 2e-3
+
+
+def test_spectral_of_many_parts_ends():
+    """The value 1 once a part: more often than the subspace has vectors."""
+    n = 4000
+    i = np.arange(n)
+    near = (i[:, None] // 8 * 8 + (i[:, None] + np.arange(1, 8)) % 8).ravel()
+    v = np.random.default_rng(0).normal(size=(n, 16))
+    q, r = graph._spectral_here(v, 7 * i, near, np.full(7 * n, 1 / 14), 3, 1e-4)
+    assert r.max() <= 1e-4 and np.allclose(q.T @ q, np.eye(4), atol=1e-8)
