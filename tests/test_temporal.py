@@ -87,3 +87,35 @@ def test_axes_and_the_best_of_several_starts(spark):
     assert total <= min(cost.values()) * (1 + 1e-6)
     flat = tp.robust_columns(spark.createDataFrame([(1, 5.0), (1, 5.0), (1, None), (2, 1.0), (2, 1.0), (2, 1.0), (2, 9.0)], "date int, v double"), ["v"])
     assert sorted((r.date, r.z_v) for r in flat.collect())[:3] == [(1, 0.0)] * 3 and max(r.z_v for r in flat.collect()) == pytest.approx(2.0, abs=0.5)
+
+
+def test_only_pairs_with_a_moving_position_are_correlated_again(monkeypatch):
+    rng = np.random.default_rng(3)
+    m = (rng.random((60, 150)) < 0.2).astype(float)
+    x = rng.normal(size=m.shape) * m
+    cells, real = [], tp._correlation
+    monkeypatch.setattr(tp, "_correlation", lambda *s: cells.append(s[0].size) or real(*s))
+    windows = [(f, f + 110) for f in range(40)]
+    got = [(n.copy(), c.copy()) for n, c in tp.sliding_moments((x, m), (x, m), windows)]
+    assert sum(cells) < 60 * 60 * 40 / 5  # all pairs of all windows before
+    for (a, b), (n, c) in zip(windows, got):
+        for i, j in ((0, 1), (5, 40), (17, 59)):
+            at = (m[i, a:b] > 0) & (m[j, a:b] > 0)
+            assert n[i, j] == at.sum()
+            if at.sum() > 2:
+                assert c[i, j] == pytest.approx(np.corrcoef(x[i, a:b][at], x[j, a:b][at])[0, 1], abs=1e-9)
+
+
+def test_best_of_rows_over_many_tiles_equal_a_sort():
+    from tessella.operators import blocks
+
+    rng = np.random.default_rng(4)
+    sim = np.round(rng.normal(size=(30, 200)), 1)  # many ties
+    sim[rng.random(sim.shape) < 0.3] = np.nan
+    sim[3] = np.nan
+    top = blocks._Top(30, 4)
+    for at in range(0, 200, 25):
+        top.add(sim[:, at : at + 25], np.arange(at, at + 25))
+    for i in range(30):
+        want = sorted((-s, j) for j, s in enumerate(sim[i]) if s == s)[:4]
+        assert sorted((-s, j) for r, j, s in zip(top.row, top.name, top.sim) if r == i) == want
