@@ -203,3 +203,24 @@ def test_spectral_of_many_parts_ends():
     v = np.random.default_rng(0).normal(size=(n, 16))
     q, r = graph._spectral_here(v, 7 * i, near, np.full(7 * n, 1 / 14), 3, 1e-4)
     assert r.max() <= 1e-4 and np.allclose(q.T @ q, np.eye(4), atol=1e-8)
+
+
+@pytest.mark.parametrize("form", ["pearson", "standardized"])
+def test_only_pairs_of_enough_dates_are_summed(form, monkeypatch):
+    rng = np.random.default_rng(6)
+    days = np.arange(300)
+    frames = []
+    for t in range(2):
+        pos = [np.sort(rng.choice(days, 60, replace=False)) for _ in range(50)]
+        if t:
+            pos[:2] = frames[0]["pos"][:2]  # the same dates
+        frames.append(blocks.pd.DataFrame({"ticker": [f"{t}{i}" for i in range(50)], "pos": pos, "val": [rng.normal(size=60) for _ in pos]}))
+    a, b = (blocks._prepared(f, days, form, True) for f in frames)
+    monkeypatch.setattr(blocks, "FEW", 0)
+    n, whole = blocks._scores(a, b, form, 40)
+    monkeypatch.undo()
+    summed, real = [], blocks._pearson
+    monkeypatch.setattr(blocks, "_pearson", lambda *s: summed.append(s[0].size) or real(*s))
+    m, few = blocks._scores(a, b, form, 40)
+    assert (n == m).all() and (n >= 40).sum() >= 2 and sum(summed) <= (n >= 40).sum()  # all 2,500 before
+    assert np.allclose(few[n >= 40], whole[n >= 40], atol=1e-12) and np.isnan(few[n < 40]).all()

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tessella.operators import tracking, warehouse
+from tessella.operators import features, tracking, warehouse
 from tessella.plans import load_catalog
 from tessella.session import scratch
 from tessella.sources import domain
@@ -54,3 +54,24 @@ def test_shares_match_shape(spark, frame):
     a, b = warehouse.signal_shares(p, ["g"]), warehouse.signal_shape(p, ["g"])
     assert a.collect() == b.select(*a.columns).collect()
     assert b.collect()[0].median_probability_up == 0.75 and b.collect()[0].top25_avg_probability == pytest.approx(0.85)
+
+
+def test_features_of_the_newest_rows_equal_those_of_all_rows(spark, sf_dir, monkeypatch):
+    """The snapshot behind pairs: a table of all features before."""
+    from tessella.operators import screens
+    from tessella.operators.joins import latest_rows
+    from tessella.plans import q_graph
+
+    cols = ["trend_slope_60d", "ret_60d", "vol_60d", "dollar_vol_20d"]
+    px = domain.Domain(spark, sf_dir).prices()
+    px = px.unionByName(px.limit(0)).where("hash(ticker) % 3 <> 0 OR date < '1993-01-01'")  # short histories too
+    want = latest_rows(features.research_features(px).select("ticker", "date", *cols), ["ticker"], ["date"])
+    got = screens.newest_features(px, cols)
+    got, want = ({r.ticker: r for r in d.collect()} for d in (got, want))
+    assert got.keys() == want.keys() and len(got) > 5
+    for t, r in got.items():
+        assert r.date == want[t].date and [r[c] for c in cols] == [v if v is None else pytest.approx(v, rel=1e-9) for v in (want[t][c] for c in cols)]
+    asked = []
+    monkeypatch.setattr(domain.Domain, "staged", lambda self, name: asked.append(name))
+    q_graph.snap(domain.Domain(spark, sf_dir))
+    assert asked == []
