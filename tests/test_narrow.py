@@ -64,14 +64,29 @@ def test_features_of_the_newest_rows_equal_those_of_all_rows(spark, sf_dir, monk
 
     cols = ["trend_slope_60d", "ret_60d", "vol_60d", "dollar_vol_20d"]
     px = domain.Domain(spark, sf_dir).prices()
-    px = px.unionByName(px.limit(0)).where("hash(ticker) % 3 <> 0 OR date < '1993-01-01'")  # short histories too
+    px = px.unionByName(px.limit(0)).where("hash(ticker) % 3 <> 0 OR date < '1995-12-01'")  # short histories too
     want = latest_rows(features.research_features(px).select("ticker", "date", *cols), ["ticker"], ["date"])
     got = screens.newest_features(px, cols)
     got, want = ({r.ticker: r for r in d.collect()} for d in (got, want))
-    assert got.keys() == want.keys() and len(got) > 5
+    assert got.keys() == want.keys() and len(got) > 3
     for t, r in got.items():
         assert r.date == want[t].date and [r[c] for c in cols] == [v if v is None else pytest.approx(v, rel=1e-9) for v in (want[t][c] for c in cols)]
     asked = []
     monkeypatch.setattr(domain.Domain, "staged", lambda self, name: asked.append(name))
     q_graph.snap(domain.Domain(spark, sf_dir))
     assert asked == []
+
+
+def test_types_stage_no_table_of_all_features(spark, sf_dir, asked):
+    with scratch(spark):
+        assert load_catalog()["E22_type_features"].run(spark, sf_dir).count() > 0
+    assert "feats" not in asked
+
+
+def test_graph_columns_of_test_dates_only(spark, sf_dir):
+    """Eight neighbours a row are joined on the dates that are scored."""
+    with scratch(spark):
+        t = domain.Domain(spark, sf_dir)
+        days = {r.date for r in t.staged("splits").where("role = 'test'").select("date").distinct().collect()}
+        assert {r.date for r in t.gcols().select("date").distinct().collect()} <= days
+    domain.forget_staged()
